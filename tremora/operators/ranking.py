@@ -52,14 +52,12 @@ def prefix_sums(
     the tasks.
     """
     keys = list(keys)
-    marked = df
-    if not keys:
-        marked, keys = df.withColumn("_all", F.lit(0)), ["_all"]
     probes = F.array(*[F.lit((r + 1) / ranges) for r in range(ranges - 1)])
-    bounds = marked.groupBy(*keys).agg(
+    bounds = df.groupBy(*keys).agg(
         F.percentile_approx(F.col(order), probes, F.lit(20 * ranges)).alias("_bounds")
     )
-    ranged = marked.join(bounds, keys).withColumn(
+    bounded = df.join(bounds, keys) if keys else df.withColumn("_bounds", bounds.scalar())
+    ranged = bounded.withColumn(
         "_range", F.size(F.filter("_bounds", lambda bound: bound < F.col(order)))
     ).drop("_bounds")
     totals = ranged.groupBy(*keys, "_range").agg(*[F.sum(c).alias(f"_t_{o}") for o, c in sums.items()])
@@ -71,7 +69,7 @@ def prefix_sums(
     running = ranged.join(offsets, [*keys, "_range"])
     for out, column in sums.items():
         running = running.withColumn(out, F.col(f"_o_{out}") + F.sum(column).over(inside))
-    return running.drop("_range", "_all", *[f"_o_{o}" for o in sums])
+    return running.drop("_range", *[f"_o_{o}" for o in sums])
 
 
 def exact_quantiles(
@@ -82,12 +80,8 @@ def exact_quantiles(
     counted = df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
     running = prefix_sums(counted, keys, value, {"_upto": "_n"}, ranges)
     total = counted.groupBy(*keys).agg(F.sum("_n").alias("_total"))
-    join_keys = keys
-    if not keys:
-        running, total = running.withColumn("_all", F.lit(0)), total.withColumn("_all", F.lit(0))
-        join_keys = ["_all"]
     asked = F.array(*[F.lit(float(q)) for q in probabilities])
-    placed = running.join(total, join_keys)
+    placed = running.join(total, keys) if keys else running.withColumn("_total", total.scalar())
     rank = lambda q: q * (F.col("_total") - 1).cast("double")
     first, last = F.col("_upto") - F.col("_n"), F.col("_upto") - 1
     # A distinct value answers a probability if it holds the order statistic below or above its rank.
