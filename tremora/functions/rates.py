@@ -47,6 +47,22 @@ def days_between(later_us: Column, earlier_us: Column) -> Column:
     return (later_us - earlier_us).cast("double") / F.lit(float(DAY_US))
 
 
+def productivity(mag: Column, k: Column, alpha: Column, m0: float) -> Column:
+    return k * F.exp(alpha * (mag - F.lit(m0)))
+
+
+def decay(lag_days: Column, c: Column, p: Column) -> Column:
+    return F.pow(lag_days + c, -p)
+
+
+def decay_integral(span_days: Column, c: Column, p: Column) -> Column:
+    """Integral of the decay from 0 to the span; logarithmic where p is one."""
+    q = F.lit(1.0) - p
+    flat = F.abs(q) < 1e-8
+    power = (F.pow(span_days + c, q) - F.pow(c, q)) / F.when(~flat, q)
+    return F.when(flat, F.ln((span_days + c) / c)).otherwise(power)
+
+
 @dataclass(frozen=True)
 class Triggering:
     """Parameters of the triggering intensity; times in days."""
@@ -61,24 +77,12 @@ class Triggering:
     def valid(self) -> bool:
         return self.mu > 0 and self.k >= 0 and self.c > 0 and self.p > 0 and self.alpha >= 0
 
-    def productivity(self, mag: Column) -> Column:
-        return F.lit(self.k) * F.exp(F.lit(self.alpha) * (mag - F.lit(self.m0)))
-
     def kernel(self, mag: Column, lag_days: Column) -> Column:
-        return self.productivity(mag) * F.pow(lag_days + F.lit(self.c), F.lit(-self.p))
-
-    def expected_offspring(self, mag: Column, span_days: Column) -> Column:
-        return self.productivity(mag) * omori_integral(span_days, self.c, self.p)
+        size = productivity(mag, F.lit(self.k), F.lit(self.alpha), self.m0)
+        return size * decay(lag_days, F.lit(self.c), F.lit(self.p))
 
     def branching_ratio(self, b: float) -> float | None:
         beta = b * math.log(10.0)
         if self.p <= 1 or self.alpha >= beta:
             return None
         return self.k * beta / (beta - self.alpha) * self.c ** (1 - self.p) / (self.p - 1)
-
-
-def omori_integral(span_days: Column, c: float, p: float) -> Column:
-    if abs(p - 1.0) < 1e-8:
-        return F.ln((span_days + F.lit(c)) / F.lit(c))
-    q = 1.0 - p
-    return (F.pow(span_days + F.lit(c), F.lit(q)) - F.lit(c**q)) / F.lit(q)

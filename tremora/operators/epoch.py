@@ -21,31 +21,25 @@ def uniform_draw(draw: Column, item: Column, stream: Column) -> Column:
     return state.cast("double") / F.lit(float(_PRIME))
 
 
-def counts_until(instants: DataFrame, targets: DataFrame, at: str, out: str, ranges: int = 128) -> DataFrame:
-    """Add to every instant the number of targets with t_us <= its time.
+def followers(triggers: DataFrame, targets: DataFrame, keys: Sequence[str], start: str, width: str) -> DataFrame:
+    """(keys, n): targets in (start, start + width] summed over trigger rows; a target counts once per trigger.
 
-    Targets and instants are merged on distinct times and accumulated range by range: an as-of lookup
-    with no range join and no global sort in one task.
+    Window ends and target times share one time order. The running number of targets at an end, added at
+    the window's close and subtracted at its start, gives the count: an as-of lookup without a range join.
     """
-    added = targets.groupBy(F.col("t_us").alias("_t")).agg(F.count(F.lit(1)).alias("_n"))
-    asked = instants.select(F.col(at).alias("_t")).distinct().withColumn("_n", F.lit(0).cast("long"))
-    steps = added.unionByName(asked).groupBy("_t").agg(F.sum("_n").alias("_n"))
-    upto = prefix_sums(steps, [], "_t", {out: "_n"}, ranges).select("_t", out)
-    return instants.join(upto, instants[at] == upto["_t"]).drop("_t")
-
-
-def followers(triggers: DataFrame, targets: DataFrame, keys: Sequence[str], start: str, width: str) -> DataFrame:
-    """(keys, n): targets in (start, start + width] summed over trigger rows; a target counts once per trigger."""
     ends = triggers.select(
         *keys,
-        F.explode(F.array(
-            F.struct(F.col(start).alias("at"), F.lit(-1).alias("sign")),
-            F.struct((F.col(start) + F.col(width)).alias("at"), F.lit(1).alias("sign")),
-        )).alias("e"),
-    ).select(*keys, F.col("e.at").alias("at"), F.col("e.sign").alias("sign"))
-    # Equal endpoints of one key are counted once with a multiplicity.
-    ends = ends.groupBy(*keys, "at").agg(F.sum("sign").alias("sign"))
-    return counts_until(ends, targets, "at", "_upto").groupBy(*keys).agg(F.sum(F.col("sign") * F.col("_upto")).alias("n"))
+        F.inline(F.array(
+            F.struct(F.col(start).alias("at"), F.lit(-1).cast("long").alias("sign")),
+            F.struct((F.col(start) + F.col(width)).alias("at"), F.lit(1).cast("long").alias("sign")),
+        )),
+    )
+    # Equal ends of one key and equal target times collapse, so no instant can crowd the order.
+    ends = ends.groupBy(*keys, "at").agg(F.sum("sign").alias("sign")).withColumn("n", F.lit(0).cast("long"))
+    arrivals = targets.groupBy(F.col("t_us").alias("at")).agg(F.count(F.lit(1)).alias("n"))
+    merged = ends.unionByName(arrivals, allowMissingColumns=True).withColumn("is_end", F.col("sign").isNotNull())
+    running = prefix_sums(merged, [], ["at", "is_end", *keys], {"upto": "n"})
+    return running.filter("is_end").groupBy(*keys).agg(F.sum(F.col("sign") * F.col("upto")).alias("n"))
 
 
 def _windows(days: Sequence[int]) -> Column:

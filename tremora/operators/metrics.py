@@ -2,7 +2,7 @@
 
 Predictions arrive in long form: key columns (for example the model name), label `y` in {0, 1} and
 probability `p`. They are first aggregated to one row per distinct probability, which every metric is
-then computed from; ranking metrics accumulate along that order with range-wise prefix sums.
+then computed from; ranking metrics accumulate along that order with partition-wise prefix sums.
 """
 
 from __future__ import annotations
@@ -37,14 +37,14 @@ def proper_scores(scores: DataFrame, keys: Sequence[str]) -> DataFrame:
     )
 
 
-def ranking_scores(scores: DataFrame, keys: Sequence[str], ranges: int = 128) -> DataFrame:
+def ranking_scores(scores: DataFrame, keys: Sequence[str]) -> DataFrame:
     """(keys, roc_auc, pr_auc), at least one key; NULL when only one class is present.
 
     ROC area counts ties as one half. The precision-recall area is the step sum of recall gains times
     the precision at that score.
     """
-    running = prefix_sums(scores, keys, "p", {"pos_upto": "pos", "neg_upto": "neg"}, ranges)
-    total = scores.groupBy(*keys).agg(F.sum("pos").alias("all_pos"), F.sum("neg").alias("all_neg"))
+    running = prefix_sums(scores, keys, ["p"], {"pos_upto": "pos", "neg_upto": "neg"})
+    total = running.groupBy(*keys).agg(F.sum("pos").alias("all_pos"), F.sum("neg").alias("all_neg"))
     joined = running.join(total, list(keys))
     below = F.col("neg_upto") - F.col("neg")
     hits = F.col("all_pos") - F.col("pos_upto") + F.col("pos")
@@ -62,12 +62,12 @@ def skill(brier, reference):
 
 
 def evaluate(
-    predictions: DataFrame, keys: Sequence[str], y: str = "y", p: str = "p", p_ref: str | None = None, ranges: int = 128
+    predictions: DataFrame, keys: Sequence[str], y: str = "y", p: str = "p", p_ref: str | None = None
 ) -> DataFrame:
     """All scores per key; `bss` compares with the reference probability column if one is named."""
     keys = list(keys)
     scores = score_counts(predictions, keys, y, p)
-    out = proper_scores(scores, keys).join(ranking_scores(scores, keys, ranges), keys)
+    out = proper_scores(scores, keys).join(ranking_scores(scores, keys), keys)
     if p_ref is None:
         return out
     ref = proper_scores(score_counts(predictions, keys, y, p_ref), keys).select(*keys, F.col("brier").alias("brier_ref"))
@@ -76,7 +76,7 @@ def evaluate(
 
 def reliability(
     predictions: DataFrame, keys: Sequence[str], y: str = "y", p: str = "p", n_bins: int = 10,
-    strategy: str = "quantile", ranges: int = 128,
+    strategy: str = "quantile",
 ) -> DataFrame:
     """(keys, bin, mean_pred, obs_freq, n) for quantile or equal-width bins; empty bins are absent.
 
@@ -86,7 +86,7 @@ def reliability(
     scores = score_counts(predictions, keys, y, p)
     if strategy == "quantile":
         weighted = predictions.select(*keys, clip(F.col(p).cast("double"), PROB_EPS, 1 - PROB_EPS).alias("p"))
-        marks = exact_quantiles(weighted, keys, "p", [b / n_bins for b in range(n_bins + 1)], ranges)
+        marks = exact_quantiles(weighted, keys, "p", [b / n_bins for b in range(n_bins + 1)])
         edges = marks.groupBy(*keys).agg(F.array_sort(F.collect_set("quantile")).alias("edges"))
     else:
         low, step = F.min("p"), (F.max("p") - F.min("p")) / n_bins

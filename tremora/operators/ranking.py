@@ -1,8 +1,11 @@
 """Order-dependent operators that never pull a whole order through one task.
 
 `dense_ids` numbers rows 1..K; `prefix_sums` accumulates along an order; `exact_quantiles` reads
-interpolated quantiles off the prefix sums. All three split the order into ranges, work inside each
-range in parallel and combine only one small row per range.
+interpolated quantiles off the prefix sums. All of them sort once into range partitions, work inside
+each partition in parallel and combine only one small row per partition (and key).
+
+The sorted rows are written to the checkpoint folder before anything is counted, so that partition
+sizes and row positions describe the same layout even if a task is retried.
 """
 
 from __future__ import annotations
@@ -17,69 +20,54 @@ from tremora.session import materialize
 _RANGE_BITS = 33  # monotonically_increasing_id keeps the partition above these bits
 
 
-def dense_ids(df: DataFrame, order: Sequence[Column | str], out: str) -> DataFrame:
-    """Add `out` = 1..K following `order`, which must be a total order.
-
-    The sort is range-partitioned and written once, so that partition sizes and row positions
-    describe the same layout even if a task is retried.
-    """
+def _laid_out(df: DataFrame, order: Sequence[Column | str]) -> DataFrame:
+    """`df` sorted and written, with `_at` (position) and `_part` (range partition)."""
     placed = materialize(df.orderBy(*order).withColumn("_at", F.monotonically_increasing_id()))
-    part = F.shiftright("_at", _RANGE_BITS)
-    sizes = placed.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_n"))
+    return placed.withColumn("_part", F.shiftright("_at", _RANGE_BITS))
+
+
+def dense_ids(df: DataFrame, order: Sequence[Column | str], out: str) -> DataFrame:
+    """Add `out` = 1..K following `order`, which must be a total order."""
+    placed = _laid_out(df, order)
+    sizes = placed.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
     # One row per partition: the only rows that meet in a single task.
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
     within = F.col("_at").bitwiseAND(F.lit((1 << _RANGE_BITS) - 1))
     return (
-        placed.withColumn("_part", part)
-        .join(F.broadcast(offsets), "_part")
+        placed.join(F.broadcast(offsets), "_part")
         .withColumn(out, F.col("_offset") + within + 1)
         .drop("_at", "_part", "_offset")
     )
 
 
-def prefix_sums(
-    df: DataFrame,
-    keys: Sequence[str],
-    order: str,
-    sums: Mapping[str, str],
-    ranges: int = 128,
-) -> DataFrame:
-    """Add inclusive running sums along a numeric `order` within `keys`.
+def prefix_sums(df: DataFrame, keys: Sequence[str], order: Sequence[str], sums: Mapping[str, str]) -> DataFrame:
+    """Add inclusive running sums along `order` within `keys`; `sums` maps output to input column.
 
-    `sums` maps output to input column. `order` values should be distinct within a key (aggregate ties
-    first). Range bounds are approximate quantiles; any bounds give the exact sums, good ones balance
-    the tasks.
+    Rows that tie in `order` take an arbitrary sequence, so aggregate ties first where that matters, and
+    let `order` end in columns that tell rows apart so that no value can crowd one partition.
     """
-    keys = list(keys)
-    probes = F.array(*[F.lit((r + 1) / ranges) for r in range(ranges - 1)])
-    bounds = df.groupBy(*keys).agg(
-        F.percentile_approx(F.col(order), probes, F.lit(20 * ranges)).alias("_bounds")
-    )
-    bounded = df.join(bounds, keys) if keys else df.withColumn("_bounds", bounds.scalar())
-    ranged = bounded.withColumn(
-        "_range", F.size(F.filter("_bounds", lambda bound: bound < F.col(order)))
-    ).drop("_bounds")
-    totals = ranged.groupBy(*keys, "_range").agg(*[F.sum(c).alias(f"_t_{o}") for o, c in sums.items()])
-    before = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    placed = _laid_out(df, [*keys, *order])
+    group = [*keys, "_part"]
+    totals = placed.groupBy(*group).agg(*[F.sum(c).alias(f"_t_{o}") for o, c in sums.items()])
+    before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(
-        *keys, "_range", *[F.coalesce(F.sum(f"_t_{o}").over(before), F.lit(0)).alias(f"_o_{o}") for o in sums]
+        *group, *[F.coalesce(F.sum(f"_t_{o}").over(before), F.lit(0)).alias(f"_o_{o}") for o in sums]
     )
-    inside = Window.partitionBy(*keys, "_range").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    running = ranged.join(offsets, [*keys, "_range"])
-    for out, column in sums.items():
-        running = running.withColumn(out, F.col(f"_o_{out}") + F.sum(column).over(inside))
-    return running.drop("_range", *[f"_o_{o}" for o in sums])
+    inside = Window.partitionBy(*group).orderBy("_at").rowsBetween(Window.unboundedPreceding, 0)
+    running = placed.join(offsets, group)
+    running = running.select("*", *[(F.col(f"_o_{o}") + F.sum(c).over(inside)).alias(o) for o, c in sums.items()])
+    return running.drop("_at", "_part", *[f"_o_{o}" for o in sums])
 
 
 def exact_quantiles(
-    df: DataFrame, keys: Sequence[str], value: str, probabilities: Sequence[float], ranges: int = 128
+    df: DataFrame, keys: Sequence[str], value: str, probabilities: Sequence[float]
 ) -> DataFrame:
     """(keys, q, quantile) with linear interpolation between the two neighbouring order statistics."""
     keys = list(keys)
     counted = df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
-    running = prefix_sums(counted, keys, value, {"_upto": "_n"}, ranges)
-    total = counted.groupBy(*keys).agg(F.sum("_n").alias("_total"))
+    running = prefix_sums(counted, keys, [value], {"_upto": "_n"})
+    total = running.groupBy(*keys).agg(F.sum("_n").alias("_total"))
     asked = F.array(*[F.lit(float(q)) for q in probabilities])
     placed = running.join(total, keys) if keys else running.withColumn("_total", total.scalar())
     rank = lambda q: q * (F.col("_total") - 1).cast("double")

@@ -4,7 +4,8 @@ The kernel depends on both events of a pair, so the sum over predecessors is a r
 time slices an eighth of the window wide; an event stays in its slice and predecessors are copied to the
 slices they reach. Pairs never leave the join: the sum per event is keyed by the same slice, so it
 aggregates in place without another shuffle. Crowded slices are split further by salting their events.
-Many parameter sets are scored in one pass.
+Many parameter sets are scored in one pass; they travel as rows, so the generated code does not change
+from one set to the next.
 """
 
 from __future__ import annotations
@@ -13,12 +14,11 @@ import math
 from collections.abc import Sequence
 from dataclasses import astuple, replace
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tremora.fixed import DAY_US, PLAUSIBLE_RANGES
-from tremora.functions.rates import Triggering, days_between
-from tremora.session import materialize
+from tremora.functions.rates import Triggering, days_between, decay, decay_integral, productivity
 
 PENALTY = 1e12
 _SLICES_PER_WINDOW = 8
@@ -40,54 +40,66 @@ def _sliced(series: DataFrame, window_us: int, crowd: int) -> tuple[DataFrame, D
         .withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)))
         .drop("salts")
     )
-    return now, before
+    # An explicit number keeps small catalogs parallel too: the work is in the pairs, not in the rows.
+    parts = int(series.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return now.repartition(parts, "slot", "salt"), before.repartition(parts, "slot", "salt")
+
+
+def _thetas(candidates: Sequence[Triggering]) -> Column:
+    rows = [
+        F.struct(F.lit(k).cast("long").alias("theta"), *[F.lit(float(v)).alias(n) for n, v in zip(("mu", "k", "alpha", "c", "p"), astuple(t)[:5])])
+        for k, t in enumerate(candidates) if t.valid()
+    ]
+    return F.inline(F.array(*rows))
+
+
+def _rates(now: DataFrame, before: DataFrame, candidates: Sequence[Triggering], window_us: int) -> DataFrame:
+    m0 = candidates[0].m0
+    earlier = (F.col("pt") < F.col("t")) | ((F.col("pt") == F.col("t")) & (F.col("pid") < F.col("id")))
+    pairs = now.join(
+        before,
+        (now["slot"] == before["slot"]) & (now["salt"] == before["salt"]) & earlier & (F.col("pt") >= F.col("t") - F.lit(window_us)),
+        "left",
+    ).select(now["slot"], now["salt"], "id", "t", "m", "pm", days_between(F.col("t"), F.col("pt")).alias("lag"), _thetas(candidates))
+    each = productivity(F.col("pm"), F.col("k"), F.col("alpha"), m0) * decay(F.col("lag"), F.col("c"), F.col("p"))
+    keys = ["slot", "salt", "id", "theta"]
+    summed = pairs.groupBy(*keys).agg(*[F.first(c).alias(c) for c in ("t", "m", "mu", "k", "alpha", "c", "p")], F.sum(each).alias("_s"))
+    return summed.withColumn("rate", F.col("mu") + F.coalesce("_s", F.lit(0.0))).drop("slot", "salt", "_s")
 
 
 def intensity_at_events(
     series: DataFrame, candidates: Sequence[Triggering], window_days: float, crowd: int = 20_000
 ) -> DataFrame:
-    """(id, t, m, s0, s1, ...): triggered rate at each event for every candidate, background excluded.
+    """(theta, id, t, m, rate): intensity at each event for every valid candidate.
 
     `series` has canonical_id, t_us, mag. Predecessors are at most `window_days` old; at equal times the
-    lower id counts as the earlier event, with a lag of zero.
+    lower id counts as the earlier event, with a lag of zero. Candidates share one reference magnitude.
     """
     window_us = int(window_days * DAY_US)
-    now, before = _sliced(series, window_us, crowd)
-    earlier = (F.col("pt") < F.col("t")) | ((F.col("pt") == F.col("t")) & (F.col("pid") < F.col("id")))
-    pairs = now.join(
-        before,
-        (now["slot"] == before["slot"]) & (now["salt"] == before["salt"]) & earlier & (F.col("pt") >= F.col("t") - F.lit(window_us)),
-        "left",
-    ).select(now["slot"], now["salt"], "id", "t", "m", "pm", days_between(F.col("t"), F.col("pt")).alias("lag"))
-    sums = [
-        F.coalesce(F.sum(theta.kernel(F.col("pm"), F.col("lag"))), F.lit(0.0)).alias(f"s{k}") for k, theta in enumerate(candidates)
-    ]
-    return pairs.groupBy("slot", "salt", "id", "t", "m").agg(*sums).drop("slot", "salt")
+    rates = _rates(*_sliced(series, window_us, crowd), candidates, window_us)
+    return rates.select("theta", "id", "t", "m", "rate")
+
+
+def _neg_loglik(rates: DataFrame, m0: float, first_us: int, last_us: int) -> DataFrame:
+    rest = days_between(F.lit(last_us), F.col("t"))
+    offspring = productivity(F.col("m"), F.col("k"), F.col("alpha"), m0) * decay_integral(rest, F.col("c"), F.col("p"))
+    span = F.lit((last_us - first_us) / DAY_US)
+    value = F.first("mu") * span + F.sum(offspring) - F.sum(F.ln(F.when(F.col("rate") > 0, F.col("rate"))))
+    bad = (F.count_if(F.col("rate") <= 0) > 0) | F.isnan(value) | value.isNull() | (F.abs(value) == F.lit(math.inf))
+    return rates.groupBy("theta").agg(F.when(bad, F.lit(PENALTY)).otherwise(value).alias("neg_loglik"))
 
 
 def log_likelihood(
     series: DataFrame, candidates: Sequence[Triggering], first_us: int, last_us: int, window_days: float, crowd: int = 20_000
 ) -> DataFrame:
-    """(theta, neg_loglik) for each candidate over [first, last]; an impossible rate scores the penalty."""
-    usable = [k for k, theta in enumerate(candidates) if theta.valid()]
-    scored = intensity_at_events(series, [candidates[k] for k in usable], window_days, crowd)
-    rest = days_between(F.lit(last_us), F.col("t"))
-    span = (last_us - first_us) / DAY_US
-    terms = []
-    for column, k in enumerate(usable):
-        theta = candidates[k]
-        rate = F.lit(theta.mu) + F.col(f"s{column}")
-        value = -(
-            F.sum(F.ln(F.when(rate > 0, rate))) - F.lit(theta.mu * span) - F.sum(theta.expected_offspring(F.col("m"), rest))
-        )
-        bad = (F.count_if(rate <= 0) > 0) | F.isnan(value) | value.isNull() | (F.abs(value) == F.lit(math.inf))
-        terms.append(F.when(bad, F.lit(PENALTY)).otherwise(value).alias(f"v{k}"))
-    row = scored.agg(*terms)
-    listed = [
-        F.struct(F.lit(k).cast("long").alias("theta"), (F.col(f"v{k}") if k in usable else F.lit(PENALTY)).alias("neg_loglik"))
-        for k in range(len(candidates))
-    ]
-    return row.select(F.inline(F.array(*listed)))
+    """(theta, neg_loglik) per candidate over [first, last]; impossible parameters or rates score the penalty."""
+    window_us = int(window_days * DAY_US)
+    rates = _rates(*_sliced(series, window_us, crowd), candidates, window_us)
+    scored = _neg_loglik(rates, candidates[0].m0, first_us, last_us)
+    rejected = [(k, PENALTY) for k, theta in enumerate(candidates) if not theta.valid()]
+    if not rejected:
+        return scored
+    return scored.unionByName(series.sparkSession.createDataFrame(rejected, "theta long, neg_loglik double"))
 
 
 def start_point(n_events: int, span_days: float, m0: float) -> Triggering:
@@ -104,9 +116,10 @@ def fit(
     A round scores all probes around the best point, plus a step along the last improvement, in one
     distributed job; the driver only chooses the next probes.
     """
-    series = materialize(series.select("canonical_id", "t_us", "mag"))
+    window_us = int(window_days * DAY_US)
+    now, before = (side.persist() for side in _sliced(series.select("canonical_id", "t_us", "mag"), window_us, crowd))
     if start is None:
-        start = start_point(series.count(), (last_us - first_us) / DAY_US, m0)
+        start = start_point(now.count(), (last_us - first_us) / DAY_US, m0)
     point = [math.log(v) for v in astuple(start)[:5]]
     names = ("mu", "k", "alpha", "c", "p")
     as_theta = lambda logs: replace(start, **{n: math.exp(v) for n, v in zip(names, logs)})
@@ -121,8 +134,9 @@ def fit(
                 probes.append(moved)
         if momentum is not None:
             probes += [[x + f * d for x, d in zip(point, momentum)] for f in (1.0, 2.0)]
-        rows = log_likelihood(series, [as_theta(q) for q in probes], first_us, last_us, window_days, crowd).collect()
-        values = {r["theta"]: r["neg_loglik"] for r in rows}
+        rates = _rates(now, before, [as_theta(q) for q in probes], window_us)
+        rows = _neg_loglik(rates, m0, first_us, last_us).collect()  # one row per probe
+        values = {k: PENALTY for k in range(len(probes))} | {r["theta"]: r["neg_loglik"] for r in rows}
         if best is None:
             best = values.pop(0)
             offset = 1
@@ -147,6 +161,8 @@ def fit(
             momentum = None
         if max(steps) < tolerance:
             break
+    now.unpersist()
+    before.unpersist()
     return as_theta(point), float(best), used
 
 
