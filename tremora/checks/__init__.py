@@ -1,0 +1,10 @@
+"""Registered queries; importing the modules fills the registry."""
+
+from importlib import import_module
+
+MODULES = ("catalog_queries",)
+
+
+def load_all() -> None:
+    for name in MODULES:
+        import_module(f"tremora.checks.{name}")
