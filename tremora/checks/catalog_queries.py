@@ -395,13 +395,13 @@ def _(spark, sf):
     )
 
 
-@query("date_03_days", f"WITH {S.cat()} SELECT canonical_id, round((t_us - (SELECT min(t_us) FROM cat)) / 86400000000.0, 8) AS days FROM cat")
+@query("date_03_days", f"WITH {S.cat()} SELECT canonical_id, (t_us - (SELECT min(t_us) FROM cat))::DOUBLE / 86400000000.0::DOUBLE AS days FROM cat")
 def _(spark, sf):
     c = catalog(spark, sf)
-    return rounded(c.withColumn("t0", c.agg(F.min("t_us")).scalar()).select("canonical_id", days_between(F.col("t_us"), F.col("t0")).alias("days")), 8)
+    return c.withColumn("t0", c.agg(F.min("t_us")).scalar()).select("canonical_id", days_between(F.col("t_us"), F.col("t0")).alias("days"))
 
 
-@query("arr_01_sorted_values", f"WITH {S.cat(True)} SELECT country, array_to_string(list_sort(list_distinct(list(preferred_mw))), ';') AS magnitudes, len(list_filter(list_distinct(list(preferred_mw)), x -> x <= 5.0)) AS at_most_5 FROM cat GROUP BY 1")
+@query("arr_01_sorted_values", f"WITH {S.cat(True)} SELECT country, array_to_string(list_sort(list_distinct(list(preferred_mw))), ';') AS magnitudes, len(list_filter(list_distinct(list(preferred_mw)), lambda x: x <= 5.0)) AS at_most_5 FROM cat GROUP BY 1")
 def _(spark, sf):
     grouped = catalog(spark, sf, True).groupBy("country").agg(F.array_sort(F.collect_set("preferred_mw")).alias("m"))
     return grouped.select("country", F.array_join(F.col("m").cast("array<string>"), ";").alias("magnitudes"), F.size(F.filter("m", lambda x: x <= 5.0)).cast("long").alias("at_most_5"))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 Query = Callable[[SparkSession, str], DataFrame]
 
+EXACT = 99
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
 
@@ -26,9 +27,12 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def rounded(df: DataFrame, digits: int = 6, **special: int) -> DataFrame:
-    """Doubles rounded for comparison, because sums run in another order elsewhere; -0.0 becomes 0.0."""
+    """Doubles rounded for comparison, because sums run in another order elsewhere; -0.0 becomes 0.0.
+
+    Columns given EXACT digits are left alone: the same division of the same integers agrees to the bit.
+    """
     picked: list[Column] = []
     for name, kind in df.dtypes:
-        column = F.col(name)
-        picked.append((F.round(column, special.get(name, digits)) + F.lit(0.0)).alias(name) if kind == "double" else column)
+        column, n = F.col(name), special.get(name, digits)
+        picked.append((F.round(column, n) + F.lit(0.0)).alias(name) if kind == "double" and n != EXACT else column)
     return df.select(*picked)

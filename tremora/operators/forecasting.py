@@ -178,13 +178,13 @@ def permutation_importance(model, features: DataFrame, target: str, names: Seque
     by half the rows, so the permutation is distributed and repeatable.
     """
     keyed = features.select("*", F.xxhash64(F.lit(seed), "cell_id", "t_us").alias("_h"))
-    placed = dense_ids(keyed, ["_h", "cell_id", "t_us"], "_at")
+    placed = dense_ids(keyed, ["_h", "cell_id", "t_us"], "position")
     n = placed.count()
-    partner = F.pmod(F.col("_at") - 1 + F.lit(max(n // 2, 1)), F.lit(n)) + 1
+    partner = F.pmod(F.col("position") - 1 + F.lit(max(n // 2, 1)), F.lit(n)) + 1
     versions = [placed.select("*", F.lit("").alias("moved"))]
     for name in names:
-        moved = placed.select(partner.alias("_at"), F.col(name).alias("_new"))
-        versions.append(placed.join(moved, "_at").withColumn(name, F.col("_new")).drop("_new").withColumn("moved", F.lit(name)))
+        moved = placed.select(partner.alias("position"), F.col(name).alias("_new"))
+        versions.append(placed.join(moved, "position").withColumn(name, F.col("_new")).drop("_new").withColumn("moved", F.lit(name)))
     scored = tree_probability(model, reduce(DataFrame.unionByName, versions)).select(
         "moved", F.col(target).cast("long").alias("y"), "p"
     )
