@@ -14,7 +14,8 @@ from tremora.session import scratch_path
 from tremora.sinks import tables as sinks
 from tremora.sources import landing, text_catalogs
 
-_TS = F.timestamp_micros("t_us")
+def _ts():
+    return F.timestamp_micros("t_us")
 
 
 def _s(c):
@@ -23,7 +24,7 @@ def _s(c):
 
 def _pipe_lines(spark, sf):
     fields = [
-        _s("event_id"), F.date_format(_TS, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), _s("latitude"), _s("longitude"), _s("depth_raw"), F.lit(" us "), F.lit(""), F.lit("net"), F.lit(""),
+        _s("event_id"), F.date_format(_ts(), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), _s("latitude"), _s("longitude"), _s("depth_raw"), F.lit(" us "), F.lit(""), F.lit("net"), F.lit(""),
         F.coalesce(F.col("magnitude_type"), F.lit("")), _s("magnitude"), F.lit(""), F.lit("near the coast"),
     ]
     line = F.concat_ws("|", *fields)
@@ -39,18 +40,22 @@ def _(spark, sf):
 
 @query("src_02_native_observations", f"WITH {S.reports()} SELECT event_id::VARCHAR AS source_event_id, t_us, latitude, longitude, {S.DEPTH} AS depth_km, magnitude, round({S.mw()}, 8) AS mw, {S.mw_method()} AS mw_method, {S.COUNTRY} AS country FROM reports")
 def _(spark, sf):
-    o = text_catalogs.native_observations(text_catalogs.pipe_events(_pipe_lines(spark, sf)), "usgs")
+    path = scratch_path(spark, "pipe")
+    _pipe_lines(spark, sf).write.text(path)
+    o = text_catalogs.read_pipe(spark, path, "usgs")
     return o.select("source_event_id", F.unix_micros("origin_time").alias("t_us"), "latitude", "longitude", "depth_km", "magnitude", F.round("mw", 8).alias("mw"), "mw_method", "country")
 
 
 @query("src_03_semicolon_table", f"WITH {S.reports()} SELECT event_id::VARCHAR AS source_event_id, t_us // 1000000 * 1000000 AS t_us, latitude, longitude, {S.DEPTH} AS depth_km, magnitude AS mw, 'assume_unknown' AS mw_method FROM reports")
 def _(spark, sf):
-    clock = F.concat(F.date_format(_TS, "HHmmss").cast("int").cast("string"), F.lit(".0"))  # unpadded, as published
+    clock = F.concat(F.date_format(_ts(), "HHmmss").cast("int").cast("string"), F.lit(".0"))  # unpadded, as published
     text = reports(spark, sf).select(
-        _s("event_id").alias(" id "), F.date_format(_TS, "yyyyMMdd").alias("fecha_utc"), clock.alias("HORA_UTC"), _s("latitude").alias("Latitud"),
+        _s("event_id").alias(" id "), F.date_format(_ts(), "yyyyMMdd").alias("fecha_utc"), clock.alias("HORA_UTC"), _s("latitude").alias("Latitud"),
         _s("longitude").alias("LONGITUD"), _s("depth_raw").alias("PROFUNDIDAD"), _s("magnitude").alias("MAGNITUD"),
     )
-    o = text_catalogs.semicolon_observations(text)
+    path = scratch_path(spark, "semicolon")
+    text.write.option("sep", ";").option("header", True).csv(path)
+    o = text_catalogs.read_semicolon(spark, path)
     return o.select("source_event_id", F.unix_micros("origin_time").alias("t_us"), "latitude", "longitude", "depth_km", "mw", "mw_method")
 
 
@@ -63,7 +68,7 @@ def _moment_lines(spark, sf):
     mantissa = (F.col("value") + F.lit(0.01)).cast("string")
     return e.select(
         "event_id", "event_type",
-        F.concat_ws(" ", F.lit("PDE"), F.date_format(_TS, "yyyy/MM/dd"), F.date_format(_TS, "HH:mm:ss.S"), _s("latitude"), _s("longitude"), _s("depth_raw"), F.lit("0.0 0.0 SOMEWHERE")).alias("l1"),
+        F.concat_ws(" ", F.lit("PDE"), F.date_format(_ts(), "yyyy/MM/dd"), F.date_format(_ts(), "HH:mm:ss.S"), _s("latitude"), _s("longitude"), _s("depth_raw"), F.lit("0.0 0.0 SOMEWHERE")).alias("l1"),
         F.concat(F.lit("C"), _s("event_id"), F.lit("   B: 4 4 27")).alias("l2"), F.lit("CENTROID: 1.1").alias("l3"),
         F.concat((F.lit(23) + F.col("event_id") % 3).cast("string"), F.lit("  1.0 0.1 2.0 0.1")).alias("l4"),
         F.concat(F.lit("V10   1.0 20 110  2.0 30 120  3.0 40 130 "), mantissa, F.lit(" 10 20 30")).alias("l5"),
@@ -75,12 +80,22 @@ def _(spark, sf):
     records = _moment_lines(spark, sf)
     six = F.posexplode(F.array("l1", F.lit("  "), "l2", "l3", "l4", "l5"))
     lines = records.select("event_id", F.col("event_type").alias("file"), six.alias("pos", "value")).withColumn("at", F.col("event_id") * 6 + F.col("pos"))
-    # Splits end anywhere, also inside a record.
-    split = lines.withColumn("block", F.floor(F.col("at") / 997).cast("long"))
-    o = text_catalogs.five_line_observations(text_catalogs.number_lines(split))
+    # Each type's lines stay together and in order, so every file holds whole records.
+    path = scratch_path(spark, "five-line")
+    lines.repartition("file").sortWithinPartitions("file", "at").select("value").write.text(path)
+    o = text_catalogs.read_five_line(spark, path)
     return o.select("source_event_id", F.unix_micros("origin_time").alias("t_us"), "latitude", "longitude", "depth_km", "mw", "mw_method")
 
 
+@query("src_04_split_files", f"WITH {S.reports()}, e AS (SELECT r.*, value FROM reports r JOIN events USING (event_id)) SELECT 'C' || event_id AS source_event_id, {_MW5} AS mw FROM e")
+def _(spark, sf):
+    lines = _moment_lines(spark, sf).select("event_id", F.col("event_type").alias("file"), F.posexplode(F.array("l1", F.lit("  "), "l2", "l3", "l4", "l5")).alias("pos", "value"))
+    # Splits of a file end anywhere, also inside a record.
+    at = F.col("event_id") * 6 + F.col("pos")
+    split = lines.withColumn("at", at).withColumn("block", F.floor(at / 997).cast("long"))
+    return text_catalogs.five_line_observations(text_catalogs.number_lines(split)).select("source_event_id", "mw")
+
+
 @query("src_05_moment_magnitude", f"SELECT event_id, {_MW5} AS mw FROM events")
 def _(spark, sf):
     return _moment_lines(spark, sf).select("event_id", text_catalogs.moment_magnitude(F.col("l4"), F.col("l5")).alias("mw"))
@@ -90,12 +105,13 @@ def _(spark, sf):
 def _(spark, sf):
     from tremora.schema import COMMA24_TEXT
     known = {
-        "date": F.date_format(_TS, "yyyy-MM-dd HH:mm:ss.SS"), "lat": _s("latitude"), "lon": _s("longitude"), "depth": _s("depth_raw"), "mw": _s("magnitude"),
+        "date": F.date_format(_ts(), "yyyy-MM-dd HH:mm:ss.SS"), "lat": _s("latitude"), "lon": _s("longitude"), "depth": _s("depth_raw"), "mw": _s("magnitude"),
         "mo_auth": F.when(F.col("magnitude") >= 4.5, F.lit("auth")).otherwise(F.lit("  ")), "eventid": F.concat(F.lit(" "), _s("event_id")),
     }
     line = F.concat_ws(",", *[known.get(name, F.lit("0")) for name in COMMA24_TEXT.names])
-    parsed = reports(spark, sf).select(F.from_csv(line, ", ".join(f"`{n}` string" for n in COMMA24_TEXT.names)).alias("c")).select("c.*")
-    o = text_catalogs.comma24_observations(parsed)
+    path = scratch_path(spark, "comma")
+    reports(spark, sf).select(F.explode(F.array(F.lit("# comment"), line)).alias("value")).write.text(path)
+    o = text_catalogs.read_comma24(spark, path)
     return o.select("source_event_id", F.unix_micros("origin_time").alias("t_us"), "latitude", "longitude", "depth_km", "mw", "mw_method", "author")
 
 

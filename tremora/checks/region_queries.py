@@ -9,6 +9,7 @@ from tremora.checks import sql as S
 from tremora.checks.registry import query, rounded
 from tremora.functions.geo import Lattice
 from tremora.operators import regions
+from tremora.session import materialize
 from tremora.sources.shapes import vertices as parse_vertices
 
 # Nations become 25 tiles of a sheared 5 x 5 lattice; every tile has a square hole, nations of one region share a parent.
@@ -65,9 +66,9 @@ def _(spark, sf):
 @query("join_11_nearest_region", f"WITH {_INSIDE}, near AS (SELECT point_id, min({_DIST}) AS d FROM pts, edge WHERE point_id NOT IN (SELECT point_id FROM hit) GROUP BY 1) SELECT point_id, round(d, 6) AS distance FROM near")
 def _(spark, sf):
     edges = regions.edges_of(vertex_table(spark, sf))
-    points = _points(spark, sf)
+    points = materialize(_points(spark, sf))
     outside = points.join(regions.containing_regions(points, edges), "point_id", "left_anti")
-    return rounded(regions.nearest_regions(outside, edges, tile=0.05).select("point_id", "distance"))
+    return rounded(regions.nearest_regions(outside, edges, tile=0.2).select("point_id", "distance"))
 
 
 _LEVELS = f"{_vertex_sql()}, crossed AS (SELECT *, x1 * y2 - x2 * y1 AS k FROM edge), ring AS (SELECT region_id, ring_id, is_hole, sum(k) / 2 AS a, sum((x1 + x2) * k) / 6 AS mx, sum((y1 + y2) * k) / 6 AS my FROM crossed GROUP BY ALL), shp AS (SELECT region_id, sum(a * d) AS a, sum(mx * d) AS mx, sum(my * d) AS my FROM (SELECT *, sign(a) * CASE WHEN is_hole THEN -1 ELSE 1 END AS d FROM ring) GROUP BY 1), shape AS (SELECT region_id, mx / a AS cen_lon, my / a AS cen_lat, a * 111.32 * 111.32 * cos(radians(my / a)) AS area_km2 FROM shp)"
@@ -98,7 +99,7 @@ def _(spark, sf):
 
 def _superposed(spark, sf):
     vertices = vertex_table(spark, sf)
-    cells = _cells(spark, sf)
+    cells = materialize(_cells(spark, sf))
     points = cells.select(F.col("cell_id").alias("point_id"), F.col("cen_lon").alias("lon"), F.col("cen_lat").alias("lat"))
     assigned = regions.assign_regions(points, vertices)
     parents = vertices.select("region_id", "parent").distinct()

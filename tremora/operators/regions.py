@@ -86,7 +86,7 @@ def nearest_regions(points: DataFrame, edges: DataFrame, tile: float = 1.0) -> D
     Search squares double until the best distance lies within the searched reach, so the answer is exact
     however far a point is, and near points never look far.
     """
-    answers, open_points = None, points.select("point_id", "lon", "lat")
+    answers, open_points = None, materialize(points.select("point_id", "lon", "lat"))
     reach = tile
     while reach <= 1024:
         filed = edges.select("region_id", "x1", "y1", "x2", "y2")
@@ -100,7 +100,7 @@ def nearest_regions(points: DataFrame, edges: DataFrame, tile: float = 1.0) -> D
         # Everything within `reach` was looked at; a best distance beyond it could still be beaten.
         settled = materialize(best.filter(F.col("b.d") <= reach).select("point_id", F.col("b.region_id").alias("region_id"), F.col("b.d").alias("distance")))
         answers = settled if answers is None else answers.unionByName(settled)
-        open_points = open_points.join(settled, "point_id", "left_anti")
+        open_points = materialize(open_points.join(settled, "point_id", "left_anti"))
         if open_points.isEmpty():
             break
         reach *= 2
