@@ -126,8 +126,32 @@ def _per_instant(placed: DataFrame, spec: FeatureSpec, n: int) -> DataFrame:
 
 
 _OWN = ("c7", "c30", "c90", "c365", "m30", "m90", "m365", "e30", "e365", "trig", "y6", "y5", "y5w", "came", "last_t", "last_t5")
-_AROUND = ("c30", "c365", "m365", "trig")
-_ADDED = {"c7", "c30", "c90", "c365", "e30", "e365", "trig", "came"}
+_NEAR = ("nb_c30", "nb_c365", "nb_m365", "nb_trig")
+_STRIP = 32  # lattice rows per strip
+
+
+def _with_neighbours(cell: DataFrame) -> DataFrame:
+    """Rows (i, j, k) with a cell's own aggregates and those of the 3 x 3 cells around it.
+
+    Rows are laid out by instant and strip of lattice rows, strip borders being copied to both sides
+    (about one row in sixteen). A strip then knows all its neighbourhoods, so the ninefold spread is
+    aggregated where it is produced. Cells are addressed by (i, j), so a neighbourhood cannot wrap around
+    the lattice edge.
+    """
+    strip = lambda i: F.floor(i / F.lit(_STRIP)).cast("long")
+    i = F.col("i")
+    homes = F.array_distinct(F.array(strip(i - 1), strip(i), strip(i + 1)))
+    laid_out = cell.withColumn("strip", F.explode(homes)).repartition("k", "strip")
+    steps = [F.struct(F.lit(a).alias("di"), F.lit(b).alias("dj")) for a in (-1, 0, 1) for b in (-1, 0, 1)]
+    spread = laid_out.withColumn("o", F.explode(F.array(*steps))).filter(strip(i + F.col("o.di")) == F.col("strip"))
+    here = (F.col("o.di") == 0) & (F.col("o.dj") == 0)
+    moved = spread.select(
+        "k", "strip", (i + F.col("o.di")).alias("i"), (F.col("j") + F.col("o.dj")).alias("j"),
+        *[F.when(here, F.col(c)).alias(c) for c in _OWN],
+        F.col("c30").alias("nb_c30"), F.col("c365").alias("nb_c365"), F.col("m365").alias("nb_m365"), F.col("trig").alias("nb_trig"),
+    )
+    totals = [F.sum("nb_c30").alias("nb_c30"), F.sum("nb_c365").alias("nb_c365"), F.max("nb_m365").alias("nb_m365"), F.sum("nb_trig").alias("nb_trig")]
+    return moved.groupBy("k", "strip", "i", "j").agg(*[F.max(c).alias(c) for c in _OWN], *totals).drop("strip")
 
 
 def feature_table(events: DataFrame, spec: FeatureSpec = FeatureSpec()) -> DataFrame:
@@ -136,24 +160,15 @@ def feature_table(events: DataFrame, spec: FeatureSpec = FeatureSpec()) -> DataF
     cell = _per_instant(placed, spec, n)
 
     region = cell.groupBy("k").agg(F.sum("c30").alias("reg_cnt_30d"), F.max("m30").alias("reg_maxmag_30d"))
+    merged = _with_neighbours(cell)
 
-    # A cell's row goes to itself and its eight neighbours; cells are addressed by (i, j), so the
-    # neighbourhood cannot wrap around the lattice edge.
-    offsets = F.array(*[F.struct(F.lit(a).alias("di"), F.lit(b).alias("dj")) for a in (-1, 0, 1) for b in (-1, 0, 1)])
-    spread = cell.withColumn("o", F.explode(offsets))
-    here = (F.col("o.di") == 0) & (F.col("o.dj") == 0)
-    contributions = spread.select(
-        (F.col("i") + F.col("o.di")).alias("i"), (F.col("j") + F.col("o.dj")).alias("j"), "k",
-        F.lit(False).alias("wanted"),
-        *[F.when(here, F.col(c)).alias(c) for c in _OWN], *[F.col(c).alias(f"nb_{c}") for c in _AROUND],
-    )
     seen = placed if spec.active_until_us is None else placed.filter(F.col("t_us") <= spec.active_until_us)
-    scaffold = active_cells(seen, spec.min_active_events).select("i", "j", F.explode(instants_of(spec, n)).alias("k"), F.lit(True).alias("wanted"))
-    # Partitioned by cell once: serves both the aggregation by (i, j, k) and the running columns.
-    together = contributions.unionByName(scaffold, allowMissingColumns=True).repartition("i", "j")
-    combine = [(F.sum if c in _ADDED else F.max)(c).alias(c) for c in _OWN]
-    combine += [(F.sum if c in _ADDED else F.max)(f"nb_{c}").alias(f"nb_{c}") for c in _AROUND]
-    dense = together.groupBy("i", "j", "k").agg(F.max("wanted").alias("wanted"), *combine)
+    cells = active_cells(seen, spec.min_active_events).select("i", "j")
+    scaffold = cells.select("i", "j", F.explode(instants_of(spec, n)).alias("k"), F.lit(True).alias("wanted"))
+    # Partitioned by cell once: serves both the aggregation by (i, j, k) and the running columns. A cell
+    # holds at most two rows per instant here.
+    together = merged.unionByName(scaffold, allowMissingColumns=True).repartition("i", "j")
+    dense = together.groupBy("i", "j", "k").agg(F.max("wanted").alias("wanted"), *[F.max(c).alias(c) for c in (*_OWN, *_NEAR)])
     so_far = Window.partitionBy("i", "j").orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
     running = dense.select(
         "*", F.sum(F.coalesce("came", F.lit(0))).over(so_far).alias("cnt_all"),

@@ -50,21 +50,29 @@ def _thetas(candidates: Sequence[Triggering]) -> Column:
         F.struct(F.lit(k).cast("long").alias("theta"), *[F.lit(float(v)).alias(n) for n, v in zip(("mu", "k", "alpha", "c", "p"), astuple(t)[:5])])
         for k, t in enumerate(candidates) if t.valid()
     ]
-    return F.inline(F.array(*rows))
+    return F.array(*rows)
 
 
 def _rates(now: DataFrame, before: DataFrame, candidates: Sequence[Triggering], window_us: int) -> DataFrame:
+    """(theta, mu, k, alpha, c, p, id, t, m, rate) for every event and valid candidate."""
     m0 = candidates[0].m0
-    earlier = (F.col("pt") < F.col("t")) | ((F.col("pt") == F.col("t")) & (F.col("pid") < F.col("id")))
+    # What depends on the predecessor alone is computed before the pairs are formed.
+    thetas = _thetas(candidates)
+    sized = before.withColumn("th", F.explode(thetas)).select(
+        "slot", "salt", "pid", "pt", F.col("th.theta").alias("theta"),
+        productivity(F.col("pm"), F.col("th.k"), F.col("th.alpha"), m0).alias("size"), F.col("th.c").alias("c"), F.col("th.p").alias("p"),
+    )
+    earlier = (F.col("pt") < F.col("t")) | ((F.col("pt") == F.col("t")) & (F.col("pid") <= F.col("id")))
     pairs = now.join(
-        before,
-        (now["slot"] == before["slot"]) & (now["salt"] == before["salt"]) & earlier & (F.col("pt") >= F.col("t") - F.lit(window_us)),
-        "left",
-    ).select(now["slot"], now["salt"], "id", "t", "m", "pm", days_between(F.col("t"), F.col("pt")).alias("lag"), _thetas(candidates))
-    each = productivity(F.col("pm"), F.col("k"), F.col("alpha"), m0) * decay(F.col("lag"), F.col("c"), F.col("p"))
-    keys = ["slot", "salt", "id", "theta"]
-    summed = pairs.groupBy(*keys).agg(*[F.first(c).alias(c) for c in ("t", "m", "mu", "k", "alpha", "c", "p")], F.sum(each).alias("_s"))
-    return summed.withColumn("rate", F.col("mu") + F.coalesce("_s", F.lit(0.0))).drop("slot", "salt", "_s")
+        sized, (now["slot"] == sized["slot"]) & (now["salt"] == sized["salt"]) & earlier & (F.col("pt") >= F.col("t") - F.lit(window_us))
+    ).select(
+        now["slot"], now["salt"], "id", "t", "m", "theta",
+        # An event meets itself with weight zero, so that events without predecessors stay in the result.
+        F.when(F.col("pid") == F.col("id"), F.lit(0.0)).otherwise(F.col("size") * decay(days_between(F.col("t"), F.col("pt")), F.col("c"), F.col("p"))).alias("part"),
+    )
+    summed = pairs.groupBy("slot", "salt", "id", "theta").agg(F.max("t").alias("t"), F.max("m").alias("m"), F.sum("part").alias("triggered"))
+    named = summed.withColumn("th", F.filter(thetas, lambda th: th["theta"] == F.col("theta"))[0])
+    return named.select("th.*", "id", "t", "m", (F.col("th.mu") + F.col("triggered")).alias("rate"))
 
 
 def intensity_at_events(
