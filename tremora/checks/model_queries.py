@@ -341,7 +341,7 @@ _PAIRS = f"""{S.cat()}, s AS (SELECT canonical_id AS id, t_us AS t, preferred_mw
 
 @query("win_07_intensity_at_events", f"WITH {_PAIRS} SELECT id, t, round(rate1, 6) AS rate FROM rates")
 def _(spark, sf):
-    return rounded(triggering.intensity_at_events(_series(spark, sf), [THETA], 365.0).select("id", "t", "rate"))
+    return rounded(triggering.intensity_at_events(_series(spark, sf), THETA, 365.0).select("id", "t", "rate"))
 
 
 @query("agg_31_log_likelihood", f"""WITH {_PAIRS} SELECT 0::BIGINT AS theta, round(0.481 * any_value((hi - lo) / 86400000000.0) + sum(0.171 * exp(0.866 * (m - 4.5)) * (pow((hi - t) / 86400000000.0 + 0.398, -0.534) - pow(0.398, -0.534)) / (-0.534)) - sum(ln(rate1)), 4) AS neg_loglik FROM rates, span
