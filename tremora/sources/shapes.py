@@ -43,4 +43,4 @@ def vertices(documents: DataFrame, column: str = "value") -> DataFrame:
 
 
 def read_shapes(spark: SparkSession, path: str) -> DataFrame:
-    return vertices(spark.read.option("wholetext", True).text(path))
+    return vertices(spark.read.text(path, wholetext=True))
