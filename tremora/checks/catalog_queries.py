@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tremora.checks import sql as S
 from tremora.checks.registry import query, rounded
-from tremora.fixed import COUNTRY_BOXES, DAY_US, MACRO_BOXES, ORIGIN_PRIORITY, SOUTH_CENTROID, STUDY_BOX, YEAR_DAYS
+from tremora.fixed import ORIGIN_PRIORITY, SOUTH_CENTROID, STUDY_BOX
 from tremora.functions.geo import Lattice, country_of, haversine_km, in_box
 from tremora.functions.magnitude import clean_type, method_rank, source_rank, to_mw
 from tremora.functions.rates import (
@@ -249,7 +249,7 @@ def _(spark, sf):
 @query("win_10_gap_chains", f"WITH {S.obs()}, g AS (SELECT source_event_id, t_us, t_us - lag(t_us) OVER (ORDER BY t_us, source_event_id) AS gap_us FROM obs) SELECT source_event_id AS canonical_id, t_us, gap_us, coalesce(gap_us > 16000000, true) AS starts_chain FROM g")
 def _(spark, sf):
     keyed = observations(spark, sf).select(F.col("source_event_id").alias("canonical_id"), "t_us")
-    return context.gap_groups(keyed, gap_us=16_000_000, slice_us=30 * DAY_US)
+    return context.gap_groups(keyed, gap_us=16_000_000)
 
 
 @query("win_11_dense_numbering", f"WITH RECURSIVE {S.linked()} SELECT canonical_id, min(t_us) AS first_us FROM linked GROUP BY 1")

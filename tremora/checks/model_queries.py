@@ -263,6 +263,16 @@ def _(spark, sf):
     return plan_reports.dashboard_document(catalog(spark, sf))
 
 
+@query("snk_07_context_document")
+def _(spark, sf):
+    return plan_reports.context_document(catalog(spark, sf, True), 1_199_145_600_000_000)
+
+
+@query("snk_07_forecast_document")
+def _(spark, sf):
+    return plan_reports.forecast_document(forecasting.forecast_snapshot(materialize(FQ.table(spark, sf)), mc=MC), mc=MC)
+
+
 # --- epoch tests ------------------------------------------------------------------------------------
 
 

@@ -127,6 +127,15 @@ def _(spark, sf):
     return regions.ranked(named, ["level"], "p_m5", "_name").drop("_name")
 
 
+@query("snk_07_region_documents", f"WITH {_UNITS}, pr AS (SELECT parent, region_id, level, list(round_even(1 - exp(-rate_m5 * d / 365.25), 6) ORDER BY d) AS p FROM units, (SELECT unnest([7, 30, 90, 365]) AS d) GROUP BY ALL) SELECT parent, region_id, level, round(p[2], 5) AS p30, round(p[4], 5) AS p365 FROM pr")
+def _(spark, sf):
+    from tremora.plans.reports import region_documents
+    documents = region_documents(_superposed(spark, sf), ["parent", "region_id"])
+    schema = "parent string, region_id string, level bigint, horizons array<struct<days: bigint, p_m5: double>>"
+    d = documents.select(F.from_json("value", schema).alias("d"))
+    return rounded(d.select("d.parent", "d.region_id", "d.level", F.col("d.horizons")[1]["p_m5"].alias("p30"), F.col("d.horizons")[3]["p_m5"].alias("p365")), 5)
+
+
 @query("src_13_geojson", f"WITH {_vertex_sql()}, named AS (SELECT upper(parent[1]) || lower(parent[2:]) AS department, 'Nation_' || regexp_extract(region_id, '[0-9]+$') AS province, * FROM vert) SELECT department || '/' || province AS region_id, department, province, ring_id, is_hole, seq, round(lon, 9) AS lon, round(lat, 9) AS lat FROM named WHERE strpos(parent, ' ') = 0 UNION ALL SELECT 'Middle East/' || province, 'Middle East', province, ring_id, is_hole, seq, round(lon, 9), round(lat, 9) FROM named WHERE strpos(parent, ' ') > 0")
 def _(spark, sf):
     # One collection document per region; each nation's rings are four points each.

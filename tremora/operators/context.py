@@ -6,10 +6,11 @@ import math
 
 from pyspark.mllib.linalg import Vectors
 from pyspark.mllib.stat import Statistics
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tremora.fixed import MONTH_LENGTHS, MONTH_NAMES, NEIGHBOUR_ORDER, YEAR_DAYS
+from tremora.operators.ranking import with_previous
 
 
 def at(t_us: Column) -> Column:
@@ -111,18 +112,10 @@ def stable_order(events: DataFrame) -> DataFrame:
     return events.orderBy("t_us", "canonical_id")
 
 
-def gap_groups(events: DataFrame, gap_us: int, slice_us: int) -> DataFrame:
-    """Time gap to the predecessor and whether it breaks a chain of events closer than `gap_us`.
-
-    The predecessor is looked up inside time slices; only the last event of each slice is compared
-    across slices, so the order never passes through one task.
-    """
-    sliced = events.select("canonical_id", "t_us", F.floor(F.col("t_us") / F.lit(slice_us)).cast("long").alias("_s"))
-    inside = Window.partitionBy("_s").orderBy("t_us", "canonical_id")
-    tails = sliced.groupBy("_s").agg(F.max("t_us").alias("_tail"))
-    earlier = tails.select("_s", F.lag("_tail").over(Window.orderBy("_s")).alias("_before"))
-    joined = sliced.withColumn("_lag", F.lag("t_us").over(inside)).join(earlier, "_s")
-    gap = F.col("t_us") - F.coalesce("_lag", "_before")
-    return joined.select(
+def gap_groups(events: DataFrame, gap_us: int) -> DataFrame:
+    """Time gap to the predecessor and whether it breaks a chain of events closer than `gap_us`."""
+    looked = with_previous(events.select("canonical_id", "t_us"), ["t_us", "canonical_id"], "t_us", "_before")
+    gap = F.col("t_us") - F.col("_before")
+    return looked.select(
         "canonical_id", "t_us", gap.alias("gap_us"), F.coalesce(gap > gap_us, F.lit(True)).alias("starts_chain")
     )

@@ -1,7 +1,7 @@
 """Order-dependent operators that never pull a whole order through one task.
 
-`dense_ids` numbers rows 1..K; `prefix_sums` accumulates along an order; `exact_quantiles` reads
-interpolated quantiles off the prefix sums. All of them sort once into range partitions, work inside
+`dense_ids` numbers rows 1..K; `prefix_sums` accumulates along an order; `with_previous` looks one row
+back; `exact_quantiles` reads interpolated quantiles off the prefix sums. All of them sort once into range partitions, work inside
 each partition in parallel and combine only one small row per partition (and key).
 
 The sorted rows are written to the checkpoint folder before anything is counted, so that partition
@@ -60,6 +60,16 @@ def prefix_sums(df: DataFrame, keys: Sequence[str], order: Sequence[str], sums:
     return running.drop("_at", "_part", *[f"_o_{o}" for o in sums])
 
 
+def with_previous(df: DataFrame, order: Sequence[str], value: str, out: str) -> DataFrame:
+    """Add `out`, the value of the row before in a total order; only one row per partition is compared across."""
+    placed = _laid_out(df, order)
+    inside = Window.partitionBy("_part").orderBy("_at")
+    lasts = placed.groupBy("_part").agg(F.max_by(value, "_at").alias("_last"))
+    carried = lasts.select("_part", F.lag("_last").over(Window.orderBy("_part")).alias("_carry"))
+    looked = placed.join(F.broadcast(carried), "_part")
+    return looked.withColumn(out, F.coalesce(F.lag(value).over(inside), F.col("_carry"))).drop("_at", "_part", "_carry")
+
+
 def exact_quantiles(
     df: DataFrame, keys: Sequence[str], value: str, probabilities: Sequence[float]
 ) -> DataFrame:

@@ -83,12 +83,11 @@ def _segment_distance() -> Column:
 def nearest_regions(points: DataFrame, edges: DataFrame, tile: float = 1.0) -> DataFrame:
     """(point_id, region_id, distance): region with the nearest boundary in planar degrees, lowest id on ties.
 
-    Search squares double until the best distance lies within the searched reach, so the answer is exact
-    however far a point is, and near points never look far.
+    Search squares grow fourfold until the best distance lies within the searched reach, so the answer is
+    exact however far a point is, and near points never look far.
     """
-    answers, open_points = None, materialize(points.select("point_id", "lon", "lat"))
-    reach = tile
-    while reach <= 1024:
+    answers, open_points, reach = None, points.select("point_id", "lon", "lat"), tile
+    while True:
         filed = edges.select("region_id", "x1", "y1", "x2", "y2")
         for axis, (a, b) in {"tx": ("x1", "x2"), "ty": ("y1", "y2")}.items():
             filed = filed.withColumn(axis, F.explode(F.sequence(_tile(F.least(a, b), reach), _tile(F.greatest(a, b), reach))))
@@ -97,14 +96,15 @@ def nearest_regions(points: DataFrame, edges: DataFrame, tile: float = 1.0) -> D
             "point_id", "lon", "lat", (_tile(F.col("lon"), reach) + F.col("o.p")).alias("tx"), (_tile(F.col("lat"), reach) + F.col("o.q")).alias("ty")
         )
         best = asked.join(filed, ["tx", "ty"]).groupBy("point_id").agg(F.min(F.struct(_segment_distance().alias("d"), "region_id")).alias("b"))
+        looked = materialize(open_points.join(best, "point_id", "left").select("*", F.coalesce(F.col("b.d") <= reach, F.lit(False)).alias("sure")))
         # Everything within `reach` was looked at; a best distance beyond it could still be beaten.
-        settled = materialize(best.filter(F.col("b.d") <= reach).select("point_id", F.col("b.region_id").alias("region_id"), F.col("b.d").alias("distance")))
+        settled = looked.filter("sure").select("point_id", F.col("b.region_id").alias("region_id"), F.col("b.d").alias("distance"))
         answers = settled if answers is None else answers.unionByName(settled)
-        open_points = materialize(open_points.join(settled, "point_id", "left_anti"))
-        if open_points.isEmpty():
-            break
-        reach *= 2
-    return answers
+        open_points = looked.filter("NOT sure").select("point_id", "lon", "lat")
+        # No two points of a map are further apart than this many degrees.
+        if reach > 1024 or open_points.isEmpty():
+            return answers
+        reach *= 4
 
 
 def assign_regions(points: DataFrame, vertices: DataFrame, tile: float = 1.0) -> DataFrame:

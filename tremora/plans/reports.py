@@ -1,11 +1,13 @@
-"""Documents assembled from the statistics: exploratory report and dashboard data."""
+"""JSON documents assembled from the statistics, the forecast and the regional roll-up."""
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tremora.operators import context, frequency
+from tremora.operators import context, forecasting, frequency, regions
 
 
 def _list_of(df: DataFrame, order: str, name: str) -> DataFrame:
@@ -36,3 +38,56 @@ def dashboard_document(events: DataFrame, since_us: int = 946_684_800_000_000, m
         "meta", curve.scalar().alias("fmd"), law.scalar().alias("law"), decades.scalar().alias("mc_by_decade"), largest.scalar().alias("big_events")
     )
     return parts.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("value"))
+
+
+def context_document(events: DataFrame, recent_us: int, since_us: int = 946_684_800_000_000, focus: str = "Peru") -> DataFrame:
+    """One row `value`: JSON with the seasonality tests of the focus country and the neighbour table."""
+    local = events.filter((F.col("country") == focus) & (F.col("t_us") >= since_us))
+    m5, m6 = (local.filter(F.col("preferred_mw") >= m) for m in (5.0, 6.0))
+    monthly = context.monthly_counts(m5)
+    counts = monthly.agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("month", "n"))), lambda x: x["n"]).alias("counts_m5"),
+        F.max_by("name", F.struct("n", -F.col("month"))).alias("top_month"), F.sum("n").alias("n_m5"),
+    )
+    big = context.largest_events(local, 8, 7.0).select(
+        (-F.col("preferred_mw")).alias("order"), "t_us", F.date_format(context.at(F.col("t_us")), "MMM").alias("month")
+    )
+    p6 = context.periodicity(m6, min_events=5).select("p").scalar()
+    document = counts.select(
+        F.struct(
+            "counts_m5", "top_month", "n_m5", context.chi_square(monthly).select(F.round("chi2", 2)).scalar().alias("chi2"),
+            F.lit(context.chi_square_p(monthly)).alias("p_chi2"), context.periodicity(m5).select("p").scalar().alias("schuster_p_m5"),
+            p6.alias("schuster_p_m6"), F.coalesce(p6 < 0.05, F.lit(False)).alias("significant"),
+            _list_of(big, "order", "big").scalar().getField("month").alias("big_months"),
+        ).alias("seasonality"),
+        _list_of(context.neighbours(events, recent_us), "country", "c").scalar().alias("neighbours"),
+    )
+    return document.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("value"))
+
+
+def forecast_document(snapshot: DataFrame, horizon_days: int = 30, mc: float = 4.5, b: float = 1.0) -> DataFrame:
+    """One row `value`: JSON describing a forecast snapshot and its ten strongest cells."""
+    top = forecasting.top_cells(snapshot).select(
+        (-F.col("p_m5_30d")).alias("order"), F.bround("cen_lat", 4).alias("cen_lat"), F.bround("cen_lon", 4).alias("cen_lon"), F.bround("p_m5_30d", 4).alias("p_m5_30d")
+    )
+    described = snapshot.agg(
+        F.date_format(context.at(F.max("t_us")), "yyyy-MM-dd'T'HH:mm:ss").alias("forecast_time"), F.count(F.lit(1)).alias("n_cells"), F.max("p_m5_30d").alias("max_p_m5")
+    )
+    document = described.select(
+        "*", F.lit(horizon_days).alias("horizon_days"), F.lit(mc).alias("mc"), F.lit(b).alias("b_value"), _list_of(top, "order", "t").scalar().alias("top_m5_cells")
+    )
+    return document.select(F.to_json(F.struct("*")).alias("value"))
+
+
+def region_documents(units: DataFrame, levels: Sequence[str]) -> DataFrame:
+    """One JSON document `value` per administrative unit: names, level, rates, and P and recurrence per horizon.
+
+    `units` is the roll-up of `regions.superpose`; a document holds four horizons, however many units there are.
+    """
+    keys = [*levels, "level"]
+    p = regions.horizon_probabilities(units, keys)
+    row = F.struct("days", F.bround("p_m5", 6).alias("p_m5"), F.bround("p_m6", 6).alias("p_m6"))
+    packed = p.groupBy(*keys).agg(
+        F.array_sort(F.collect_list(row)).alias("horizons"), F.bround(F.max("recur_m5"), 2).alias("recur_m5"), F.bround(F.max("recur_m6"), 1).alias("recur_m6")
+    )
+    return packed.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("value"))
