@@ -85,32 +85,36 @@ def _yearly(features: DataFrame, target: str) -> DataFrame:
     )
 
 
+def _with_earlier_years(yearly: DataFrame, name: str, first: int, last: int) -> DataFrame:
+    """Add n_<name> and pos_<name> over years year+first .. year+last; one row per calendar year goes in."""
+    years = Window.orderBy("year").rangeBetween(first, last)
+    return yearly.select("*", *[F.coalesce(F.sum(c).over(years), F.lit(0)).alias(f"{c}_{name}") for c in ("n", "pos")])
+
+
 def walk_forward(features: DataFrame, target: str, first_test_year: int) -> DataFrame:
     """(fold, n_train, pos_train, n_test, pos_test): train on earlier years, test on the fold's year.
 
     Computed from yearly counts: one scan for all folds, and years without test rows do not appear.
     """
-    yearly = _yearly(features, target)
-    test = yearly.filter(F.col("year") >= first_test_year).select(F.col("year").alias("fold"), F.col("n").alias("n_test"), F.col("pos").alias("pos_test"))
-    # A handful of rows per side: one per calendar year.
-    earlier = test.join(yearly, F.col("year") < F.col("fold"), "left").groupBy("fold", "n_test", "pos_test").agg(
-        F.coalesce(F.sum("n"), F.lit(0)).alias("n_train"), F.coalesce(F.sum("pos"), F.lit(0)).alias("pos_train")
+    return (
+        _with_earlier_years(_yearly(features, target), "train", Window.unboundedPreceding, -1)
+        .filter(F.col("year") >= first_test_year)
+        .select(F.col("year").alias("fold"), "n_train", "pos_train", F.col("n").alias("n_test"), F.col("pos").alias("pos_test"))
     )
-    return earlier.select("fold", "n_train", "pos_train", "n_test", "pos_test")
 
 
 def three_way_folds(features: DataFrame, target: str, first_test_year: int, min_fit_pos: int = 20) -> DataFrame:
     """(fold, sizes, climatology): fit before Y-1, calibrate on Y-1, test on Y; thin folds are left out."""
-    yearly = _yearly(features, target)
-    test = yearly.filter(F.col("year") >= first_test_year).select(F.col("year").alias("fold"), F.col("n").alias("n_test"), F.col("pos").alias("pos_test"))
-    fit, calib = F.col("year") < F.col("fold") - 1, F.col("year") == F.col("fold") - 1
-    total = lambda when, c: F.coalesce(F.sum(F.when(when, F.col(c))), F.lit(0))
-    sizes = test.join(yearly, F.col("year") < F.col("fold"), "left").groupBy("fold", "n_test", "pos_test").agg(
-        total(fit, "n").alias("n_fit"), total(fit, "pos").alias("pos_fit"),
-        total(calib, "n").alias("n_calib"), total(calib, "pos").alias("pos_calib"),
+    yearly = _with_earlier_years(_yearly(features, target), "fit", Window.unboundedPreceding, -2)
+    yearly = _with_earlier_years(yearly, "calib", -1, -1)
+    seen, hits = F.col("n_fit") + F.col("n_calib"), F.col("pos_fit") + F.col("pos_calib")
+    return (
+        yearly.filter((F.col("year") >= first_test_year) & (F.col("n_calib") > 0) & (F.col("pos_fit") >= min_fit_pos))
+        .select(
+            F.col("year").alias("fold"), F.col("n").alias("n_test"), F.col("pos").alias("pos_test"), "n_fit", "pos_fit", "n_calib", "pos_calib",
+            F.try_divide(hits.cast("double"), seen.cast("double")).alias("climatology"),
+        )
     )
-    rate = F.try_divide((F.col("pos_fit") + F.col("pos_calib")).cast("double"), (F.col("n_fit") + F.col("n_calib")).cast("double"))
-    return sizes.filter((F.col("n_calib") > 0) & (F.col("pos_fit") >= min_fit_pos)).withColumn("climatology", rate)
 
 
 # --- calibration ------------------------------------------------------------------------------------
