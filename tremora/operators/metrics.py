@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from tremora.fixed import PROB_EPS
 from tremora.functions.rates import clip
 from tremora.operators.ranking import exact_quantiles, prefix_sums
+from tremora.session import materialize
 
 
 def score_counts(predictions: DataFrame, keys: Sequence[str], y: str = "y", p: str = "p") -> DataFrame:
@@ -66,7 +67,8 @@ def evaluate(
 ) -> DataFrame:
     """All scores per key; `bss` compares with the reference probability column if one is named."""
     keys = list(keys)
-    scores = score_counts(predictions, keys, y, p)
+    # Written once: the predictions behind it are usually far more expensive than the score table.
+    scores = materialize(score_counts(predictions, keys, y, p))
     out = proper_scores(scores, keys).join(ranking_scores(scores, keys), keys)
     if p_ref is None:
         return out
@@ -83,10 +85,10 @@ def reliability(
     Bins open at inner edges. A constant prediction yields one bin.
     """
     keys = list(keys)
-    scores = score_counts(predictions, keys, y, p)
+    scores = materialize(score_counts(predictions, keys, y, p))
     if strategy == "quantile":
-        weighted = predictions.select(*keys, clip(F.col(p).cast("double"), PROB_EPS, 1 - PROB_EPS).alias("p"))
-        marks = exact_quantiles(weighted, keys, "p", [b / n_bins for b in range(n_bins + 1)])
+        counted = scores.select(*keys, "p", (F.col("pos") + F.col("neg")).alias("weight"))
+        marks = exact_quantiles(counted, keys, "p", [b / n_bins for b in range(n_bins + 1)], "weight")
         edges = marks.groupBy(*keys).agg(F.array_sort(F.collect_set("quantile")).alias("edges"))
     else:
         low, step = F.min("p"), (F.max("p") - F.min("p")) / n_bins

@@ -71,11 +71,14 @@ def with_previous(df: DataFrame, order: Sequence[str], value: str, out: str) ->
 
 
 def exact_quantiles(
-    df: DataFrame, keys: Sequence[str], value: str, probabilities: Sequence[float]
+    df: DataFrame, keys: Sequence[str], value: str, probabilities: Sequence[float], weight: str | None = None
 ) -> DataFrame:
-    """(keys, q, quantile) with linear interpolation between the two neighbouring order statistics."""
+    """(keys, q, quantile) with linear interpolation between the two neighbouring order statistics.
+
+    `weight` names a column of row multiplicities.
+    """
     keys = list(keys)
-    counted = df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
+    counted = df.groupBy(*keys, value).agg((F.count(F.lit(1)) if weight is None else F.sum(weight)).alias("_n"))
     running = prefix_sums(counted, keys, [value], {"_upto": "_n"})
     total = running.groupBy(*keys).agg(F.sum("_n").alias("_total"))
     asked = F.array(*[F.lit(float(q)) for q in probabilities])
