@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tremora.llm import decontaminate, mixing, quality_rules, simhash, substrings, surrogates, token_planes, url_filter
+from tremora.llm import cotraining, decontaminate, mixing, quality_rules, quotations, simhash, substrings, surrogates, token_planes, url_filter
 from tremora.llm.common import table
 from tremora.session import scratch_path
 
@@ -112,3 +112,14 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     # the key of this check; a real one is the caller's secret
     return surrogates.replaced(table(spark, sf_dir, "documents"), b"check key")
+
+
+@query("op5_cotraining")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = table(spark, sf_dir, "labels").select("doc_id", F.when(F.col("toxic") == 1, 0).otherwise(F.col("quality")).alias("good"))
+    return cotraining.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "pages"), labels)
+
+
+@query("op7_quotations")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quotations.linked(table(spark, sf_dir, "conversations"))
