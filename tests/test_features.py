@@ -17,40 +17,51 @@ def us(*date):
     return int(datetime(*date, tzinfo=timezone.utc).timestamp()) * 1_000_000
 
 
+NOW = us(2016, 9, 15)
+# (days before NOW, latitude, longitude, magnitude): one active cell, the cell north of it, and one far off
+HISTORY = [
+    (3, -9.62, -78.88, 4.3), (20, -9.70, -78.80, 5.1), (75, -9.55, -78.99, 4.4), (300, -9.62, -78.88, 4.9), (500, -9.62, -78.88, 5.6),
+    (40, -9.38, -78.88, 4.7), (10, -15.10, -75.20, 5.0),
+]
+
+
 def catalog(spark, extra=()):
-    base = [((2010, 1, 1), 4.6), ((2010, 3, 1), 4.8), ((2011, 1, 1), 5.2), ((2011, 5, 20), 4.7), *extra]
-    rows = [(us(*d), -12.05, -77.05, m) for d, m in base] + [(us(2011, 2, 1), -12.15, -77.05, 4.9)]
+    rows = [(NOW - int(d * DAY), lat, lon, m) for d, lat, lon, m in [*HISTORY, *extra]]
     return spark.createDataFrame(rows, "t_us long, latitude double, longitude double, preferred_mw double")
 
 
 def spec(**more):
-    t = us(2011, 6, 1)
-    return FeatureSpec(lattice=Lattice(0.1), min_mag=4.0, start_us=t, end_us=t, min_active_events=1, **more)
+    return FeatureSpec(lattice=Lattice(0.25), min_mag=4.0, start_us=NOW, end_us=NOW, min_active_events=1, **more)
 
 
-def busiest(spark, extra=()):
-    return feature_table(catalog(spark, extra), spec()).orderBy(F.desc("cnt_all")).first().asDict()
+def cell_row(spark, extra=(), i=35, j=10):
+    return feature_table(catalog(spark, extra), spec()).filter((F.col("i") == i) & (F.col("j") == j)).first().asDict()
 
 
-def test_future_events_change_targets_only(spark):
-    before, after = busiest(spark), busiest(spark, [((2011, 6, 3), 6.5)])
-    for name, v in before.items():
-        if not name.startswith("y_"):
-            assert after[name] == v, name
-    assert (before["y_m6_30d"], after["y_m6_30d"], after["y_m5_7d"]) == (0, 1, 1)
+def test_windows_of_one_cell(spark):
+    got = cell_row(spark)
+    assert got["cell_id"] == 35 * 54 + 10
+    assert [got[f"cnt_{w}"] for w in ("7d", "30d", "90d", "365d", "all")] == [1, 2, 3, 4, 5]
+    assert got["nb_cnt_365d"] == 5 and got["nb_cnt_30d"] == 2 and got["maxmag_365d"] == 5.1 and got["nb_maxmag_365d"] == 5.1
+    assert got["days_since_last"] == pytest.approx(3.0) and got["days_since_M5"] == pytest.approx(20.0)
+    assert got["cen_lat"] == pytest.approx(-9.625) and got["cen_lon"] == pytest.approx(-78.875)
+    north = cell_row(spark, i=36)
+    assert (north["cnt_all"], north["nb_cnt_365d"], north["maxmag_365d"]) == (1, 5, 4.7)
 
 
-def test_values_make_sense(spark):
-    lima = busiest(spark)
-    assert (lima["i"], lima["j"], lima["cell_id"]) == (64, 44, 64 * 135 + 44)
-    assert lima["cen_lat"] == pytest.approx(-12.05) and lima["cen_lon"] == pytest.approx(-77.05)
-    assert (lima["cnt_all"], lima["cnt_365d"], lima["nb_cnt_365d"]) == (4, 2, 3)
-    assert lima["days_since_last"] == pytest.approx(12.0) and lima["days_since_M5"] == pytest.approx(151.0)
+def test_what_comes_later_reaches_only_targets(spark):
+    plain = cell_row(spark)
+    later = cell_row(spark, [(-2, -9.62, -78.88, 5.2), (-25, -9.62, -78.88, 6.1), (-31, -9.62, -78.88, 7.0)])
+    assert {k: v for k, v in plain.items() if k[:2] != "y_"} == {k: v for k, v in later.items() if k[:2] != "y_"}
+    assert (plain["y_m5_7d"], plain["y_m5_30d"], plain["y_m6_30d"]) == (0, 0, 0)
+    assert (later["y_m5_7d"], later["y_m5_30d"], later["y_m6_30d"]) == (1, 1, 1)
+    late = cell_row(spark, [(-8, -9.62, -78.88, 5.0), (-30.5, -9.62, -78.88, 6.5)])
+    assert (late["y_m5_7d"], late["y_m5_30d"], late["y_m6_30d"]) == (0, 1, 0)
 
 
 def test_edges_do_not_wrap(spark):
     # Column 0 of one row must not see the last column of the row below.
-    rows = [(us(2011, 5, 1), -12.05, -81.45, 5.0), (us(2011, 5, 1), -12.15, -68.05, 5.0)]
+    rows = [(NOW - 50 * DAY, -11.9, -81.4, 5.0), (NOW - 50 * DAY, -12.1, -68.1, 5.0)]
     df = spark.createDataFrame(rows, "t_us long, latitude double, longitude double, preferred_mw double")
     assert [r["nb_cnt_365d"] for r in feature_table(df, spec()).collect()] == [1, 1]
 
@@ -89,34 +100,41 @@ def test_against_direct_windows(spark):
 
 
 def test_active_cells_can_ignore_the_future(spark):
-    df = catalog(spark, [((2011, 7, 1), 5.0)])
-    now = features.active_cells(features.grid_events(df, spec()), 5)
-    assert now.count() == 1
-    early = FeatureSpec(lattice=Lattice(0.1), min_mag=4.0, start_us=us(2011, 6, 1), end_us=us(2011, 6, 1), min_active_events=5, active_until_us=us(2011, 6, 1))
+    df = catalog(spark, [(-9, -9.62, -78.88, 5.0)])  # a sixth event in the active cell, nine days later
+    assert features.active_cells(features.grid_events(df, spec()), 6).count() == 1
+    early = FeatureSpec(lattice=Lattice(0.25), min_mag=4.0, start_us=NOW, end_us=NOW, min_active_events=6, active_until_us=NOW)
     assert feature_table(df, early).count() == 0
 
 
 @pytest.fixture(scope="module")
 def labelled(spark):
-    rng = np.random.default_rng(0)
-    pdf = pd.DataFrame({c: rng.normal(size=3000) for c in forecasting.FEATURE_COLUMNS})
-    pdf["y"] = (rng.random(3000) < 1 / (1 + np.exp(-(1.2 * pdf.cnt_30d + 0.8 * pdf.nb_cnt_30d - 1)))).astype(int)
-    pdf["cell_id"], pdf["t_us"] = np.arange(3000), 0
+    """Labels follow a step in one column and, on one side of it, a second column; one label in ten is wrong."""
+    r = np.random.default_rng(12)
+    pdf = pd.DataFrame({c: r.uniform(0, 10, 2400) for c in forecasting.FEATURE_COLUMNS})
+    truth = (pdf.maxmag_90d > 6) | ((pdf.maxmag_90d > 3) & (pdf.logE_365d > 7))
+    pdf["y"] = (truth ^ (r.random(2400) < 0.1)).astype(int)
+    pdf["cell_id"], pdf["t_us"] = np.arange(2400), 0
     return spark.createDataFrame(pdf).cache()
 
 
 @pytest.mark.parametrize("profile", ["trees_a", "trees_b"])
-def test_trees_learn_the_signal(spark, labelled, profile):
-    model = forecasting.train_trees(labelled, "y", profile, maxIter=10)
+def test_trees_learn_the_rule(spark, labelled, profile):
+    model = forecasting.train_trees(labelled, "y", profile, maxIter=12)
     scored = forecasting.tree_probability(model, labelled)
-    low, high = scored.agg(F.min("p"), F.max("p")).first()
-    assert 0 <= low and high <= 1
-    assert metrics.evaluate(scored.select(F.lit("x").alias("model"), "y", "p"), ["model"]).first()["roc_auc"] > 0.70
-    if profile == "trees_a":
-        top = [r["feature"] for r in forecasting.split_importance(model, labelled).orderBy("rank").collect()]
-        assert set(top[:2]) == {"cnt_30d", "nb_cnt_30d"} and len(top) == 8
-        drop = {r["feature"]: r["auc_drop"] for r in forecasting.permutation_importance(model, labelled, "y", ["cnt_30d", "cen_lat"]).collect()}
-        assert drop["cnt_30d"] > 0.05 > abs(drop["cen_lat"])
+    assert scored.filter("p < 0 OR p > 1 OR p IS NULL").isEmpty()
+    assert metrics.evaluate(scored.select(F.lit("x").alias("model"), "y", "p"), ["model"]).first()["roc_auc"] > 0.85
+    top = [r["feature"] for r in forecasting.split_importance(model, labelled).orderBy("rank").collect()]
+    assert top[:2] == ["maxmag_90d", "logE_365d"] and len(top) == 8
+    drop = {r["feature"]: r["auc_drop"] for r in forecasting.permutation_importance(model, labelled, "y", ["maxmag_90d", "cen_lon"]).collect()}
+    assert drop["maxmag_90d"] > 0.2 > 0.03 > abs(drop["cen_lon"])
+
+
+def test_feature_columns_must_be_complete(spark, labelled):
+    with pytest.raises(ValueError):
+        forecasting.feature_names(labelled.drop("cnt_7d"))
+    with pytest.raises(ValueError):
+        forecasting.feature_names(labelled.withColumn("etas_nb", F.lit(0.0)))
+    assert forecasting.feature_names(labelled.select(*reversed(labelled.columns))) == list(forecasting.FEATURE_COLUMNS)
 
 
 def test_isotonic_map(spark):

@@ -24,7 +24,8 @@ SAMPLE = (
 def test_names_are_consistent():
     queries, oracles = entry.queries(), entry.oracle_sql()
     assert len(queries) > 150 and set(oracles) <= set(queries)
-    families = {name.rsplit("_", 1)[0].split("_")[0] for name in queries}
+    own = [name for name in queries if name != "pipeline" and not name.startswith("op")]  # those come and go with their subpackage
+    families = {name.rsplit("_", 1)[0].split("_")[0] for name in own}
     assert families == {"src", "snk", "norm", "flt", "join", "agg", "win", "top", "set", "math", "str", "date", "arr", "json", "cond", "mod"}
 
 

@@ -114,12 +114,19 @@ def test_windows(spark):
 
 
 def test_upsert_updates_named_columns_only(spark, tmp_path):
+    """Of keys that come twice the last arrival counts; the version before stays readable until the new one is complete, and after."""
     path = str(tmp_path / "obs")
     schema = "source string, source_event_id string, magnitude double, mw double, mw_method string, country string, canonical_id long"
-    sinks.overwrite(spark.createDataFrame([("a", "1", 5.0, 5.1, "direct", "Peru", 1), ("a", "2", 4.0, 4.1, "direct", "Peru", 2)], schema), path)
-    sinks.upsert(spark.createDataFrame([("a", "2", 9.0, None, "none", "Chile", 7), ("b", "1", 6.0, 6.0, "direct", "Peru", 8)], schema), path)
-    got = {(r["source"], r["source_event_id"]): tuple(r)[2:] for r in spark.read.parquet(path).collect()}
-    assert got == {("a", "1"): (5.0, 5.1, "direct", "Peru", 1), ("a", "2"): (4.0, None, "none", "Chile", 7), ("b", "1"): (6.0, 6.0, "direct", "Peru", 8)}
+    sinks.publish(spark.createDataFrame([("a", "1", 5.0, 5.1, "direct", "Peru", 1), ("a", "2", 4.0, 4.1, "direct", "Peru", 2)], schema), path)
+    new = spark.createDataFrame([("a", "2", 8.0, 8.0, "direct", "Peru", 3, 1), ("a", "2", 9.0, None, "none", "Chile", 7, 2), ("b", "1", 6.0, 6.0, "direct", "Peru", 8, 1), ("b", "1", 6.0, 6.0, "direct", "Peru", 8, 1)], schema + ", came int")
+    sinks.upsert(new, path, arrival="came")
+    rows = sinks.current(spark, path).collect()
+    assert {(r["source"], r["source_event_id"]): tuple(r)[2:] for r in rows} == {
+        ("a", "1"): (5.0, 5.1, "direct", "Peru", 1), ("a", "2"): (4.0, None, "none", "Chile", 7), ("b", "1"): (6.0, 6.0, "direct", "Peru", 8),
+    }
+    assert len(rows) == 3 and spark.read.parquet(f"{path}/v=1").count() == 2
+    (tmp_path / "obs" / "v=3").mkdir()  # a version whose writer was lost
+    assert sinks.current(spark, path).count() == 3
 
 
 def test_catalog_build_end_to_end(spark, tmp_path):
@@ -132,7 +139,7 @@ def test_catalog_build_end_to_end(spark, tmp_path):
     out = str(tmp_path / "out")
     summary = catalog_build.build_catalog(spark, ["usgs", "igp", "iscgem", "other"], readers, out, "1960-01-01", "2024-12-31", STUDY_BOX, min_mag=None)
     found = {r["metric"]: r["n"] for r in summary.collect()}
-    assert found == {"source:usgs": 3, "source:igp": 1, "observations": 4, "events": 3, "events:Peru": 3}
+    assert found == {"source:usgs": 3, "source:igp": 1, "observations": 4, "events": 3, "events:Peru": 3, "unknown:other": 0}
     events = spark.read.parquet(f"{out}/events").orderBy("origin_time").collect()
     assert events[0]["preferred_source"] == "igp" and events[0]["mag_source"] == "usgs" and events[0]["sources"] == "igp,usgs"
     assert spark.read.parquet(f"{out}/events_focus").count() == 3 and spark.read.parquet(f"{out}/members").filter("is_preferred").count() == 3
@@ -142,6 +149,27 @@ def test_raw_landing_keeps_earlier_batches(spark, tmp_path):
     rows = spark.createDataFrame([("e1",), ("e2",)], "event_id string")
     for batch in ("b1", "b2"):
         sinks.append_raw(rows, str(tmp_path / "raw"), "usgs", batch)
-    assert spark.read.parquet(str(tmp_path / "raw")).groupBy("source", "batch_id").count().count() == 2
+    sinks.append_raw(rows.limit(1), str(tmp_path / "raw"), "usgs", "b2")  # landed already
+    landed = spark.read.parquet(str(tmp_path / "raw")).groupBy("source", "batch_id").count().collect()
+    assert {(r["source"], r["batch_id"]): r["count"] for r in landed} == {("usgs", "b1"): 2, ("usgs", "b2"): 2}
     document = sinks.manifest(rows, "usgs", "b1", "2000-01-01", "2001-01-01", Box(-1, 1, -2, 2), 4.5, "now").first()["document"]
     assert '"n_events":2' in document and '"min_lat":-1.0' in document
+
+
+def test_source_that_breaks_late_is_left_out_and_told(spark, tmp_path):
+    good = write(tmp_path, "good.txt", PIPE)
+
+    def late():
+        rows = text_catalogs.read_pipe(spark, good, "bad")
+        return rows.withColumn("place", F.when(F.col("magnitude") == rows.agg(F.max("magnitude")).first()[0], F.raise_error(F.lit("bad block"))).otherwise(F.col("place")))
+
+    union, told = landing.landed_sources(spark, ["usgs", "bad", "none"], {"usgs": lambda: text_catalogs.read_pipe(spark, good, "usgs"), "bad": late})
+    assert {r["source"] for r in union.collect()} == {"usgs"}
+    status = {r["source"]: (r["status"], r["n"]) for r in told.collect()}
+    assert status == {"usgs": ("landed", union.count()), "bad": ("failed", 0), "none": ("unknown", 0)}
+
+
+def test_numbers_are_plain_decimals(spark):
+    texts = ["5", " 5.25 ", "-.5", "+1e-2", "5.", "5.0d", "5.0f", "0x10", "1_000", "", "five", "1e", None]
+    got = [r["v"] for r in spark.createDataFrame([(k, x) for k, x in enumerate(texts)], "k int, x string").orderBy("k").select(text_catalogs._number(F.col("x")).alias("v")).collect()]
+    assert got == [5.0, 5.25, -0.5, 0.01, 5.0] + [None] * 8

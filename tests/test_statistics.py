@@ -1,4 +1,5 @@
 import math
+from dataclasses import replace
 
 import numpy as np
 import pandas as pd
@@ -6,8 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from tremora.functions.magnitude import to_mw
-from tremora.functions.rates import Triggering, decay_integral, extrapolated_rate, poisson_probability
-from tremora.operators import context, frequency, metrics, triggering
+from tremora.functions.rates import Triggering, branching_ratio, decay_integral, extrapolated_rate, poisson_probability
+from tremora.operators import context, epoch, frequency, metrics, triggering
 from tremora.operators.ranking import dense_ids, exact_quantiles, prefix_sums
 
 
@@ -30,35 +31,38 @@ def test_to_mw(spark, mag, kind, mw, method):
 # --- frequency-magnitude law ---
 
 
-def synthetic(spark, b=1.0, mc=3.0, n=300_000, seed=0, noise=False):
-    rng = np.random.default_rng(seed)
-    k = np.arange(60)
-    w = 10.0 ** (-b * 0.1 * k)
-    mags = np.round(mc + rng.choice(k, size=n, p=w / w.sum()) * 0.1, 1)
-    if noise:
-        mags = np.concatenate([mags, np.round(rng.uniform(2.0, 2.99, 5000), 1)])
-    return spark.createDataFrame(pd.DataFrame({"m": mags}))
+def law(spark, b, lowest, total, below=()):
+    """A catalog with exactly the expected number of events in every bin of 0.1, and some bins below `lowest` with given counts."""
+    ratio = 10 ** (-0.1 * b)
+    bins = [(round(lowest + 0.1 * k, 1), round(total * (1 - ratio) * ratio**k)) for k in range(80)]
+    bins += [(round(lowest - 0.1 * (k + 1), 1), n) for k, n in enumerate(below)]
+    table = spark.createDataFrame([x for x in bins if x[1] > 0], "m double, copies int")
+    return table.select("m", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("m"), dict(bins)
 
 
-def test_distribution_is_monotone_and_complete(spark):
-    got = frequency.frequency_distribution(synthetic(spark), "m").orderBy("center").toPandas()
-    assert got.n_cum.iloc[0] == 300_000 and (got.n_cum.diff().dropna() <= 0).all()
-    assert np.allclose(np.diff(got.center), 0.1)
+def test_distribution_counts_every_bin(spark):
+    df, bins = law(spark, 1.2, 2.6, 40_000, below=(5000, 800))
+    got = frequency.frequency_distribution(df, "m").orderBy("center").toPandas()
+    assert {round(c, 1): n for c, n in zip(got.center, got.n_bin) if n} == {m: n for m, n in bins.items() if n}
+    assert got.n_cum.tolist() == got.n_bin[::-1].cumsum()[::-1].tolist()
 
 
-@pytest.mark.parametrize("b, seed", [(1.0, 0), (0.8, 1)])
-def test_b_value_is_recovered(spark, b, seed):
-    got = frequency.b_value(synthetic(spark, b, seed=seed), "m", 3.0).first()
-    assert got["b"] == pytest.approx(b, abs=0.03) and got["n"] > 250_000 and got["sigma_b"] < 0.01
-    assert 10 ** (got["a"] - got["b"] * 3.0) == pytest.approx(got["n"], rel=0.02)
+@pytest.mark.parametrize("b, lowest", [(0.7, 3.4), (1.0, 4.1), (1.3, 2.2)])
+def test_slope_of_an_exact_law(spark, b, lowest):
+    df, bins = law(spark, b, lowest, 80_000)
+    got = frequency.b_value(df, "m", lowest).first()
+    assert got["n"] == sum(bins.values()) and got["b"] == pytest.approx(b, abs=0.01)
+    assert got["sigma_b"] == pytest.approx(b / math.sqrt(80_000), rel=0.3)
+    assert got["a"] == pytest.approx(math.log10(got["n"]) + got["b"] * lowest, abs=0.05)
 
 
-def test_completeness_methods(spark):
-    noisy = synthetic(spark, noise=True).cache()
-    assert frequency.completeness_peak(noisy, "m", correction=0.0).first()["mc"] == pytest.approx(3.0, abs=0.05)
-    assert frequency.completeness_peak(noisy, "m").first()["mc"] == pytest.approx(3.2, abs=0.05)
-    fit = frequency.completeness_fit(synthetic(spark), "m").first()
-    assert 2.9 <= fit["mc"] <= 3.3 and fit["b"] == pytest.approx(1.0, abs=0.05) and fit["r"] >= 90
+def test_completeness_of_a_thinned_law(spark):
+    """Below 3.4 ever fewer events are seen, so the fullest bin is 3.4; the fit finds the first cutoff that a law describes."""
+    df, bins = law(spark, 1.1, 3.4, 60_000, below=(9000, 4000, 1500, 300))
+    assert frequency.completeness_peak(df, "m", correction=0.0).first()["mc"] == pytest.approx(3.4)
+    assert frequency.completeness_peak(df, "m", correction=0.1).first()["mc"] == pytest.approx(3.5)
+    fit = frequency.completeness_fit(df, "m").first()
+    assert 3.3 <= fit["mc"] <= 3.5 and fit["r"] >= 90 and fit["b"] == pytest.approx(1.1, abs=0.15)
 
 
 def test_thin_data_has_no_law(spark):
@@ -99,18 +103,26 @@ def predictions(spark, y, p, ref=None):
     return spark.createDataFrame(pd.DataFrame({"model": "x", "y": y, "p": np.asarray(p, float), "ref": np.asarray(p if ref is None else ref, float)}))
 
 
-def test_perfect_prediction(spark):
-    y = [0, 0, 1, 0, 1, 0, 0, 1]
-    got = metrics.evaluate(predictions(spark, y, y), ["model"]).first()
-    assert got["brier"] < 1e-10 and got["roc_auc"] == pytest.approx(1.0) and got["pr_auc"] == pytest.approx(1.0)
+def test_hand_computed_scores(spark):
+    """Four forecasts: Brier (0.04 + 0.16 + 0.09 + 0.01) / 4; three of the four pairs rank rightly."""
+    got = metrics.evaluate(predictions(spark, [0, 1, 1, 0], [0.2, 0.6, 0.7, 0.1], [0.5] * 4), ["model"], p_ref="ref").first()
+    assert got["brier"] == pytest.approx(0.075) and got["roc_auc"] == 1.0 and got["bss"] == pytest.approx(1 - 0.075 / 0.25)
+    mixed = metrics.evaluate(predictions(spark, [1, 0, 1, 0], [0.2, 0.6, 0.7, 0.1]), ["model"]).first()
+    assert mixed["roc_auc"] == pytest.approx(0.75) and mixed["pr_auc"] == pytest.approx((1 + 2 / 3) / 2)
 
 
-def test_skill_against_itself_and_one_class(spark):
-    rng = np.random.default_rng(0)
-    y = (rng.random(1000) < 0.05).astype(int)
-    assert metrics.evaluate(predictions(spark, y, np.full(1000, y.mean())), ["model"], p_ref="ref").first()["bss"] == pytest.approx(0.0, abs=1e-9)
-    one = metrics.evaluate(predictions(spark, np.zeros(10, int), np.full(10, 0.01)), ["model"]).first()
-    assert one["roc_auc"] is None and one["pr_auc"] is None
+def test_reference_is_read_with_the_predictions(spark):
+    """Skill against a reference that varies by row, and against the forecast itself."""
+    y, p, ref = [1, 0, 0, 1, 0, 0], [0.8, 0.3, 0.3, 0.4, 0.1, 0.0], [0.5, 0.2, 0.4, 0.3, 0.1, 0.6]
+    error = lambda q: sum((a - b) ** 2 for a, b in zip(y, q)) / len(y)
+    assert metrics.evaluate(predictions(spark, y, p, ref), ["model"], p_ref="ref").first()["bss"] == pytest.approx(1 - error(p) / error(ref), abs=1e-6)
+    assert metrics.evaluate(predictions(spark, y, p), ["model"], p_ref="ref").first()["bss"] == pytest.approx(0.0, abs=1e-12)
+
+
+@pytest.mark.parametrize("label", [0, 1])
+def test_one_class_has_no_ranking(spark, label):
+    got = metrics.evaluate(predictions(spark, [label] * 3, [0.2, 0.5, 0.5]), ["model"]).first()
+    assert got["roc_auc"] is None and got["pr_auc"] is None and got["n"] == 3
 
 
 def test_scores_against_direct_computation(spark):
@@ -131,11 +143,12 @@ def test_scores_against_direct_computation(spark):
 
 
 @pytest.mark.parametrize("strategy", ["quantile", "width"])
-def test_reliability(spark, strategy):
-    rng = np.random.default_rng(1)
-    df = predictions(spark, (rng.random(2000) < 0.1).astype(int), rng.random(2000))
-    got = metrics.reliability(df, ["model"], strategy=strategy).toPandas()
-    assert got.n.sum() == 2000 and len(got) == 10
+def test_reliability_bins(spark, strategy):
+    """Scores 0.005, 0.015 ... with the label set in every fourth: each of five bins holds forty of them and a quarter of hits."""
+    p = [(k + 0.5) / 200 for k in range(200)]
+    got = metrics.reliability(predictions(spark, [int(k % 4 == 0) for k in range(200)], p), ["model"], strategy=strategy, n_bins=5).toPandas()
+    assert got.n.tolist() == [40] * 5
+    assert sorted(got.filter(regex="obs|freq").iloc[:, 0].round(6)) == [0.25] * 5
     constant = metrics.reliability(predictions(spark, [0, 1, 0], [0.3, 0.3, 0.3]), ["model"], strategy=strategy).toPandas()
     assert constant.n.tolist() == [3]
 
@@ -159,19 +172,30 @@ def test_orders_match_pandas(spark):
 # --- triggering ---
 
 
-def test_closed_forms(spark):
-    assert value(spark, decay_integral(F.lit(10.0), F.lit(0.05), F.lit(1.0))) == pytest.approx(math.log(10.05 / 0.05))
-    assert value(spark, decay_integral(F.lit(10.0), F.lit(0.05), F.lit(1.2))) == pytest.approx((10.05**-0.2 - 0.05**-0.2) / -0.2)
-    theta, beta = Triggering(0.1, 0.02, 1.5, 0.05, 1.2, 4.0), math.log(10)
-    assert theta.branching_ratio(1.0) == pytest.approx(0.02 * beta / (beta - 1.5) * 0.05**-0.2 / 0.2)
-    assert Triggering(0.1, 0.02, 1.5, 0.05, 1.0, 4.0).branching_ratio(1.0) is None
+@pytest.mark.parametrize("c, p, span", [(0.4, 1.0, 25.0), (0.4, 1.35, 25.0), (2.0, 0.8, 3.0)])
+def test_decay_integral_is_the_area(spark, c, p, span):
+    steps = np.linspace(0, span, 400_001)
+    area = np.trapezoid((steps + c) ** -p, steps)
+    assert value(spark, decay_integral(F.lit(span), F.lit(c), F.lit(p))) == pytest.approx(area, rel=1e-6)
+
+
+def test_branching_ratio_is_a_mean(spark):
+    """Mean productivity over the law's magnitudes, by summation, times the whole decay; none outside its domain."""
+    k, alpha, c, p = 0.08, 1.1, 0.3, 1.6
+    beta, m = 0.9 * math.log(10), np.linspace(0, 40, 400_001)
+    mean = np.trapezoid(k * np.exp(alpha * m) * beta * np.exp(-beta * m), m)
+    ratio = lambda a, q: value(spark, branching_ratio(F.lit(k), F.lit(a), F.lit(c), F.lit(q), 0.9))
+    assert ratio(alpha, p) == pytest.approx(mean * c ** (1 - p) / (p - 1), rel=1e-5)
+    assert ratio(alpha, 1.0) is None and ratio(beta, p) is None
 
 
-def test_intensity_decays(spark):
-    day = 86_400_000_000
-    series = spark.createDataFrame([(1, 0, 5.0), (2, day, 5.0)], "canonical_id long, t_us long, mag double")
-    curve = triggering.intensity_curve(series, Triggering(0.1, 0.05, 1.5, 0.05, 1.1, 4.0), 0, day, 51).orderBy("k").toPandas()
-    assert curve.intensity[0] == 0.1 and curve.intensity[2] > curve.intensity[50] > 0.1
+def test_curve_of_one_event(spark):
+    hour = 3_600_000_000
+    series = spark.createDataFrame([(7, 5 * hour, 6.2)], "canonical_id long, t_us long, mag double")
+    theta = Triggering(0.25, 0.4, 0.8, 0.2, 1.3, 5.0)
+    got = [r["intensity"] for r in triggering.intensity_curve(series, theta, 0, hour, 30).orderBy("k").collect()]
+    assert got[:6] == [0.25] * 6
+    assert got[6:] == pytest.approx([0.25 + 0.4 * math.exp(0.8 * 1.2) * ((k - 5) / 24 + 0.2) ** -1.3 for k in range(6, 30)])
 
 
 @pytest.mark.parametrize("crowd", [4096, 7])
@@ -193,16 +217,78 @@ def test_likelihood_against_direct_sum(spark, crowd):
     assert got[2] == 1e12
 
 
-def test_fit_improves_on_its_start(spark):
-    rng = np.random.default_rng(3)
-    main = np.sort(rng.uniform(0, 300, 40))
-    after = np.concatenate([x + rng.exponential(0.5, 6) for x in main[::4]])
-    t = np.sort(np.concatenate([main, after[after < 300]]))
-    series = spark.createDataFrame(pd.DataFrame({"canonical_id": np.arange(len(t)), "t_us": (t * 86_400e6).astype("int64"), "mag": np.full(len(t), 4.5)}))
-    last = int(300 * 86_400e6)
-    start = triggering.start_point(len(t), 300.0, 4.0)
-    before = triggering.log_likelihood(series, [start], 0, last, 100.0).first()["neg_loglik"]
-    theta, score, rounds = triggering.fit(series, 0, last, 4.0, 100.0, rounds=8)
-    assert score < before and rounds == 8 and theta.valid()
-    again = triggering.log_likelihood(series, [theta], 0, last, 100.0).first()["neg_loglik"]
-    assert again == pytest.approx(score)
+def clustered(seed, days=400.0):
+    """Background events and, for each, followers in two generations whose delays follow a power law."""
+    r = np.random.default_rng(seed)
+    times = list(r.uniform(0, days, 160))
+    for parents in (list(times), None):
+        parents = parents if parents is not None else times[160:]
+        for x in parents:
+            times += [x + 0.05 * ((1 - u) ** (-1 / 0.4) - 1) for u in r.random(r.poisson(0.5))]
+    t = np.sort([x for x in times if x < days])
+    return pd.DataFrame({"canonical_id": np.arange(len(t)), "t_us": (t * 86_400e6).astype("int64"), "mag": 4.5 + np.round(r.exponential(0.4, len(t)), 1)})
+
+
+def test_slopes_are_derivatives(spark):
+    series = spark.createDataFrame(clustered(5))
+    theta, width = Triggering(0.3, 0.05, 0.7, 0.08, 1.3, 4.5), 100 * 86_400_000_000
+    now, before = triggering._tiles(series, width, 50)
+    score, slope, _ = triggering._score_and_slopes(now, before, theta, 0, int(400 * 86_400e6), width)
+    for k, name in enumerate(("mu", "k", "alpha", "c", "p")):
+        sides = [replace(theta, **{name: getattr(theta, name) * math.exp(h)}) for h in (1e-4, -1e-4)]
+        up, down = (r["neg_loglik"] for r in triggering.log_likelihood(series, sides, 0, int(400 * 86_400e6), 100.0).orderBy("theta").collect())
+        assert slope[k] == pytest.approx((up - down) / 2e-4, rel=1e-3, abs=1e-3)
+    assert triggering.log_likelihood(series, [theta], 0, int(400 * 86_400e6), 100.0).first()["neg_loglik"] == pytest.approx(score)
+
+
+def test_fit_finds_the_optimum_from_two_sides(spark):
+    series, last = spark.createDataFrame(clustered(11)), int(400 * 86_400e6)
+    one = triggering.fit(series, 0, last, 4.5, 200.0)
+    two = triggering.fit(series, 0, last, 4.5, 200.0, start=Triggering(0.9, 0.01, 0.5, 0.3, 1.6, 4.5))
+    assert one.converged and two.converged and one.score < one.start_score and two.score < two.start_score
+    assert one.score == pytest.approx(two.score, abs=0.01)
+    assert 0.25 < one.theta.mu < 0.6 and 1.1 < one.theta.p < 2.2 and not one.at_bound
+
+
+def test_fit_without_clustering_ends_at_the_edge(spark):
+    t = (np.arange(300) * 86_400e6).astype("int64")
+    series = spark.createDataFrame(pd.DataFrame({"canonical_id": np.arange(300), "t_us": t, "mag": np.full(300, 5.0)}))
+    found = triggering.fit(series, 0, int(t[-1]), 5.0, 100.0)
+    assert found.converged and found.theta.mu == pytest.approx(1.0, rel=0.1)
+
+
+def test_fit_that_does_not_end_is_an_error(spark):
+    with pytest.raises(RuntimeError):
+        triggering.fit(spark.createDataFrame(clustered(5)), 0, int(400 * 86_400e6), 4.5, 100.0, rounds=1)
+
+
+# --- random times ---
+
+
+def test_draws_are_independent_and_uniform(spark):
+    """The distance between two items' draws varies from draw to draw, and the null has the spread of independent draws."""
+    draws = spark.range(1, 2001).select(*[epoch.uniform_draw(F.col("id"), F.lit(i), F.lit(7)).alias(f"u{i}") for i in (11, 977)]).toPandas()
+    offset = (draws.u11 - draws.u977) % 1
+    assert offset.std() == pytest.approx(math.sqrt(1 / 12), rel=0.05)
+    assert abs(np.corrcoef(draws.u11, draws.u977)[0, 1]) < 0.08 and draws.u11.mean() == pytest.approx(0.5, abs=0.03)
+
+
+def test_null_spread_on_a_clustered_target(spark):
+    day, r = 86_400_000_000, np.random.default_rng(6)
+    times = np.concatenate([r.integers(0, 1000 * day, 60), 500 * day + r.integers(0, 5 * day, 240)])
+    targets = spark.createDataFrame([(int(x),) for x in times], "t_us long")
+    triggers = spark.createDataFrame([(k, k * day) for k in range(12)], "canonical_id long, t_us long")
+    got = epoch.null_counts(triggers, targets, 0, 1000 * day, days=(30,), draws=800).toPandas()
+    ordered, start = np.sort(times), r.uniform(0, 970 * day, (4000, 12))
+    own = (np.searchsorted(ordered, start + 30 * day, "right") - np.searchsorted(ordered, start, "right")).sum(axis=1)
+    assert len(got) == 800 and got.n.mean() == pytest.approx(own.mean(), rel=0.1) and got.n.std() == pytest.approx(own.std(), rel=0.1)
+
+
+def test_followers_against_direct_counts(spark):
+    r = np.random.default_rng(2)
+    times = sorted([int(x) for x in r.integers(0, 1000, 50)] + [400] * 30)
+    starts = [(k % 3, int(x), int(w)) for k, (x, w) in enumerate(zip(r.integers(-100, 1100, 60), r.integers(0, 300, 60)))] + [(0, 399, 1), (1, 400, 5)]
+    got = epoch.followers(spark.createDataFrame(starts, "g int, s long, w long"), spark.createDataFrame([(x,) for x in times], "t_us long"), ["g"], "s", "w").collect()
+    assert {x["g"]: x["n"] for x in got} == {g: sum(s < x <= s + w for h, s, w in starts if h == g for x in times) for g in range(3)}
+    none = epoch.followers(spark.createDataFrame(starts, "g int, s long, w long"), spark.createDataFrame([], "t_us long"), ["g"], "s", "w")
+    assert [x["n"] for x in none.collect()] == [0, 0, 0]

@@ -11,12 +11,13 @@ from tremora.fixed import ORIGIN_PRIORITY, SOUTH_CENTROID, STUDY_BOX
 from tremora.functions.geo import Lattice, country_of, haversine_km, in_box
 from tremora.functions.magnitude import clean_type, method_rank, source_rank, to_mw
 from tremora.functions.rates import (
+    branching_ratio,
     clip, days_between, decay_integral, elapsed_years, energy, extrapolated_rate, log_energy, poisson_probability, yearly_rate,
 )
 from tremora.operators import canonical, context, normalize
 from tremora.operators.linkage import associate, close_pairs
 from tremora.plans.driver_tables import catalog, observations, raw_observations, reports
-from tremora.sinks.tables import EVENT_STORED, OBS_STORED, with_columns
+from tremora.sinks.tables import with_columns
 from tremora.sources.landing import union_sources
 
 ID = ("source", "source_event_id")
@@ -341,11 +342,9 @@ def _(spark, sf):
 
 @query("math_09_branching_ratio", "SELECT event_id, round(CASE WHEN p <= 1 OR alpha >= ln(10.0) THEN NULL ELSE 0.02 * (ln(10.0) / (ln(10.0) - alpha)) * (pow(0.05, 1 - p) / (p - 1)) END, 8) AS ratio FROM (SELECT event_id, 0.5 + (user_id % 20)::DOUBLE / 10.0 AS p, (event_id % 30)::DOUBLE / 10.0 AS alpha FROM events)")
 def _(spark, sf):
-    # The same formula as a column: p and alpha vary by row.
-    beta = F.ln(F.lit(10.0))
+    # p and alpha vary by row
     p, alpha = F.lit(0.5) + (F.col("user_id") % 20).cast("double") / 10.0, (F.col("event_id") % 30).cast("double") / 10.0
-    subcritical = (p > 1) & (alpha < beta)
-    ratio = F.lit(0.02) * (beta / F.when(subcritical, beta - alpha)) * (F.pow(F.lit(0.05), F.lit(1.0) - p) / F.when(subcritical, p - 1))
+    ratio = branching_ratio(F.lit(0.02), alpha, F.lit(0.05), p, 1.0)
     return rounded(spark.read.parquet(f"{sf}/events.parquet").select("event_id", ratio.alias("ratio")), 8)
 
 

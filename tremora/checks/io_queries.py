@@ -103,12 +103,13 @@ def _(spark, sf):
 
 @query("src_06_comma_table", f"WITH {S.reports()} SELECT event_id::VARCHAR AS source_event_id, t_us // 10000 * 10000 AS t_us, latitude, longitude, {S.DEPTH} AS depth_km, magnitude AS mw, 'direct' AS mw_method, CASE WHEN magnitude >= 4.5 THEN 'auth' ELSE 'ISC-GEM' END AS author FROM reports")
 def _(spark, sf):
-    from tremora.schema import COMMA24_TEXT
+    from tremora.schema import COMMA24_PLACES
     known = {
-        "date": F.date_format(_ts(), "yyyy-MM-dd HH:mm:ss.SS"), "lat": _s("latitude"), "lon": _s("longitude"), "depth": _s("depth_raw"), "mw": _s("magnitude"),
-        "mo_auth": F.when(F.col("magnitude") >= 4.5, F.lit("auth")).otherwise(F.lit("  ")), "eventid": F.concat(F.lit(" "), _s("event_id")),
+        "time": F.date_format(_ts(), "yyyy-MM-dd HH:mm:ss.SS"), "latitude": _s("latitude"), "longitude": _s("longitude"), "depth": _s("depth_raw"), "magnitude": _s("magnitude"),
+        "agency": F.when(F.col("magnitude") >= 4.5, F.lit("auth")).otherwise(F.lit("  ")), "id": F.concat(F.lit(" "), _s("event_id")),
     }
-    line = F.concat_ws(",", *[known.get(name, F.lit("0")) for name in COMMA24_TEXT.names])
+    placed = {COMMA24_PLACES[name]: text for name, text in known.items()}
+    line = F.concat_ws(",", *[placed.get(k, F.lit("0")) for k in range(24)])
     path = scratch_path(spark, "comma")
     reports(spark, sf).select(F.explode(F.array(F.lit("# comment"), line)).alias("value")).write.text(path)
     o = text_catalogs.read_comma24(spark, path)
@@ -171,14 +172,12 @@ def _(spark, sf):
 # --- sinks ------------------------------------------------------------------------------------------
 
 
-@query("snk_01_raw_landing", f"WITH {S.obs()} SELECT source, 'b' || year(make_timestamp(t_us)) AS batch_id, count(*) AS n FROM obs WHERE source <> 'isc' GROUP BY 1, 2 HAVING year(any_value(make_timestamp(t_us))) IN (2001, 2002)")
+@query("snk_01_raw_landing", f"WITH {S.obs()} SELECT source, 'b' || year(make_timestamp(t_us)) AS batch_id, count(*) AS n FROM obs GROUP BY 1, 2")
 def _(spark, sf):
     path = scratch_path(spark, "raw")
-    o = observations(spark, sf)
-    for source in ("usgs", "igp"):
-        for year, start in ((2001, 978_307_200_000_000), (2002, 1_009_843_200_000_000)):
-            batch = o.filter((F.col("source") == source) & (F.col("t_us") >= start) & (F.col("t_us") < start + 365 * DAY_US))
-            sinks.append_raw(batch, path, source, f"b{year}")
+    batches = observations(spark, sf).withColumn("batch_id", F.concat(F.lit("b"), F.year(F.timestamp_micros("t_us"))))
+    sinks.land(batches.filter("source = 'igp'"), path)
+    sinks.land(batches, path)  # the batches of igp are there already and stay as they are
     return spark.read.parquet(path).groupBy("source", "batch_id").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -202,15 +201,17 @@ def _(spark, sf):
 
 
 @query("snk_04_upsert", f"""WITH {S.obs()} SELECT source, source_event_id, magnitude, round(CASE WHEN magnitude >= 4.5 THEN NULL ELSE mw END, 8) AS mw, CASE WHEN magnitude >= 4.5 THEN 'revised' ELSE mw_method END AS mw_method, CASE WHEN magnitude >= 4.5 THEN 'X' ELSE country END AS country, NULL::BIGINT AS canonical_id FROM obs WHERE source <> 'igp'
-    UNION ALL SELECT source, source_event_id, magnitude + 1, NULL, 'revised', 'X', NULL FROM obs WHERE source = 'igp' AND magnitude >= 4.5""")
+    UNION ALL SELECT source, source_event_id, magnitude + 2, NULL, 'revised', 'X', NULL FROM obs WHERE source = 'igp' AND magnitude >= 4.5""")
 def _(spark, sf):
     path = scratch_path(spark, "observations")
     columns = ["source", "source_event_id", "magnitude", "mw", "mw_method", "country"]
     o = observations(spark, sf).select(*columns, F.lit(None).cast("long").alias("canonical_id"))
-    sinks.overwrite(o.filter("source <> 'igp'"), path)
+    sinks.publish(o.filter("source <> 'igp'"), path)
     new = o.filter("magnitude >= 4.5").withColumn("magnitude", F.col("magnitude") + 1).withColumn("mw", F.lit(None).cast("double")).withColumn("mw_method", F.lit("revised")).withColumn("country", F.lit("X"))
-    sinks.upsert(new, path)
-    return rounded(spark.read.parquet(path), 8)
+    # keys come twice: the row that arrived last counts
+    twice = new.withColumn("arrival", F.lit(1)).unionByName(new.withColumns({"magnitude": F.col("magnitude") + 1, "arrival": F.lit(2)}))
+    sinks.upsert(twice, path, arrival="arrival")
+    return rounded(sinks.current(spark, path), 8)
 
 
 @query("snk_05_replace_events", f"WITH RECURSIVE {S.events_of_linked()} SELECT preferred_source, mag_source, n_sources, country, count(*) AS n FROM canon GROUP BY ALL")

@@ -291,10 +291,7 @@ _OBSERVED = f"observed AS (SELECT w.days, sum((SELECT count(*) FROM targ WHERE t
 
 
 def _mix(draw: str, item: str, stream: str) -> str:
-    state = f"(({draw} % 2147483647) * 7919 + ({item} % 2147483647) * 104729 + {stream} * 1299709 + 12345) % 2147483647"
-    for _ in range(4):
-        state = f"(({state}) * 48271 + 11) % 2147483647"
-    return f"(({state})::DOUBLE / 2147483647.0::DOUBLE)"
+    return f"(('0x' || substr(md5(concat_ws(',', {draw}, {item}, {stream})), 1, 13))::BIGINT::DOUBLE / {float(16**13)!r}::DOUBLE)"
 
 
 _NULL = f"""draws AS (SELECT d.draw, w.days, lo + floor({_mix('d.draw', 'trig.canonical_id', 'w.days')} * (hi - lo - w.days * {DAY_US})::DOUBLE)::BIGINT AS s, w.days * {DAY_US} AS width FROM trig, span, (SELECT unnest(range(1, 3001)) AS draw) d, {_WINDOWS} w),
@@ -343,7 +340,8 @@ def _series(spark, sf):
     return catalog(spark, sf).filter(F.col("preferred_mw") >= 4.5).select("canonical_id", "t_us", F.col("preferred_mw").alias("mag"))
 
 
-_PAIRS = f"""{S.cat()}, s AS (SELECT canonical_id AS id, t_us AS t, preferred_mw AS m FROM cat WHERE preferred_mw >= 4.5), span AS (SELECT min(t) AS lo, max(t) AS hi FROM s),
+_EVENTS = f"{S.cat()}, s AS (SELECT canonical_id AS id, t_us AS t, preferred_mw AS m FROM cat WHERE preferred_mw >= 4.5), span AS (SELECT min(t) AS lo, max(t) AS hi FROM s)"
+_PAIRS = f"""{_EVENTS},
     rates AS (SELECT a.id, a.t, a.m, 0.481 + coalesce(sum(0.171 * exp(0.866 * (b.m - 4.5)) * pow((a.t - b.t) / 86400000000.0 + 0.398, -1.534)), 0) AS rate1,
         0.5 + coalesce(sum(0.1 * exp(1.0 * (b.m - 4.5)) * pow((a.t - b.t) / 86400000000.0 + 0.05, -1.0)), 0) AS rate2
         FROM s a LEFT JOIN s b ON b.t <= a.t AND b.t >= a.t - 365 * {DAY_US} AND (b.t, b.id) < (a.t, a.id) GROUP BY ALL)"""
@@ -371,12 +369,37 @@ def _(spark, sf):
     return rounded(triggering.intensity_curve(series, THETA, first, 2 * DAY_US, 1500))
 
 
+def _fitted(spark, sf):
+    series = _series(spark, sf)
+    first, last, n = series.agg(F.min("t_us"), F.max("t_us"), F.count(F.lit(1))).first()
+    return triggering.fit(series, first, last, 4.5, 365.0), n, (last - first) / DAY_US
+
+
 @query("agg_32_fit")
 def _(spark, sf):
-    series = _series(spark, sf)
-    first, last = series.agg(F.min("t_us"), F.max("t_us")).first()
-    theta, score, used = triggering.fit(series, first, last, 4.5, 365.0, rounds=12)
-    return spark.createDataFrame([(theta.mu, theta.k, theta.alpha, theta.c, theta.p, score, used)], "mu double, k double, alpha double, c double, p double, neg_loglik double, rounds long")
+    found, _, _ = _fitted(spark, sf)
+    theta = found.theta
+    return spark.createDataFrame(
+        [(theta.mu, theta.k, theta.alpha, theta.c, theta.p, found.score, found.rounds, found.converged, found.at_bound)],
+        "mu double, k double, alpha double, c double, p double, neg_loglik double, rounds long, converged boolean, at_bound boolean",
+    )
+
+
+_START = "th AS (SELECT count(*) AS n, 0.5 * count(*) / greatest(any_value((hi - lo) / 86400000000.0), 1.0) AS mu FROM s, span)"
+
+
+@query("agg_32_fit_start", f"""WITH {_EVENTS}, {_START}, pair AS (SELECT a.id, a.t, a.m, coalesce(sum(0.1 * exp(1.5 * (b.m - 4.5)) * pow((a.t - b.t) / 86400000000.0 + 0.05, -1.1)), 0) AS r
+        FROM s a LEFT JOIN s b ON b.t <= a.t AND b.t >= a.t - 365 * {DAY_US} AND (b.t, b.id) < (a.t, a.id) GROUP BY ALL)
+    SELECT any_value(n) AS n_events, round(any_value(mu) * any_value((hi - lo) / 86400000000.0) + sum(0.1 * exp(1.5 * (m - 4.5)) * (pow((hi - t) / 86400000000.0 + 0.05, -0.1) - pow(0.05, -0.1)) / (-0.1)) - sum(ln(mu + r)), 3) AS start_score, true AS converged, true AS improved FROM pair, span, th""")
+def _(spark, sf):
+    found, n, _ = _fitted(spark, sf)
+    return spark.createDataFrame([(n, round(found.start_score, 3), found.converged, found.score <= found.start_score)], "n_events long, start_score double, converged boolean, improved boolean")
+
+
+@query("agg_33_fitted_plausibility")
+def _(spark, sf):
+    found, n, days = _fitted(spark, sf)
+    return triggering.plausibility(found.theta, 1.0, days, n, spark)
 
 
 @query("agg_33_plausibility", f"""WITH {_PAIRS}, v AS (SELECT 'p' AS name, 1.534::DOUBLE AS value, 1.0::DOUBLE AS low, 1.3::DOUBLE AS high UNION ALL SELECT 'c', 0.398, 0.003, 0.5 UNION ALL SELECT 'alpha_ln10', 0.866 / ln(10.0), 0.6, 1.1

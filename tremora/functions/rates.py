@@ -81,8 +81,10 @@ class Triggering:
         size = productivity(mag, F.lit(self.k), F.lit(self.alpha), self.m0)
         return size * decay(lag_days, F.lit(self.c), F.lit(self.p))
 
-    def branching_ratio(self, b: float) -> float | None:
-        beta = b * math.log(10.0)
-        if self.p <= 1 or self.alpha >= beta:
-            return None
-        return self.k * beta / (beta - self.alpha) * self.c ** (1 - self.p) / (self.p - 1)
+
+def branching_ratio(k: Column, alpha: Column, c: Column, p: Column, b: float) -> Column:
+    """Mean number of direct followers of an event; NULL where it has no finite value (p <= 1, or alpha not below b ln 10)."""
+    beta = F.lit(b * math.log(10.0))
+    finite = (p > 1) & (alpha < beta)
+    sizes = beta / F.when(finite, beta - alpha)
+    return k * sizes * F.pow(c, F.lit(1.0) - p) / F.when(finite, p - 1)

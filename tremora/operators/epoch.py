@@ -10,22 +10,20 @@ from pyspark.sql import functions as F
 from tremora.fixed import DAY_US, EPOCH_CURVE_DRAWS, EPOCH_DRAWS, EPOCH_WINDOWS_DAYS
 from tremora.operators.ranking import prefix_sums
 
-_PRIME, _STEP = 2_147_483_647, 48_271
+_DIGITS = 13  # hexadecimal digits of a draw: 52 bits
 
 
 def uniform_draw(draw: Column, item: Column, stream: Column) -> Column:
-    """A repeatable uniform number in [0, 1) from three integers, by integer arithmetic only."""
-    state = F.pmod(F.pmod(draw, F.lit(_PRIME).cast("long")) * 7919 + F.pmod(item, F.lit(_PRIME).cast("long")) * 104_729 + stream * 1_299_709 + 12_345, F.lit(_PRIME).cast("long"))
-    for _ in range(4):
-        state = F.pmod(state * _STEP + 11, F.lit(_PRIME).cast("long"))
-    return state.cast("double") / F.lit(float(_PRIME))
+    """A repeatable uniform number in [0, 1) from three integers: the leading bits of a digest of them, so draws are independent."""
+    digest = F.md5(F.concat_ws(",", draw.cast("string"), item.cast("string"), stream.cast("string")).cast("binary"))
+    return F.conv(F.substring(digest, 1, _DIGITS), 16, 10).cast("double") / F.lit(float(16**_DIGITS))
 
 
 def followers(triggers: DataFrame, targets: DataFrame, keys: Sequence[str], start: str, width: str) -> DataFrame:
     """(keys, n): targets in (start, start + width] summed over trigger rows; a target counts once per trigger.
 
-    Window ends and target times share one time order. The running number of targets at an end, added at
-    the window's close and subtracted at its start, gives the count: an as-of lookup without a range join.
+    The target times are cumulated over as many buckets as there are times. A window end looks up the targets before its bucket and
+    compares itself only with those inside it: two equi-joins, and only sums per key are shuffled.
     """
     ends = triggers.select(
         *keys,
@@ -34,12 +32,21 @@ def followers(triggers: DataFrame, targets: DataFrame, keys: Sequence[str], star
             F.struct((F.col(start) + F.col(width)).alias("at"), F.lit(1).cast("long").alias("sign")),
         )),
     )
-    # Equal ends of one key and equal target times collapse, so no instant can crowd the order.
-    ends = ends.groupBy(*keys, "at").agg(F.sum("sign").alias("sign")).withColumn("n", F.lit(0).cast("long"))
-    arrivals = targets.groupBy(F.col("t_us").alias("at")).agg(F.count(F.lit(1)).alias("n"))
-    merged = ends.unionByName(arrivals, allowMissingColumns=True).withColumn("is_end", F.col("sign").isNotNull())
-    running = prefix_sums(merged, [], ["at", "is_end", *keys], {"upto": "n"})
-    return running.filter("is_end").groupBy(*keys).agg(F.sum(F.col("sign") * F.col("upto")).alias("n"))
+    # Equal times collapse, so no instant can crowd a bucket.
+    arrivals = targets.groupBy(F.col("t_us").alias("time")).agg(F.count(F.lit(1)).alias("here"))
+    first, last, n = arrivals.agg(F.min("time"), F.max("time"), F.count(F.lit(1))).first()
+    if not n:
+        return ends.groupBy(*keys).agg(F.lit(0).cast("long").alias("n"))
+    size = (last - first) // n + 1
+    bucket = lambda t: F.greatest(F.least(F.floor((t - F.lit(first)) / F.lit(size)), F.lit(n)), F.lit(-1)).cast("long")
+    arrivals = arrivals.withColumn("bucket", bucket(F.col("time")))
+    inside = arrivals.groupBy("bucket").agg(F.sum("here").alias("here"))
+    every = targets.sparkSession.range(-1, n + 1).withColumnRenamed("id", "bucket").join(inside, "bucket", "left").withColumn("here", F.coalesce("here", F.lit(0)))
+    before = prefix_sums(every, [], ["bucket"], {"upto": "here"}).select("bucket", (F.col("upto") - F.col("here")).alias("before"))
+    placed = ends.withColumn("bucket", bucket(F.col("at")))
+    whole = placed.join(before, "bucket").groupBy(*keys).agg(F.sum(F.col("sign") * F.col("before")).alias("part"))
+    rest = placed.join(arrivals, "bucket").filter(F.col("time") <= F.col("at")).groupBy(*keys).agg(F.sum(F.col("sign") * F.col("here")).alias("part"))
+    return whole.unionByName(rest).groupBy(*keys).agg(F.sum("part").alias("n"))
 
 
 def _windows(days: Sequence[int]) -> Column:

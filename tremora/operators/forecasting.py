@@ -30,7 +30,7 @@ class RateSpec:
     horizon_days: float = 30.0
 
 
-# Target column -> (magnitude, horizon in days).
+# Target column -> (magnitude, horizon in days).
 TARGETS = {"y_m5_30d": (5.0, 30.0), "y_m6_30d": (6.0, 30.0), "y_m5_7d": (5.0, 7.0)}
 
 
@@ -139,10 +139,15 @@ def apply_isotonic(model, predictions: DataFrame, p: str = "p", out: str = "p_ca
 
 
 def feature_names(features: DataFrame) -> list[str]:
-    return [c for c in FEATURE_COLUMNS + TRIGGER_COLUMNS if c in features.columns]
+    """Input columns in their declared order; all but the triggering pair must be there, and that as a pair or not at all."""
+    held = set(features.columns)
+    missing = sorted(set(FEATURE_COLUMNS) - held)
+    if missing or len(held.intersection(TRIGGER_COLUMNS)) == 1:
+        raise ValueError(f"incomplete feature table: {missing or TRIGGER_COLUMNS}")
+    return [*FEATURE_COLUMNS, *(TRIGGER_COLUMNS if held.issuperset(TRIGGER_COLUMNS) else ())]
 
 
-# Two profiles; the second grows level by level, not leaf by leaf, with larger leaves.
+# Two profiles; the second grows level by level, not leaf by leaf, with larger leaves.
 TREES = {
     "trees_a": dict(maxIter=300, maxDepth=4, stepSize=0.05, subsamplingRate=0.8, featureSubsetStrategy="0.8", minInstancesPerNode=5),
     "trees_b": dict(maxIter=300, maxDepth=5, stepSize=0.05, subsamplingRate=0.8, featureSubsetStrategy="0.8", minInstancesPerNode=50),

@@ -18,12 +18,13 @@ from tremora.operators.ranking import exact_quantiles, prefix_sums
 from tremora.session import materialize
 
 
-def score_counts(predictions: DataFrame, keys: Sequence[str], y: str = "y", p: str = "p") -> DataFrame:
-    """(keys, p, pos, neg) per distinct clipped probability."""
-    clipped = clip(F.col(p).cast("double"), PROB_EPS, 1 - PROB_EPS)
+def score_counts(predictions: DataFrame, keys: Sequence[str], y: str = "y", p: str = "p", p_ref: str | None = None) -> DataFrame:
+    """(keys, p, pos, neg) per distinct clipped probability; with p_ref also ref_error, the reference's squared errors."""
+    clipped = lambda c: clip(F.col(c).cast("double"), PROB_EPS, 1 - PROB_EPS)
     label = F.col(y).cast("long")
-    return predictions.groupBy(*keys, clipped.alias("p")).agg(
-        F.sum(label).alias("pos"), (F.count(F.lit(1)) - F.sum(label)).alias("neg")
+    ref = [F.sum(F.pow(clipped(p_ref) - label, 2)).alias("ref_error")] if p_ref else []
+    return predictions.groupBy(*keys, clipped(p).alias("p")).agg(
+        F.sum(label).alias("pos"), (F.count(F.lit(1)) - F.sum(label)).alias("neg"), *ref
     )
 
 
@@ -68,11 +69,11 @@ def evaluate(
     """All scores per key; `bss` compares with the reference probability column if one is named."""
     keys = list(keys)
     # Written once: the predictions behind it are usually far more expensive than the score table.
-    scores = materialize(score_counts(predictions, keys, y, p))
+    scores = materialize(score_counts(predictions, keys, y, p, p_ref))
     out = proper_scores(scores, keys).join(ranking_scores(scores, keys), keys)
     if p_ref is None:
         return out
-    ref = proper_scores(score_counts(predictions, keys, y, p_ref), keys).select(*keys, F.col("brier").alias("brier_ref"))
+    ref = scores.groupBy(*keys).agg((F.sum("ref_error") / F.sum(F.col("pos") + F.col("neg"))).alias("brier_ref"))
     return out.join(ref, keys).withColumn("bss", skill(F.col("brier"), F.col("brier_ref")))
 
 

@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
-from dataclasses import astuple, replace
+from dataclasses import astuple, dataclass, replace
 
 import numpy as np
 import pandas as pd
@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tremora.fixed import DAY_US, PLAUSIBLE_RANGES
-from tremora.functions.rates import Triggering, days_between, decay, decay_integral, productivity
+from tremora.functions.rates import Triggering, branching_ratio, days_between, decay, decay_integral, productivity
 
 PENALTY = 1e12
 _SLICES_PER_WINDOW = 8
@@ -134,71 +134,132 @@ def start_point(n_events: int, span_days: float, m0: float) -> Triggering:
     return Triggering(0.5 * n_events / max(span_days, 1.0), 0.1, 1.5, 0.05, 1.1, m0)
 
 
+#: Box of the search, wide enough for any catalog: without clustering the optimum lies on its edge instead of at infinity.
+BOUNDS = {"mu": (1e-6, 1e4), "k": (1e-8, 1e3), "alpha": (1e-3, 5.0), "c": (1e-4, 50.0), "p": (0.3, 5.0)}
+
+
+@dataclass(frozen=True)
+class Fit:
+    theta: Triggering
+    score: float
+    start_score: float
+    rounds: int
+    converged: bool
+    at_bound: bool
+
+
+def _tile_slopes(theta: Triggering, window_us: int):
+    """Partial sums per event for the rate and its derivatives: plain, weighted by magnitude, by 1 / (lag + c) and by ln(lag + c)."""
+
+    def sums(now: pd.DataFrame, before: pd.DataFrame) -> pd.DataFrame:
+        now, before = now.sort_values("t"), before.sort_values("pt")
+        t, ids, pt, pid, pm = (x.to_numpy() for x in (now["t"], now["id"], before["pt"], before["pid"], before["pm"]))
+        size = np.exp(theta.alpha * (pm - theta.m0))
+        heavy = np.column_stack((size, size * (pm - theta.m0)))
+        out = np.zeros((len(t), 4))
+        rows = max(1, _BLOCK // max(len(pt), 1))
+        for at in range(0, len(t), rows):
+            part = slice(at, at + rows)
+            low, high = np.searchsorted(pt, t[part][0] - window_us), np.searchsorted(pt, t[part][-1], "right")
+            gap = t[part, None] - pt[None, low:high]
+            used = ((gap > 0) | ((gap == 0) & (pid[None, low:high] < ids[part, None]))) & (gap <= window_us)
+            lag = np.maximum(gap, 0) / DAY_US + theta.c
+            log = np.log(lag)
+            weight = np.exp(-theta.p * log) * used
+            out[part, :2] = weight @ heavy[low:high]
+            out[part, 2] = (weight / lag) @ size[low:high]
+            out[part, 3] = (weight * log) @ size[low:high]
+        return pd.DataFrame({"id": ids, "t": t, "m": now["m"].to_numpy(), **{f"s{k}": out[:, k] for k in range(4)}})
+
+    return sums
+
+
+def _event_terms(theta: Triggering, last_us: int):
+    """Per batch of events: score without background, gradient (5) and outer products (15), all in logarithms of the parameters."""
+    upper = np.triu_indices(5)
+
+    def terms(batches):
+        for x in batches:
+            s, m = [x[f"s{k}"].to_numpy() for k in range(4)], x["m"].to_numpy() - theta.m0
+            rate = theta.mu + theta.k * s[0]
+            slope = np.column_stack((np.full(len(x), theta.mu), theta.k * s[0], theta.alpha * theta.k * s[1], -theta.p * theta.c * theta.k * s[2], -theta.p * theta.k * s[3])) / rate[:, None]
+            rest, q, size = (last_us - x["t"].to_numpy()) / DAY_US + theta.c, 1 - theta.p, theta.k * np.exp(theta.alpha * m)
+            a, b = np.log(rest), math.log(theta.c)
+            if abs(q) < 1e-8:
+                area, by_p = a - b, -(a * a - b * b) / 2
+            else:
+                area = (rest**q - theta.c**q) / q
+                by_p = -((rest**q * a - theta.c**q * b) / q - area / q)
+            by_c = rest**-theta.p - theta.c**-theta.p
+            expected = np.column_stack((np.zeros(len(x)), size * area, size * area * m * theta.alpha, size * by_c * theta.c, size * by_p * theta.p))
+            values = [(size * area).sum() - np.log(rate).sum(), *(expected - slope).sum(axis=0), *(slope.T @ slope)[upper]]
+            yield pd.DataFrame([values], columns=[f"v{k}" for k in range(21)])
+
+    return terms
+
+
+def _score_and_slopes(now: DataFrame, before: DataFrame, theta: Triggering, first_us: int, last_us: int, window_us: int) -> tuple[float, np.ndarray, np.ndarray]:
+    """(negative log-likelihood, gradient, outer-product curvature) at `theta`: one job, one row on the driver."""
+    parts = now.groupBy(*_TILE).cogroup(before.groupBy(*_TILE)).applyInPandas(_tile_slopes(theta, window_us), "id long, t long, m double, s0 double, s1 double, s2 double, s3 double")
+    events = parts.groupBy("id", "t", "m").agg(*[F.sum(f"s{k}").alias(f"s{k}") for k in range(4)])
+    sums = events.mapInPandas(_event_terms(theta, last_us), ", ".join(f"v{k} double" for k in range(21)))
+    row = np.array(sums.agg(*[F.sum(f"v{k}") for k in range(21)]).first(), dtype=float)
+    background = theta.mu * (last_us - first_us) / DAY_US
+    curvature = np.zeros((5, 5))
+    curvature[np.triu_indices(5)] = row[6:]
+    curvature += np.triu(curvature, 1).T
+    return row[0] + background, row[1:6] + np.array([background, 0, 0, 0, 0]), curvature
+
+
 def fit(
     series: DataFrame, first_us: int, last_us: int, m0: float, window_days: float,
-    start: Triggering | None = None, rounds: int = 40, tolerance: float = 1e-3, crowd: int = _CROWD,
-) -> tuple[Triggering, float, int]:
-    """Maximum-likelihood parameters by pattern search on their logarithms: (parameters, score, rounds).
+    start: Triggering | None = None, rounds: int = 200, tolerance: float = 1e-4, crowd: int = _CROWD,
+) -> Fit:
+    """Maximum-likelihood parameters by damped Newton steps on their logarithms within BOUNDS.
 
-    A round scores all probes around the best point, plus a step along the last improvement, in one
-    distributed job; the driver only chooses the next probes.
+    The curvature is the sum of outer products of the events' slopes. The search has converged when the step at hand
+    promises to gain less than `tolerance` of log-likelihood; without that within `rounds` evaluations it raises.
     """
     window_us = int(window_days * DAY_US)
     now, before = (side.persist() for side in _tiles(series.select("canonical_id", "t_us", "mag"), window_us, crowd))
-    if start is None:
-        start = start_point(series.count(), (last_us - first_us) / DAY_US, m0)
-    point = [math.log(v) for v in astuple(start)[:5]]
-    names = ("mu", "k", "alpha", "c", "p")
-    as_theta = lambda logs: replace(start, **{n: math.exp(v) for n, v in zip(names, logs)})
-    steps, best, momentum = [0.5] * 5, None, None
-    used = 0
-    for used in range(1, rounds + 1):
-        probes = [list(point)] if best is None else []
-        for axis in range(5):
-            for sign in (1, -1):
-                moved = list(point)
-                moved[axis] += sign * steps[axis]
-                probes.append(moved)
-        if momentum is not None:
-            probes += [[x + f * d for x, d in zip(point, momentum)] for f in (1.0, 2.0)]
-        thetas = [as_theta(q) for q in probes]
-        scored = _neg_loglik(_rates(now, before, thetas, window_us), m0, first_us, last_us)
-        values = {r["theta"]: r["neg_loglik"] for r in scored.collect()}  # one row per probe
-        if best is None:
-            best = values.pop(0)
-            offset = 1
-        else:
-            offset = 0
-        # Combine the improving direction of every axis into the next extra probe.
-        shift = [0.0] * 5
-        for axis in range(5):
-            up, down = values[offset + 2 * axis], values[offset + 2 * axis + 1]
-            lower = min(up, down)
-            if lower < best:
-                shift[axis] = steps[axis] if up < down else -steps[axis]
+    try:
+        if start is None:
+            start = start_point(series.count(), (last_us - first_us) / DAY_US, m0)
+        low, high = (np.log([BOUNDS[n][side] for n in BOUNDS]) for side in (0, 1))
+        as_theta = lambda logs: replace(start, **{n: math.exp(v) for n, v in zip(BOUNDS, logs)})
+        point = np.clip(np.log(astuple(start)[:5]), low, high)
+        score, slope, curvature = _score_and_slopes(now, before, as_theta(point), first_us, last_us, window_us)
+        begun, damping = score, 1e-3
+        for used in range(1, rounds + 1):
+            # parameters that the slope presses against a bound stay there
+            free = ~(((point <= low) & (slope > 0)) | ((point >= high) & (slope < 0)))
+            g, h = slope[free], curvature[np.ix_(free, free)]
+            ridge = 1e-9 * max(1.0, float(np.trace(h))) * np.eye(len(g))
+            if not len(g) or g @ np.linalg.solve(h + ridge, g) / 2 < tolerance:
+                return Fit(as_theta(point), float(score), float(begun), used, True, bool((~free).any()))
+            step = np.zeros(5)
+            step[free] = -np.linalg.solve(h + damping * np.diag(np.diag(h)) + ridge, g)
+            trial = np.clip(point + np.clip(step, -1.5, 1.5), low, high)
+            if np.abs(trial - point).max() < 1e-9:
+                return Fit(as_theta(point), float(score), float(begun), used, True, bool((~free).any()))
+            new = _score_and_slopes(now, before, as_theta(trial), first_us, last_us, window_us)
+            if np.isfinite(new[0]) and new[0] <= score:
+                point, (score, slope, curvature), damping = trial, new, max(damping / 4, 1e-9)
             else:
-                steps[axis] *= 0.5
-        winner = min(values, key=values.get)
-        if values[winner] < best - 1e-9:
-            moved = probes[winner]
-            travelled = [a - b for a, b in zip(moved, point)]
-            momentum = [s - t if abs(s) > 0 and abs(t) < 1e-15 else t for s, t in zip(shift, travelled)]
-            point, best = moved, values[winner]
-        else:
-            momentum = None
-        if max(steps) < tolerance:
-            break
-    now.unpersist()
-    before.unpersist()
-    return as_theta(point), float(best), used
+                damping = max(damping * 6, 1e-3)
+        raise RuntimeError(f"no optimum within {rounds} evaluations; last score {score}")
+    finally:
+        now.unpersist()
+        before.unpersist()
 
 
 def plausibility(theta: Triggering, b: float, span_days: float, n_events: int, spark) -> DataFrame:
     """(name, value, low, high, ok) plus the background share mu*T/N without bounds."""
-    values = {"p": theta.p, "c": theta.c, "alpha_ln10": theta.alpha / math.log(10.0), "n": theta.branching_ratio(b)}
-    rows = [(name, values[name], low, high) for name, low, high in PLAUSIBLE_RANGES]
-    rows.append(("background_share", theta.mu * span_days / n_events, None, None))
-    table = spark.createDataFrame(rows, "name string, value double, low double, high double")
+    ratio = branching_ratio(F.lit(theta.k), F.lit(theta.alpha), F.lit(theta.c), F.lit(theta.p), b)
+    values = {"p": F.lit(theta.p), "c": F.lit(theta.c), "alpha_ln10": F.lit(theta.alpha / math.log(10.0)), "n": ratio, "background_share": F.lit(theta.mu * span_days / n_events)}
+    limits = {name: (low, high) for name, low, high in PLAUSIBLE_RANGES}
+    rows = [F.struct(F.lit(n).alias("name"), v.cast("double").alias("value"), *(F.lit(x).cast("double").alias(k) for k, x in zip(("low", "high"), limits.get(n, (None, None))))) for n, v in values.items()]
+    table = spark.range(1).select(F.inline(F.array(*rows)))
     return table.withColumn("ok", F.col("value").between(F.col("low"), F.col("high")))
 
 

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tremora.fixed import Box
-from tremora.session import materialize
 
+# The stored columns are the contract of the written tables.
 OBS_KEY = ("source", "source_event_id")
 OBS_UPDATED = ("canonical_id", "mw", "mw_method", "country")
 OBS_STORED = (
@@ -33,10 +34,24 @@ def manifest(rows: DataFrame, source: str, batch_id: str, start: str, end: str,
     return described.withColumn("document", F.to_json(F.struct("*"), {"ignoreNullFields": "false"}))
 
 
+def land(rows: DataFrame, path: str) -> None:
+    """Land rows under their own source= and batch_id= in one write.
+
+    A batch that is there already is left as it is, so landing again changes nothing. Existing batches are read off the folder names.
+    """
+    spark = rows.sparkSession
+    try:
+        held = spark.read.schema("source string, batch_id string").parquet(path).distinct()
+        rows = rows.join(held, ["source", "batch_id"], "left_anti")
+    except AnalysisException as problem:
+        if problem.getCondition() != "PATH_NOT_FOUND":
+            raise
+    rows.write.mode("append").partitionBy("source", "batch_id").parquet(path)
+
+
 def append_raw(rows: DataFrame, path: str, source: str, batch_id: str) -> None:
-    """Land a batch once under source=/batch_id=; existing files are never touched."""
-    landed = rows.withColumn("source", F.lit(source)).withColumn("batch_id", F.lit(batch_id))
-    landed.write.mode("append").partitionBy("source", "batch_id").parquet(path)
+    """Land one batch; a second landing of the same batch has no effect."""
+    land(rows.withColumn("source", F.lit(source)).withColumn("batch_id", F.lit(batch_id)), path)
 
 
 def append_manifest(description: DataFrame, path: str) -> None:
@@ -71,10 +86,41 @@ def merged(stored: DataFrame, new: DataFrame, key: Sequence[str] = OBS_KEY, upda
     return joined.select(*pick)
 
 
-def upsert(new: DataFrame, path: str, key: Sequence[str] = OBS_KEY, updated: Sequence[str] = OBS_UPDATED) -> None:
-    """Merge into a parquet table. The result is written aside before the table it reads is replaced."""
-    stored = new.sparkSession.read.parquet(path)
-    overwrite(materialize(merged(stored, new, key, updated)), path)
+def _versions(spark: SparkSession, path: str) -> list[int]:
+    """Complete versions under `path`, oldest first, on whatever store it lies."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    store = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not store.exists(folder):
+        return []
+    names = [s.getPath().getName() for s in store.listStatus(folder)]
+    done = lambda n: store.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{n}/_SUCCESS"))
+    return sorted(int(n[2:]) for n in names if n.startswith("v=") and done(n))
+
+
+def publish(df: DataFrame, path: str) -> None:
+    """Write `df` as the next version of the table at `path`; readers see it once it is complete, the versions before stay."""
+    last = max(_versions(df.sparkSession, path), default=0)
+    df.write.mode("overwrite").parquet(f"{path}/v={last + 1}")
+
+
+def current(spark: SparkSession, path: str) -> DataFrame:
+    found = _versions(spark, path)
+    if not found:
+        raise FileNotFoundError(path)
+    return spark.read.parquet(f"{path}/v={found[-1]}")
+
+
+def last_per_key(rows: DataFrame, key: Sequence[str], arrival: str | None) -> DataFrame:
+    """One row per key: the last by `arrival`, ties and rows without an arrival by their values."""
+    rest = [c for c in rows.columns if c not in key and c != arrival]
+    order = F.struct(*([F.col(arrival)] if arrival else []), *rest)
+    return rows.groupBy(*key).agg(F.max_by(F.struct(*rest), order).alias("_r")).select(*key, *[F.col(f"_r.{c}").alias(c) for c in rest])
+
+
+def upsert(new: DataFrame, path: str, key: Sequence[str] = OBS_KEY, updated: Sequence[str] = OBS_UPDATED, arrival: str | None = None) -> None:
+    """Merge into the published table at `path` as its next version; of repeated incoming keys the last one counts."""
+    stored = current(new.sparkSession, path)
+    publish(merged(stored, last_per_key(new, key, arrival), key, updated), path)
 
 
 def replace_events(events: DataFrame, path: str) -> None:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from tremora.fixed import DAY_US
 from tremora.schema import OBS
+from tremora.session import scratch_path
 
 log = logging.getLogger(__name__)
 
@@ -82,20 +83,34 @@ def optional(spark: SparkSession, reader: Callable[[], DataFrame], name: str) ->
         return spark.createDataFrame([], OBS)
 
 
-def union_sources(spark: SparkSession, wanted: list[str], readers: Mapping[str, Callable[[], DataFrame]]) -> DataFrame:
-    """All observations of the wanted sources. Unknown names are ignored and a failing source is left out;
-    it is an error if nothing remains."""
-    frames = []
+def landed_sources(spark: SparkSession, wanted: list[str], readers: Mapping[str, Callable[[], DataFrame]]) -> tuple[DataFrame, DataFrame]:
+    """(all observations of the wanted sources, (source, status, n, problem) of each).
+
+    Every source is landed in a table of its own, so one that breaks in its last file is left out like one that breaks in its
+    first, and its status says so. Unknown names have status `unknown`. It is an error if nothing remains.
+    """
+    frames, told = [], []
     for name in wanted:
         if name not in readers:
             log.warning("unknown source ignored: %s", name)
+            told.append((name, "unknown", 0, None))
             continue
+        path = scratch_path(spark, f"landed-{name}")
         try:
             frame = readers[name]()
-            frame.limit(1).count()  # surfaces unreadable files here, not in the union
-            frames.append(frame)
+            frame.write.parquet(path)
+            landed = spark.read.schema(frame.schema).parquet(path)
+            told.append((name, "landed", landed.count(), None))
+            frames.append(landed)
         except Exception as problem:  # noqa: BLE001 - one broken source must not stop the others
             log.error("source %s failed: %s", name, problem)
+            told.append((name, "failed", 0, str(problem).split("\n", 1)[0][:200]))
     if not frames:
         raise RuntimeError("no source returned data")
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
+    union = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
+    return union, spark.createDataFrame(told, "source string, status string, n long, problem string")
+
+
+def union_sources(spark: SparkSession, wanted: list[str], readers: Mapping[str, Callable[[], DataFrame]]) -> DataFrame:
+    """All observations of the wanted sources that could be read to the end."""
+    return landed_sources(spark, wanted, readers)[0]

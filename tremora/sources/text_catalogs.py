@@ -10,7 +10,11 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tremora.operators.normalize import to_observations
-from tremora.schema import COMMA24_TEXT, NATIVE
+from tremora.schema import COMMA24_PLACES, COMMA24_TEXT, NATIVE
+
+
+# A cast alone would also read suffixed literals such as 5.0d.
+_DECIMAL = r"^[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?$"
 
 
 def _text(c: Column) -> Column:
@@ -20,7 +24,8 @@ def _text(c: Column) -> Column:
 
 
 def _number(c: Column) -> Column:
-    return _text(c).try_cast("double")
+    text = _text(c)
+    return F.when(text.rlike(_DECIMAL), text).try_cast("double")
 
 
 def _zero_filled(c: Column, width: int) -> Column:
@@ -86,11 +91,12 @@ def read_semicolon(spark: SparkSession, path: str) -> DataFrame:
 
 def comma24_observations(table: DataFrame) -> DataFrame:
     """Observations from the 24 positional text columns; all magnitudes are Mw."""
+    at = lambda field: F.col(COMMA24_TEXT.names[COMMA24_PLACES[field]])
     return to_observations(table.select(
-        F.lit("iscgem").alias("source"), F.trim("eventid").alias("source_event_id"), F.try_to_timestamp(F.trim("date")).alias("origin_time"),
-        _number(F.col("lat")).alias("latitude"), _number(F.col("lon")).alias("longitude"), _number(F.col("depth")).alias("depth_km"),
-        _number(F.col("mw")).alias("magnitude"), F.lit("Mw").alias("magnitude_type"),
-        F.coalesce(_text(F.col("mo_auth")), F.lit("ISC-GEM")).alias("author"), F.lit("ISC-GEM").alias("catalog"),
+        F.lit("iscgem").alias("source"), F.trim(at("id")).alias("source_event_id"), F.try_to_timestamp(F.trim(at("time"))).alias("origin_time"),
+        _number(at("latitude")).alias("latitude"), _number(at("longitude")).alias("longitude"), _number(at("depth")).alias("depth_km"),
+        _number(at("magnitude")).alias("magnitude"), F.lit("Mw").alias("magnitude_type"),
+        F.coalesce(_text(at("agency")), F.lit("ISC-GEM")).alias("author"), F.lit("ISC-GEM").alias("catalog"),
     ).filter("latitude IS NOT NULL AND longitude IS NOT NULL AND magnitude IS NOT NULL"))
 
 
