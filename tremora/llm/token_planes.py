@@ -12,6 +12,7 @@ ids (4 bytes), compressed size of each plane (4 bytes each), the compressed plan
 
 from __future__ import annotations
 
+import os
 import re
 import struct
 import zlib
@@ -33,7 +34,7 @@ BIT, BYTE = 1, 8
 ID_BYTES = 4
 END_ID = 2
 BLOCK_IDS = 1 << 16
-_CACHED, _LONGEST, _PORTION = 300_000, 48, 1 << 20
+_CACHED, _LONGEST, _PORTION, _TOGETHER = 120_000, 48, 1 << 20, 4000
 _ODD_SPACE = re.compile(r"[^\S \n]")
 
 
@@ -69,47 +70,87 @@ def unpack(payload: bytes) -> np.ndarray:
 class Encoder:
     """Encodes whole texts with the tokenizers library, remembering the ids of short pieces.
 
-    The byte-level pattern never matches from a non-space into a space, and a single space before a non-space always
-    begins a new match. Texts are therefore cut at such spaces; every other stretch of white space stays inside its piece.
+    The byte-level pattern never matches from a non-space into white space, a single space before a non-space always begins a
+    new match, and a single line feed between non-spaces is a match of its own. Texts are cut there and nowhere else; other
+    stretches of white space stay inside their piece. New pieces are encoded many at a time, one after the other in one
+    text, and told apart by the byte lengths of their tokens.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
+        self.lengths = np.zeros(max(vocabulary.values()) + 1, dtype=np.int64)
+        for token, k in vocabulary.items():
+            self.lengths[k] = len(token)  # one letter stands for one byte
         self.known: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
     @staticmethod
-    def pieces(text: str) -> list[str]:
-        cut = text.split(" ")
-        if all(cut) and " \n" not in text and "\n " not in text and not _ODD_SPACE.search(text):
-            return [cut[0], *map(" ".__add__, cut[1:])]
-        out = [cut[0]]
-        for p in cut[1:]:
-            if p and not p[0].isspace() and out[-1] and not out[-1][-1].isspace():
-                out.append(" " + p)
+    def pieces(text: str) -> tuple[list[str], bool]:
+        """The pieces, and whether all of them are words, words after a space and single line feeds."""
+        if "<|" not in text and " \n" not in text and "\n " not in text and "\n\n" not in text and not _ODD_SPACE.search(text):
+            out = []
+            for k, line in enumerate(text.split("\n")):
+                cut = line.split(" ")
+                if not all(cut):
+                    break
+                if k:
+                    out.append("\n")
+                out.append(cut[0])
+                out += map(" ".__add__, cut[1:])
             else:
+                return out, True
+        out = []
+        for k, p in enumerate(text.split(" ")):
+            if k and (not p or p[0].isspace() or not out[-1] or out[-1][-1].isspace()):
                 out[-1] += " " + p
-        return [p for p in out if p]
+            else:
+                out.append(" " + p if k else p)
+        return [p for p in out if p], False
+
+    def _learn(self, words: list[str], before: str = "") -> None:
+        """Ids of words that begin with a space, or of words that may follow `before`, a token of its own, which is then left out."""
+        skip = len(before) * ID_BYTES
+        for at in range(0, len(words), _TOGETHER):
+            some = words[at : at + _TOGETHER]
+            placed = [before + w for w in some] if before else some
+            ids = np.array(self.tokenizer.encode("".join(placed), add_special_tokens=False).ids, dtype="<u4")
+            ends = np.cumsum(np.fromiter(map(len, map(str.encode, placed)), dtype=np.int64, count=len(placed)))
+            places = ((np.searchsorted(np.cumsum(self.lengths[ids]), ends) + 1) * ID_BYTES).tolist()
+            code = ids.tobytes()
+            self.known.update(zip(some, [code[a + skip : b] for a, b in zip([0, *places], places)]))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
-        cut = [self.pieces(t) if t else [] for t in texts]
-        missing = list({p for c in cut for p in c}.difference(self.known))
+        cut = [self.pieces(t) if t else ([], True) for t in texts]
         if len(self.known) > _CACHED:
-            self.known.clear()
-            missing = list({p for c in cut for p in c})
-        new = {p: array("I", e.ids).tobytes() for p, e in zip(missing, self.tokenizer.encode_batch_fast(missing, add_special_tokens=False))}
-        self.known.update(new)
-        out = [b"".join(map(self.known.__getitem__, c)) for c in cut]
-        for p in new:
-            if len(p) > _LONGEST:
-                del self.known[p]
+            # the last generation is asked once more, so frequent pieces survive
+            self.known, self.old = {}, self.known
+        known, old, plain, odd = self.known, self.old, set(), set()
+        for c, all_plain in cut:
+            (plain if all_plain else odd).update(c)
+        for found in (plain, odd):
+            known.update([(p, old[p]) for p in found.difference(known) if p in old])
+        plain = plain.difference(known)
+        odd = odd.difference(known).difference(plain)
+        odd.update(plain.intersection(("\n",)))
+        plain.discard("\n")
+        self._learn([p for p in plain if p[0] == " "])
+        self._learn([p for p in plain if p[0] != " "], "\n")
+        rest = list(odd)
+        known.update(zip(rest, [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)]))
+        out = [b"".join(map(known.__getitem__, c)) for c, _ in cut]
+        for p in [p for p in (*plain, *odd) if len(p) > _LONGEST]:
+            del known[p]
         return out
 
 
 @lru_cache(maxsize=2)
 def encoder(path: str) -> Encoder:
+    """One per worker; a task has one core, so the library's own threads would only wait for each other."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
     return Encoder(path)
 
 
