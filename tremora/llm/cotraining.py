@@ -79,12 +79,16 @@ def _text_rows(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(made, pa.binary())], schema=schema)
 
 
-def features(docs: DataFrame, pages: DataFrame) -> DataFrame:
-    """(doc_id, h, words, meta): both views; h orders rows by a hash for samples. Null texts are empty; rows of one id share metadata."""
+def features(docs: DataFrame, pages: DataFrame, labels: DataFrame) -> DataFrame:
+    """(doc_id, h, words, meta, good): both views and the label, null where unknown; h orders rows by a hash for samples.
+
+    Null texts are empty; rows of one id share metadata and label. All joins happen here, once.
+    """
     rows = identified(docs, F.xxhash64("doc_id", "text").alias("h")).select("doc_id", "h", "text")
-    meta = metadata(docs, pages).groupBy("doc_id").agg(F.first("meta").alias("meta"))
+    truth = labels.filter("doc_id IS NOT NULL AND good IS NOT NULL").groupBy("doc_id").agg(F.min("good").cast("int").alias("good"))
+    known = metadata(docs, pages).groupBy("doc_id").agg(F.first("meta").alias("meta")).join(truth, "doc_id", "left")
     found = rows.mapInArrow(_text_rows, "doc_id long, h long, words binary")
-    return stored(found.join(meta, "doc_id", "left").withColumn("meta", F.coalesce("meta", F.array().cast("array<int>"))), "views")
+    return stored(found.join(known, "doc_id", "left").withColumn("meta", F.coalesce("meta", F.array().cast("array<int>"))), "views")
 
 
 @dataclass
@@ -160,13 +164,9 @@ def _confident(text: Model, meta: Model):
     return run
 
 
-def train(views: DataFrame, labels: DataFrame, rounds: int = 3, labelled: int = 8000, pseudo: int = 1000) -> tuple[Model, Model, np.ndarray] | None:
-    """Both models and the coefficients of their combination; None if the labels are not of two kinds.
-
-    labels(doc_id, good): of contradictory labels of a document the worse counts, null ones don't.
-    """
-    truth = labels.filter("doc_id IS NOT NULL AND good IS NOT NULL").groupBy("doc_id").agg(F.min("good").alias("good"))
-    known = views.join(truth, "doc_id").orderBy("h", "doc_id").limit(labelled).select("h", "words", "meta", "good").collect()
+def train(views: DataFrame, rounds: int = 3, labelled: int = 8000, pseudo: int = 1000) -> tuple[Model, Model, np.ndarray] | None:
+    """Both models and the coefficients of their combination; None if the labels are not of two kinds."""
+    known = views.filter("good IS NOT NULL").orderBy("h", "doc_id").limit(labelled).select("h", "words", "meta", "good").collect()
     words = [np.frombuffer(bytes(r["words"]), np.uint16) for r in known]
     metas = [np.array(r["meta"], dtype=np.int64) for r in known]
     y = np.array([float(r["good"]) for r in known])
@@ -176,7 +176,7 @@ def train(views: DataFrame, labels: DataFrame, rounds: int = 3, labelled: int =
     pick = lambda rows, mask: [r for r, m in zip(rows, mask) if m]
     sets = {"text": (pick(words, ~held), y[~held]), "meta": (pick(metas, ~held), y[~held])}
     models: dict[str, Model | None] = {"text": None, "meta": None}
-    free = views.join(truth, "doc_id", "left_anti")
+    free = views.filter("good IS NULL")
     for k in range(rounds + 1):
         for name, view in (("text", words), ("meta", metas)):
             rows, target = sets[name]
@@ -212,10 +212,11 @@ def _scored(found: tuple[Model, Model, np.ndarray]):
 def scored(docs: DataFrame, pages: DataFrame, labels: DataFrame, threshold: float = 0.5, **limits: int) -> DataFrame:
     """(doc_id, text_score, meta_score, score, kept) for each row of `docs`; labels(doc_id, good) teach.
 
-    Without labels of two kinds nothing can be learnt: scores are null and all rows are kept.
+    Of contradictory labels of a document the worse counts, null ones don't. Without labels of two kinds nothing can be learnt: scores
+    are null and all rows are kept.
     """
-    views = features(docs, pages)
-    found = train(views, labels, **limits)
+    views = features(docs, pages, labels)
+    found = train(views, **limits)
     if found is None:
         empty = F.lit(None).cast("double")
         return views.select("doc_id", empty.alias("text_score"), empty.alias("meta_score"), empty.alias("score"), F.lit(True).alias("kept"))
