@@ -26,7 +26,7 @@ WINDOW = 35
 GRAM = 8
 SPAN = WINDOW - GRAM + 1
 SMALL = np.uint64(2**64 // 12)
-HOT = 2000
+HOT = 20_000
 SHARD_WORDS = 400_000
 
 
@@ -95,14 +95,9 @@ def stretches(hashes: np.ndarray, known: np.ndarray, hot: np.ndarray, window: in
         yield s, n, route - (route >> 63 << 64)
 
 
-def _keys() -> list:
-    """Rows are named by a hash of id and text beside the id: equal rows share a name and are treated alike."""
-    return [F.xxhash64("doc_id", "text").alias("k1"), F.coalesce("doc_id", F.lit(-1)).cast("long").alias("k2")]
-
-
 def _keyed(docs: DataFrame) -> DataFrame:
-    rows = identified(docs)
-    return rows.select(*_keys(), "doc_id", "text")
+    """Rows named by two hashes of their text: equal texts are cut once and count as often as they occur."""
+    return identified(docs).select(F.xxhash64("text").alias("k1"), F.xxhash64(F.lit("second"), "text").alias("k2"), "doc_id", "text")
 
 
 def _digest(words: list[bytes]) -> str:
@@ -126,23 +121,24 @@ def _scan(window: int):
     return run
 
 
-def _cut(window: int, with_words: bool):
-    fields = [("k1", pa.int64()), ("k2", pa.int64()), ("first", pa.int32()), ("route", pa.int64()), ("name", pa.binary())]
-    schema = pa.schema([*fields, ("words", pa.binary())] if with_words else fields)
+def _cut(window: int):
+    schema = pa.schema([("k1", pa.int64()), ("k2", pa.int64()), ("n", pa.int64()), ("first", pa.int32()), ("route", pa.int64()), ("name", pa.binary()), ("words", pa.binary())])
 
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordHashes()
         for batch in stream:
-            for k1, k2, text, twice in zip(*(batch.column(k) for k in range(4))):
+            for k1, k2, text, twice, n in zip(*(batch.column(k) for k in range(5))):
                 pairs = sorted((r["gram"] % 2**64, r["hot"]) for r in twice.as_py())
                 hashes = known.of((text.as_py() or b"").split())
-                symbols = (hashes >> np.uint64(32)).astype("<u4")
-                rows = []
-                for s, n, route in stretches(hashes, np.array([p[0] for p in pairs], dtype=np.uint64), np.array([p[1] for p in pairs], dtype=bool), window):
-                    words = symbols[s : s + n + window - 1].tobytes()
-                    rows.append((k1.as_py(), k2.as_py(), s, route, xxhash.xxh3_128_digest(words), words)[: len(schema)])
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+                symbols = (hashes >> np.uint64(32)).astype("<u4").tobytes()
+                first, routes, words = [], [], []
+                for s, m, route in stretches(hashes, np.array([p[0] for p in pairs], dtype=np.uint64), np.array([p[1] for p in pairs], dtype=bool), window):
+                    first.append(s)
+                    routes.append(route)
+                    words.append(symbols[4 * s : 4 * (s + m + window - 1)])
+                same = [[x.as_py()] * len(first) for x in (k1, k2, n)]
+                if first:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip((*same, first, routes, map(xxhash.xxh3_128_digest, words), words), schema)], schema=schema)
 
     return run
 
@@ -203,21 +199,21 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, hot: int = HOT, shard
     """(doc_id, n_words, n_removed, kept_sha256) for each row of `docs`.
 
     Words covered by a window that also starts anywhere else, in the same text or another, are removed. Null texts have no words;
-    equal rows count as two texts. `hot` and `shard_words` change where work is done, never the result.
+    equal rows count as two texts. Texts are named by 128-bit hashes. `hot` and `shard_words` change where work is done, never the result.
     """
     scan = stored(_keyed(docs).mapInArrow(_scan(window), "k1 long, k2 long, doc_id long, n_words long, whole string, grams array<bigint>"), "substring-scan")
     twice = scan.select(F.explode("grams").alias("gram")).groupBy("gram").count().filter("count > 1").select("gram", (F.col("count") > hot).alias("hot"))
-    own = scan.select("k1", "k2", F.explode(F.array_distinct("grams")).alias("gram")).join(twice, "gram")
+    own = scan.groupBy("k1", "k2").agg(F.first("grams").alias("grams")).select("k1", "k2", F.explode(F.array_distinct("grams")).alias("gram")).join(twice, "gram")
     lists = own.groupBy("k1", "k2").agg(F.collect_set(F.struct("gram", "hot")).alias("twice"))
-    texts = stored(_keyed(docs).join(lists, ["k1", "k2"]).select("k1", "k2", "text", "twice"), "substring-texts")
-    cut = texts.mapInArrow(_cut(window, True), "k1 long, k2 long, first int, route long, name binary, words binary")
-    distinct = stored(cut.groupBy("route", "name").agg(F.count(F.lit(1)).alias("weight"), F.first("words").alias("words")), "substring-stretches")
+    # copies are counted where they are read, so a text that a third of all rows share is moved once per task
+    counted = _keyed(docs).groupBy("k1", "k2").agg(F.first("text").alias("text"), F.count(F.lit(1)).alias("n"))
+    texts = stored(counted.join(lists, ["k1", "k2"]).select("k1", "k2", "text", "twice", "n"), "substring-texts")
+    cut = stored(texts.mapInArrow(_cut(window), "k1 long, k2 long, n long, first int, route long, name binary, words binary"), "substring-cut")
+    distinct = stored(cut.groupBy("route", "name").agg(F.sum("n").alias("weight"), F.first("words").alias("words")), "substring-stretches")
     words = distinct.agg(F.sum(F.length("words") / 4)).first()[0] or 0
     shards = distinct.select("route", "name", "weight", "words").repartition(max(1, int(words // shard_words) + 1), "route")
     found = stored(shards.mapInArrow(_index_shard(window), "route long, name binary, starts array<int>").filter(F.size("starts") > 0), "substring-found")
-    places = texts.mapInArrow(_cut(window, False), "k1 long, k2 long, first int, route long, name binary")
-    spots = places.join(found, ["route", "name"]).groupBy("k1", "k2").agg(F.collect_set(F.struct("first", "starts")).alias("spots"))
+    spots = cut.select("k1", "k2", "first", "route", "name").join(found, ["route", "name"]).groupBy("k1", "k2").agg(F.collect_set(F.struct("first", "starts")).alias("spots"))
     removed = texts.select("k1", "k2", "text").join(spots, ["k1", "k2"]).mapInArrow(_without(window), "k1 long, k2 long, removed long, kept string")
-    removed = removed.groupBy("k1", "k2").agg(F.max("removed").alias("removed"), F.max("kept").alias("kept"))
     every = scan.drop("grams").join(removed, ["k1", "k2"], "left")
     return every.select("doc_id", "n_words", F.coalesce("removed", F.lit(0)).cast("long").alias("n_removed"), F.coalesce("kept", "whole").alias("kept_sha256"))
