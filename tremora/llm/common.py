@@ -1,10 +1,7 @@
-"""Helpers shared by the training-data operators: words, tables in the shared folder, Arrow batches."""
+"""Helpers shared by the training-data operators: words, tables in the shared folder, batches of texts."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,6 +11,7 @@ from tremora.session import configure, scratch_path
 #: `bytes.split()` splits at exactly these six, so tasks work on UTF-8 bytes and never decode a text to find words.
 WORD = r"[^\x20\x09-\x0D]+"
 
+BATCH_ROWS = 500
 DOCUMENT_COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
@@ -28,20 +26,15 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def identified(docs: DataFrame, *more: str | Column) -> DataFrame:
-    """(doc_id long, text as UTF-8 bytes, more): all that crosses to Python, whatever else the table holds."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").cast("binary").alias("text"), *more)
-
+def small_batches(docs: DataFrame) -> DataFrame:
+    """Texts go to Python a few hundred at a time: batches of the usual number of rows would hold very long texts by the thousand."""
+    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    return docs
 
-def batches(schema: pa.Schema, fn: Callable[..., list]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """A mapInArrow function that applies `fn(*columns)`, lists in and lists out, to each Arrow batch."""
 
-    def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in stream:
-            out = fn(*(c.to_pylist() for c in batch.columns))
-            yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(out, schema)], schema=schema)
-
-    return run
+def identified(docs: DataFrame, *more: str | Column) -> DataFrame:
+    """(doc_id long, text as UTF-8 bytes, more): all that crosses to Python, whatever else the table holds."""
+    return small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").cast("binary").alias("text"), *more)
 
 
 def word_count(text: Column) -> Column:

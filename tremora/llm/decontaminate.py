@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tremora.llm.common import identified
+from tremora.llm.common import identified, small_batches
 
 PASSAGE = 128
 HALF = PASSAGE // 2
@@ -247,7 +247,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.6, ov
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.6, overlap: float = 0.8, max_items: int = 20_000) -> DataFrame:
     """The rows of `docs` that hold no test item."""
-    at, out = docs.columns.index("text"), docs
+    at, out = docs.columns.index("text"), small_batches(docs)
 
     def clean(index: Index):
         def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tremora.llm.common import identified, stored
+from tremora.llm.common import identified, small_batches, stored
 
 WINDOW = 5
 SYMBOLS = b"[#*$%&|<>]"[1:-1]
@@ -182,4 +182,4 @@ def keep_good(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
             texts = batch.column(at)
             yield batch.filter(pa.array([passed(None if t.as_py() is None else t.as_py().encode()) for t in texts], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return small_batches(docs).mapInArrow(run, docs.schema)
