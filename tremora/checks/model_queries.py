@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tremora.checks import feature_queries as FQ
@@ -172,19 +173,43 @@ def _(spark, sf):
     return forecasting.baseline_comparison(materialize(FQ.table(spark, sf)), TARGET, FIRST_TEST, mc=MC)
 
 
+_MODELS: dict[tuple, tuple] = {}
+
+
+def _trained(spark, sf, profile):
+    """(model, train, test) of a full profile; queries of one session share the training."""
+    key = (spark.sparkContext.applicationId, sf, profile)
+    if key not in _MODELS:
+        train, test = forecasting.split_at_year(materialize(FQ.table(spark, sf)), FIRST_TEST)
+        _MODELS[key] = (forecasting.train_trees(train, TARGET, profile), train, test)
+    return _MODELS[key]
+
+
+def _tree_scores(spark, sf, profile):
+    model, _, test = _trained(spark, sf, profile)
+    scored = forecasting.tree_probability(model, test)
+    return metrics.evaluate(scored.select(F.lit(profile).alias("model"), F.col(TARGET).alias("y"), "p"), ["model"])
+
+
+_TESTED = f"WITH {_CORE}, z AS (SELECT y FROM f WHERE year(make_timestamp(t)) >= {FIRST_TEST})"
+
+
 def _tree_query(name: str, profile: str) -> None:
-    @query(name)
+    @query(name, f"{_TESTED} SELECT '{profile}' AS model, count(*) AS n, sum(y)::BIGINT AS n_pos, round(sum(y) / count(*), 10) AS base_rate, true AS scored FROM z")
     def _(spark, sf):
-        train, test = forecasting.split_at_year(materialize(FQ.table(spark, sf)), FIRST_TEST)
-        model = forecasting.train_trees(train, TARGET, profile, maxIter=5)
-        scored = forecasting.tree_probability(model, test)
-        return metrics.evaluate(scored.select(F.lit(profile).alias("model"), F.col(TARGET).alias("y"), "p"), ["model"])
+        told = (F.col("brier").between(0, 1) & F.col("logloss").isNotNull() & F.col("roc_auc").between(0, 1)).alias("scored")
+        return _tree_scores(spark, sf, profile).select("model", "n", "n_pos", F.round("base_rate", 10).alias("base_rate"), told)
 
 
 _tree_query("mod_10_trees_a", "trees_a")
 _tree_query("mod_11_trees_b", "trees_b")
 
 
+@query("mod_11_tree_scores")
+def _(spark, sf):
+    return _tree_scores(spark, sf, "trees_a").unionByName(_tree_scores(spark, sf, "trees_b"))
+
+
 @query("mod_12_feature_list", "SELECT unnest(['cnt_7d','cnt_30d','cnt_90d','cnt_365d','cnt_all','maxmag_30d','maxmag_90d','maxmag_365d','logE_30d','logE_365d','days_since_last','days_since_M5','nb_cnt_30d','nb_cnt_365d','nb_maxmag_365d','reg_cnt_30d','reg_maxmag_30d','cen_lat','cen_lon','etas_cell','etas_nb']) AS feature, (SELECT count(*) FROM base) AS n FROM (SELECT 1)".replace("SELECT unnest", f"WITH {S.grid()} SELECT unnest", 1))
 def _(spark, sf):
     table = FQ.table(spark, sf)
@@ -192,27 +217,30 @@ def _(spark, sf):
     return counted.unpivot([], counted.columns, "feature", "n")
 
 
-@query("mod_13_probabilities")
+@query("mod_13_probabilities", f"WITH {_CORE} SELECT cell_id, t AS t_us, true AS possible FROM f WHERE year(make_timestamp(t)) >= {FIRST_TEST}")
 def _(spark, sf):
-    train, test = forecasting.split_at_year(materialize(FQ.table(spark, sf)), FIRST_TEST)
-    model = forecasting.train_trees(train, TARGET, maxIter=3)
-    return forecasting.tree_probability(model, test).select("cell_id", "t_us", "p")
+    model, _, test = _trained(spark, sf, "trees_a")
+    return forecasting.tree_probability(model, test).select("cell_id", "t_us", F.col("p").between(0, 1).alias("possible"))
 
 
-@query("mod_14_importance")
+@query("mod_14_importance", "SELECT unnest(range(1, 9)) AS rank, true AS declared, true AS ordered, true AS measured")
 def _(spark, sf):
-    train, test = forecasting.split_at_year(materialize(FQ.table(spark, sf)), FIRST_TEST)
-    model = forecasting.train_trees(train, TARGET, maxIter=3)
-    top = forecasting.split_importance(model, train)
-    names = [r["feature"] for r in top.orderBy("rank").limit(3).collect()]
-    return top.join(forecasting.permutation_importance(model, test, TARGET, names), "feature", "left")
+    model, train, test = _trained(spark, sf, "trees_a")
+    top = materialize(forecasting.split_importance(model, train))
+    names = [r["feature"] for r in top.orderBy("rank").collect()]  # eight rows
+    lost = forecasting.permutation_importance(model, test, TARGET, names)
+    before = F.lag("importance").over(Window.orderBy("rank"))
+    return top.join(lost, "feature", "left").select(
+        "rank", F.col("feature").isin(forecasting.feature_names(train)).alias("declared"),
+        F.coalesce(F.col("importance") <= before, F.lit(True)).alias("ordered"), F.coalesce(F.col("auc_drop").between(-1, 1), F.lit(False)).alias("measured"),
+    )
 
 
 @query("agg_34_backtest_verdict")
 def _(spark, sf):
-    pooled = forecasting.backtest_folds(materialize(FQ.table(spark, sf)), TARGET, 2008, ["trees_a"], maxIter=3)
+    pooled = forecasting.backtest_folds(materialize(FQ.table(spark, sf)), TARGET, FIRST_TEST)
     scores = metrics.evaluate(pooled, ["model"], p_ref="p_ref")
-    return forecasting.model_verdict(scores, ["trees_a"])
+    return forecasting.model_verdict(scores, list(forecasting.TREES))
 
 
 _CALIBRATED = f"""WITH {_CORE}, smooth AS (SELECT cell_id, t, y, cnt_365d, cnt_30d, {_SM} AS p FROM f), last AS (SELECT max(t) AS t FROM f), h AS (SELECT y, p FROM smooth WHERE t < (SELECT t FROM last)), {_isotonic_sql('h', 'y')},

@@ -5,7 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from functools import reduce
+from multiprocessing.pool import ThreadPool
 
+from pyspark import StorageLevel
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -158,14 +160,22 @@ def assemble(features: DataFrame, names: Sequence[str] | None = None) -> DataFra
     return VectorAssembler(inputCols=list(names or feature_names(features)), outputCol="inputs").transform(features)
 
 
+_AT_ONCE = 8  # models trained side by side
+
+
 def train_trees(features: DataFrame, target: str, profile: str = "trees_a", seed: int = 0, **overrides):
     weight = positive_weight(features, target).first()["weight"]
     rows = assemble(features).withColumn("label", F.col(target).cast("double")).withColumn(
         "weight", F.when(F.col(target) > 0, F.lit(float(weight or 1.0))).otherwise(F.lit(1.0))
     )
-    settings = {**TREES[profile], **overrides}
+    settings = {"checkpointInterval": 20, **TREES[profile], **overrides}
     learner = GBTClassifier(featuresCol="inputs", labelCol="label", weightCol="weight", seed=seed, **settings)
-    return learner.fit(rows.select("inputs", "label", "weight"))
+    # Read once a round and level: kept in memory, on disk beyond it.
+    held = rows.select("inputs", "label", "weight").persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return learner.fit(held)
+    finally:
+        held.unpersist()
 
 
 def tree_probability(model, features: DataFrame, out: str = "p") -> DataFrame:
@@ -217,11 +227,9 @@ def backtest_folds(
     folds = three_way_folds(features, target, first_test_year, min_fit_pos).orderBy("fold").collect()  # one row per year
     if not folds:
         raise ValueError("no fold has enough data")
-    parts = []
-    for fold in folds:
+    def fold_parts(fold) -> list[DataFrame]:
         calib = features.filter(year == fold["fold"] - 1)
         test = features.filter(year == fold["fold"])
-        fit = features.filter(year < fold["fold"] - 1)
 
         def keep(df: DataFrame, model: str) -> DataFrame:
             return df.select(
@@ -229,15 +237,20 @@ def backtest_folds(
                 F.col(target).cast("long").alias("y"), F.col("p_cal").alias("p"), F.lit(fold["climatology"]).alias("p_ref"),
             )
 
-        parts.append(keep(test.withColumn("p_cal", F.lit(fold["climatology"])), "climatology"))
         scored = lambda df: df.withColumn("p", smoothed(spec))
         iso = fit_isotonic(scored(calib).withColumn("y", F.col(target)))
-        parts.append(keep(apply_isotonic(iso, scored(test)), "poisson_smooth"))
-        for name in trainers:
-            model = train_trees(fit, target, name, **tree_overrides)
-            iso = fit_isotonic(tree_probability(model, calib).withColumn("y", F.col(target)))
-            parts.append(keep(apply_isotonic(iso, tree_probability(model, test)), name))
-    return reduce(DataFrame.unionByName, parts)
+        return [keep(test.withColumn("p_cal", F.lit(fold["climatology"])), "climatology"), keep(apply_isotonic(iso, scored(test)), "poisson_smooth"), *(
+            keep(apply_isotonic(fit_isotonic(tree_probability(m, calib).withColumn("y", F.col(target))), tree_probability(m, test)), name)
+            for name, m in zip(trainers, models[fold["fold"]])
+        )]
+
+    # One boosting round is a few short jobs, so the models of all folds are trained side by side.
+    with ThreadPool(_AT_ONCE) as pool:
+        fit = lambda job: train_trees(features.filter(year < job[0] - 1), target, job[1], **tree_overrides)
+        jobs = [(fold["fold"], name) for fold in folds for name in trainers]
+        trained = dict(zip(jobs, pool.map(fit, jobs)))
+    models = {fold["fold"]: [trained[fold["fold"], name] for name in trainers] for fold in folds}
+    return reduce(DataFrame.unionByName, [part for fold in folds for part in fold_parts(fold)])
 
 
 def baseline_comparison(features: DataFrame, target: str, first_test_year: int, b: float = 1.0, mc: float = 4.5) -> DataFrame:
