@@ -173,6 +173,38 @@ def test_one_of_each_near_copy(spark, docs, none):
     assert near_copies.similarity(rows[0][1].encode(), rows[1][1].encode()) > 0.8
 
 
+@pytest.mark.parametrize("tile", [256, 9])
+def test_near_copies_of_a_text_in_the_middle(spark, monkeypatch, tile):
+    monkeypatch.setattr(near_copies, "_TILE", tile)
+    r = np.random.default_rng(3)
+    rows, n = [], 80
+
+    def changed(base, name, count):
+        w = list(base)
+        for p in r.choice(len(w), count, replace=False):
+            w[p] = name
+        return " ".join(w)
+
+    for g, length in ((0, 200), (1, 90), (2, 260)):
+        base = [f"g{g}t{k}" for k in r.integers(0, 900, size=length)]
+        rows += [(1000 * g + k, " ".join(base) if k == n // 2 else changed(base, f"g{g}z{k}", 3)) for k in range(n)]
+    # a shared passage puts unlike texts and two like ones in the middle in one bucket
+    passage = [f"p{k}" for k in range(60)]
+    rows += [(5000 + k, " ".join(passage + [f"q{k if k != 21 else 20}x{j}" for j in range(40)] + [f"e{k}"])) for k in range(40)]
+    sets = [(set(zip(*(t.split()[k:] for k in range(5)))), set(enumerate(near_copies.band_keys(simhash.shingle_hashes(t.encode().split(), 5))))) for _, t in rows]
+    fps = [simhash.fingerprint(simhash.shingle_hashes(t.encode().split(), 3)) for _, t in rows]
+    up = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            (a, p), (b, q) = sets[i], sets[j]
+            if ((fps[i] ^ fps[j]) & (2**64 - 1)).bit_count() <= 3 or (p & q and len(a & b) / len(a | b) >= near_copies.SIMILARITY):
+                x, y = up[i], up[j]
+                up = [min(x, y) if v in (x, y) else v for v in up]
+    kept = sorted(x["doc_id"] for x in near_copies.one_of_each(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect())
+    assert kept == sorted(rows[k][0] for k in set(up))
+    assert sum(k < 1000 for k in kept) == 1 and 5021 not in kept
+
+
 def test_suffix_order_and_backward_search():
     r = np.random.default_rng(4)
     for size in (1, 2, 7, 60):
