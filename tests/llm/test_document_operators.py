@@ -341,6 +341,16 @@ def test_mix(docs, rows, none):
     assert taken.columns == docs.columns and taken.count() == sum(r["times"] for r in found)
 
 
+def test_mix_keeps_wide_source_sets_apart(spark):
+    # two sets of seven sources that have no source in common, and three texts in each
+    rows = [(100 * g + 10 * k + t, f"g{g} text {t} of some words", f"s{g}{k}") for g in range(2) for k in range(7) for t in range(3)]
+    found = mixing.mixed(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    sources = collections.defaultdict(set)
+    for r in found:
+        sources[r["pattern"]].add(r["source"])
+    assert sorted(map(sorted, sources.values())) == [[f"s{g}{k}" for k in range(7)] for g in range(2)]
+
+
 def test_surrogates(spark, docs, none):
     text = "Write to Anna.Berg@mail.example.com or ANNA KRAUS, +1 (974) 555-3436; again anna kraus? no: Anna Kraus. Card 4111 1111 1111 1111, 10.0.0.7 and Frau Weber, Елена Петрова."
     df = spark.createDataFrame([(1, text), (2, "anna.berg@MAIL.example.com / 4111111111111111"), (3, None), (4, ""), (5, "Version 1.2.3 of 2024-01-01, 12345")], "doc_id long, text string")

@@ -18,7 +18,6 @@ from tremora.llm.common import stored, word_count
 
 WEIGHTS = (3.0, 1.0, 2.0)
 _BUCKETS = 1 << 16
-_WIDEST = 6
 
 
 def quotas(sizes: list[tuple[str | None, int]], share: float = 1.5, most: float = 2.0, weights: tuple[float, ...] = WEIGHTS) -> dict:
@@ -125,7 +124,7 @@ def mixed(docs: DataFrame, seed: int = 11, share: float = 1.5, most: int = 2) ->
 
     times is how often the mix takes a row (0 to `most`), taken its words with repeats. Null texts and wordless ones have size 0 and are
     not taken; equal rows are taken alike but for the last one that fits. One row per source, and one per pattern and source, reach
-    the driver; sets of more than six sources are told apart by their size only, which bounds the patterns.
+    the driver.
     """
     rows = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(F.col("text").cast("string")).alias("size"),
@@ -140,8 +139,8 @@ def mixed(docs: DataFrame, seed: int = 11, share: float = 1.5, most: int = 2) ->
     # one row per source
     coded = rows.join(sources, rows["source"].eqNullSafe(sources["source"])).select("doc_id", rows["source"], "size", "digest", "code", "source_size", "target")
     contents = coded.groupBy("digest").agg(F.sort_array(F.collect_set("code")).alias("held"), F.count(F.lit(1)).alias("copies"), F.max("size").alias("words"))
-    label = F.when(F.size("held") <= _WIDEST, F.array_join("held", ",")).otherwise(F.concat(F.lit("any"), F.size("held")))
-    contents = stored(contents.select("digest", "words", F.concat(label, F.lit("x"), F.floor(F.log2("copies"))).alias("pattern")), "mix-contents")
+    label = F.concat(F.array_join("held", ","), F.lit("x"), F.floor(F.log2("copies")))
+    contents = stored(contents.select("digest", "words", label.alias("pattern")), "mix-contents")
     dealt = stored(coded.join(contents.select("digest", "pattern"), "digest"), "mix-patterns")
     content = {r["pattern"]: r["n"] for r in contents.groupBy("pattern").agg(F.sum("words").alias("n")).collect()}
     held = {(r["pattern"], r["code"]): r["n"] for r in dealt.groupBy("pattern", "code").agg(F.sum("size").alias("n")).collect()}
