@@ -341,6 +341,43 @@ def test_mix(docs, rows, none):
     assert taken.columns == docs.columns and taken.count() == sum(r["times"] for r in found)
 
 
+def test_mix_uses_contents_once_before_twice(spark):
+    r = np.random.default_rng(4)
+    rows, texts = [], [" ".join(f"t{k}" for k in r.integers(0, 500, int(r.integers(5, 30)))) + f" {k}" for k in range(400)]
+    for k, text in enumerate(texts):
+        # copies within a source, across two sources, and of both kinds
+        rows += [(4 * k + j, text, s) for j, s in enumerate(("a", "a") if k < 200 else ("a", "b") if k < 300 else ("b", "c", "c"))]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    for share in (0.3, 0.8, 1.2):
+        found = mixing.mixed(df, share=share).collect()
+        uses, size, of, total, tokens = collections.Counter(), {}, {}, collections.Counter(), collections.Counter()
+        for x in found:
+            assert 0 <= x["times"] <= 2
+            uses[x["digest"]] += x["times"]
+            size[x["digest"]], of[x["digest"]] = x["size"], x["pattern"]
+            total[x["source"], x["target"]] += x["taken"]
+        for d, n in size.items():
+            tokens[of[d]] += n
+        for p in tokens:
+            counts = {uses[d] for d in of if of[d] == p}
+            assert max(counts) - min(counts) <= 1
+        assert all(abs(n - target) <= 2 * 30 * len(tokens) for (_, target), n in total.items())
+        # the convex cost that the flow promises, each content's words times 1, 2, 3 and 3, 4 ... for its uses
+        flow = collections.Counter()
+        for x in found:
+            flow[x["pattern"]] += x["taken"]
+        once = sum(min(flow[p], tokens[p]) for p in tokens)
+        assert abs(sum(size[d] for d in size if uses[d]) - once) <= 2 * 30 * len(tokens)
+        taken = collections.Counter(x["doc_id"] for x in mixing.take(df, share=share).collect())
+        assert taken == {x["doc_id"]: x["times"] for x in found if x["times"]}
+
+
+def test_mix_takes_some_of_equal_rows(spark):
+    df = spark.createDataFrame([(k // 10, f"words of text {k // 10}", "a") for k in range(100)] + [(k, f"other {k}", "b") for k in range(100, 400)], "doc_id long, text string, source string")
+    for share in (0.2, 0.7):
+        assert mixing.take(df, share=share).count() == sum(r["times"] for r in mixing.mixed(df, share=share).collect())
+
+
 def test_mix_keeps_wide_source_sets_apart(spark):
     # two sets of seven sources that have no source in common, and three texts in each
     rows = [(100 * g + 10 * k + t, f"g{g} text {t} of some words", f"s{g}{k}") for g in range(2) for k in range(7) for t in range(3)]

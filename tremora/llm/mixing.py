@@ -1,23 +1,24 @@
 """Mixing sources to target weights as a min-cost flow.
 
-Documents are aggregated by membership pattern: the set of sources that hold the same text, and the magnitude of the number of its
-copies. A flow routes tokens from patterns to sources: what a source may take of a pattern is bounded by its rows, what it must
-take by its target, and each further use of the same content costs more (a convex cost, one arc per doubling of uses). As all
-costs lie on the arcs out of the origin, raising the flow to its maximum one cost level after the other is optimal. The flow of each
-(pattern, source) is then given to its documents: whole passes over all of them, and for the rest those first in a seeded order.
+Documents are aggregated by membership pattern: the sources that hold the same text, each with the number of its copies. A flow
+routes tokens from patterns to sources: what a source may take of a pattern is bounded by its rows, what it must take by its target,
+and each further use of the same content costs more (a convex cost, one arc per doubling of uses). As all costs lie on the arcs out
+of the origin, raising the flow to its maximum one cost level after the other is optimal. The contents of a pattern then lie on a circle in
+a seeded order, and its sources take arcs of it one after the other, as long as their flows. So every content is used once before
+any is used again, whichever source takes it; what a source takes of a content is dealt out evenly to its copies.
 """
 
 from __future__ import annotations
 
 from collections import defaultdict, deque
+from itertools import accumulate
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tremora.llm.common import stored, word_count
 
 WEIGHTS = (3.0, 1.0, 2.0)
-_BUCKETS = 1 << 16
 
 
 def quotas(sizes: list[tuple[str | None, int]], share: float = 1.5, most: float = 2.0, weights: tuple[float, ...] = WEIGHTS) -> dict:
@@ -115,16 +116,28 @@ def route(content: dict, rows: dict, targets: dict, most: int = 2) -> dict:
     return {k: flow.room[e ^ 1] for k, e in arcs.items()}
 
 
-def _order(seed: int) -> Column:
-    return F.xxhash64(F.lit(seed), "doc_id", "digest", "source")
+def _uses(contents: DataFrame, plan: DataFrame, seed: int) -> DataFrame:
+    """(digest, code, copies, uses) of contents(digest, pattern, words) by plan(pattern, round, arcs of code, copies, start, stop).
+
+    A content is used by a source as often as the middle of its words falls into the source's arc, round by round.
+    """
+    placed = contents.withColumn("at", F.xxhash64(F.lit(seed), "digest")).withColumn("bucket", F.shiftrightunsigned("at", 48).cast("int"))
+    group = Window.partitionBy("pattern").orderBy("bucket")
+    sums = placed.groupBy("pattern", "bucket").agg(F.sum("words").alias("n")).withColumn("before", F.sum("n").over(group) - F.col("n"))  # 65,536 buckets at most in each pattern
+    sums = stored(sums.join(plan, "pattern"), "mix-buckets")
+    inside = Window.partitionBy("pattern", "bucket").orderBy("at", "digest").rowsBetween(Window.unboundedPreceding, 0)
+    # twice the middle, so that it is a whole number
+    middle = 2 * (F.col("before") + F.sum("words").over(inside)) - F.col("words")
+    laid = placed.join(sums, ["pattern", "bucket"]).withColumn("middle", middle).select("digest", "round", "middle", F.explode("arcs").alias("arc")).select("digest", "round", "middle", "arc.*")
+    rounds = lambda end: F.ceil((2 * F.col(end) - F.col("middle")) / (2 * F.col("round")))
+    return laid.select("digest", "code", "copies", F.when(F.col("round") > 0, rounds("stop") - rounds("start")).otherwise(0).cast("long").alias("uses"))
 
 
 def mixed(docs: DataFrame, seed: int = 11, share: float = 1.5, most: int = 2) -> DataFrame:
     """(doc_id, digest, source, size, source_size, target, pattern, times, taken) for each row of `docs`.
 
     times is how often the mix takes a row (0 to `most`), taken its words with repeats. Null texts and wordless ones have size 0 and are
-    not taken; equal rows are taken alike but for the last one that fits. One row per source, and one per pattern and source, reach
-    the driver.
+    not taken; of equal rows some may be taken once more than others. One row per source, and one per pattern, reach the driver.
     """
     rows = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(F.col("text").cast("string")).alias("size"),
@@ -138,35 +151,45 @@ def mixed(docs: DataFrame, seed: int = 11, share: float = 1.5, most: int = 2) ->
     sources = spark.createDataFrame([(s, k, n, float(targets[s])) for k, (s, n) in enumerate(known)], "source string, code int, source_size long, target double")
     # one row per source
     coded = rows.join(sources, rows["source"].eqNullSafe(sources["source"])).select("doc_id", rows["source"], "size", "digest", "code", "source_size", "target")
-    contents = coded.groupBy("digest").agg(F.sort_array(F.collect_set("code")).alias("held"), F.count(F.lit(1)).alias("copies"), F.max("size").alias("words"))
-    label = F.concat(F.array_join("held", ","), F.lit("x"), F.floor(F.log2("copies")))
+    copies = coded.groupBy("digest", "code").agg(F.count(F.lit(1)).alias("copies"), F.max("size").alias("words"))
+    # one entry per source
+    contents = copies.groupBy("digest").agg(F.sort_array(F.collect_list(F.struct("code", "copies"))).alias("held"), F.max("words").alias("words"))
+    label = F.array_join(F.transform("held", lambda h: F.concat(h["code"].cast("string"), F.lit("x"), h["copies"].cast("string"))), ",")
     contents = stored(contents.select("digest", "words", label.alias("pattern")), "mix-contents")
-    dealt = stored(coded.join(contents.select("digest", "pattern"), "digest"), "mix-patterns")
     content = {r["pattern"]: r["n"] for r in contents.groupBy("pattern").agg(F.sum("words").alias("n")).collect()}
-    held = {(r["pattern"], r["code"]): r["n"] for r in dealt.groupBy("pattern", "code").agg(F.sum("size").alias("n")).collect()}
-    found = route(content, held, {k: targets[s] for k, (s, _) in enumerate(known)}, most)
-    plan = spark.createDataFrame([(p, c, n // held[p, c] if held[p, c] else 0, n % held[p, c] if held[p, c] else 0) for (p, c), n in found.items()], "pattern string, code int, passes long, rest long")
-
-    placed = dealt.join(plan, ["pattern", "code"]).withColumn("at", _order(seed)).withColumn("bucket", F.shiftrightunsigned("at", 48).cast("int"))
-    group = Window.partitionBy("pattern", "code").orderBy("bucket")
-    sums = placed.groupBy("pattern", "code", "bucket").agg(F.sum("size").alias("n"), F.first("rest").alias("rest"))
-    upto = sums.withColumn("upto", F.sum("n").over(group))  # 65,536 buckets at most in each group
-    edge = upto.filter("upto > rest AND upto - n <= rest").select("pattern", "code", F.col("bucket").alias("edge"), (F.col("upto") - F.col("n")).alias("before"))
-    edge = stored(edge, "mix-edges")
-    near = placed.join(edge, ["pattern", "code"], "left")
-    inside = Window.partitionBy("pattern", "code").orderBy("at", "doc_id", "digest")
-    at_edge = near.filter("bucket = edge").withColumn("upto", F.col("before") + F.sum("size").over(inside)).withColumn("extra", (F.col("upto") - F.col("size") / 2 <= F.col("rest")).cast("long"))
-    others = near.filter("edge IS NULL OR bucket <> edge").withColumn("extra", F.coalesce(F.col("bucket") < F.col("edge"), F.lit(True)).cast("long") * (F.col("rest") > 0).cast("long"))
-    picked = others.unionByName(at_edge.drop("upto"))
-    times = F.least(F.col("passes") + F.col("extra"), F.lit(most))
-    return picked.select("doc_id", "digest", "source", "size", "source_size", "target", "pattern", F.when(F.col("size") > 0, times).otherwise(0).cast("long").alias("times")).withColumn("taken", F.col("times") * F.col("size"))
+    held = {p: [tuple(map(int, h.split("x"))) for h in p.split(",")] for p in sorted(content)}
+    found = route(content, {(p, c): k * content[p] for p, hs in held.items() for c, k in hs}, {k: targets[s] for k, (s, _) in enumerate(known)}, most)
+    plan = []
+    for p, hs in held.items():
+        ends = list(accumulate((found[p, c] for c, _ in hs), initial=0))
+        plan.append((p, content[p], [(c, k, a, b) for (c, k), a, b in zip(hs, ends, ends[1:])]))
+    plan = spark.createDataFrame(plan, "pattern string, round long, arcs array<struct<code: int, copies: long, start: long, stop: long>>")
+
+    uses = _uses(contents, plan, seed).join(contents.select("digest", "pattern"), "digest")
+    dealt = coded.join(uses, ["digest", "code"]).withColumn("passes", F.floor(F.col("uses") / F.col("copies"))).withColumn("rest", F.col("uses") % F.col("copies"))
+    at = F.xxhash64(F.lit(seed), "doc_id", "digest", "source")
+    dealt = stored(dealt.withColumn("at", at).withColumn("bucket", F.shiftrightunsigned("at", 48).cast("int")), "mix-dealt")
+    some = dealt.filter("rest > 0")
+    copy = ["digest", "code"]
+    before = some.groupBy(*copy, "bucket").agg(F.count(F.lit(1)).alias("n"))
+    before = before.withColumn("before", F.sum("n").over(Window.partitionBy(*copy).orderBy("bucket")) - F.col("n")).drop("n")  # 65,536 buckets at most of each content and source
+    inside = Window.partitionBy(*copy, "bucket").orderBy("at", "doc_id")
+    some = some.join(before, [*copy, "bucket"]).withColumn("extra", (F.col("before") + F.row_number().over(inside) <= F.col("rest")).cast("long")).drop("before")
+    picked = dealt.filter("rest = 0").withColumn("extra", F.lit(0).cast("long")).unionByName(some)
+    times = F.when(F.col("size") > 0, F.col("passes") + F.col("extra")).otherwise(0).cast("long")
+    return picked.select("doc_id", "digest", "source", "size", "source_size", "target", "pattern", times.alias("times")).withColumn("taken", F.col("times") * F.col("size"))
 
 
 def take(docs: DataFrame, seed: int = 11, share: float = 1.5, most: int = 2) -> DataFrame:
     """The rows of `docs` in the mix, each as often as the mix takes it."""
-    plan = mixed(docs, seed, share, most).filter("times > 0").groupBy("doc_id", "digest", "source").agg(F.max("times").alias("_times"))
+    plan = mixed(docs, seed, share, most).groupBy("doc_id", "digest", "source").agg(F.sum("times").alias("_uses"), F.count(F.lit(1)).alias("_equal")).filter("_uses > 0")
     plan = plan.withColumnsRenamed({"doc_id": "_id", "digest": "_digest", "source": "_source"})
     digest = F.sha2(F.coalesce(docs["text"].cast("string"), F.lit("")), 256)
     same = docs["doc_id"].cast("long").eqNullSafe(plan["_id"]) & (digest == plan["_digest"]) & docs["source"].cast("string").eqNullSafe(plan["_source"])
-    joined = docs.join(plan, same).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times").cast("int"))))
-    return joined.select(*(F.col(f"`{c}`") for c in docs.columns))
+    joined = docs.join(plan, same).withColumn("_passes", F.floor(F.col("_uses") / F.col("_equal"))).withColumn("_rest", F.col("_uses") % F.col("_equal"))
+    # equal rows of which only some are taken, or taken once more
+    inside = Window.partitionBy("_id", "_digest", "_source").orderBy(F.xxhash64(*(F.col(f"`{c}`") for c in docs.columns)))
+    uneven = joined.filter("_rest > 0").withColumn("_times", F.col("_passes") + (F.row_number().over(inside) <= F.col("_rest")).cast("long"))
+    timed = joined.filter("_rest = 0").withColumn("_times", F.col("_passes")).unionByName(uneven).filter("_times > 0")
+    repeated = timed.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times").cast("int"))))
+    return repeated.select(*(F.col(f"`{c}`") for c in docs.columns))
