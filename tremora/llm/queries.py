@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tremora.llm import cotraining, decontaminate, mixing, quality_rules, quotations, simhash, substrings, surrogates, token_planes, url_filter
+from tremora.llm import cotraining, decontaminate, mixing, piece_agenda, quality_rules, quotations, simhash, substrings, surrogates, token_planes, url_filter
 from tremora.llm.common import table
 from tremora.session import scratch_path
 
@@ -27,6 +27,13 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
+def pieces_path() -> str:
+    """The public merge-type SentencePiece model; a path on every machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
 def tokenizer_path() -> str:
     """The public byte-level vocabulary; a path on every machine."""
     import public_tokenizers
@@ -123,3 +130,9 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op7_quotations")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quotations.linked(table(spark, sf_dir, "conversations"))
+
+
+@query("op12_pieces")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = piece_agenda.encoded(table(spark, sf_dir, "documents"), pieces_path())
+    return found.select(*piece_agenda.digests(found))
