@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tremora.llm import cotraining, decontaminate, mixing, piece_agenda, quality_rules, quotations, simhash, substrings, surrogates, token_planes, url_filter
+from tremora.llm import cotraining, decontaminate, mixing, piece_agenda, quality_rules, quotations, simhash, spelling, substrings, surrogates, token_planes, url_filter
 from tremora.llm.common import table
 from tremora.session import scratch_path
 
@@ -136,3 +136,8 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = piece_agenda.encoded(table(spark, sf_dir, "documents"), pieces_path())
     return found.select(*piece_agenda.digests(found))
+
+
+@query("op13_spelling")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
