@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tremora.llm import cotraining, decontaminate, mixing, piece_agenda, quality_rules, quotations, simhash, spelling, substrings, surrogates, token_planes, url_filter
+from tremora.llm import alignment, cotraining, decontaminate, mixing, piece_agenda, quality_rules, quotations, simhash, spelling, substrings, surrogates, token_planes, url_filter
 from tremora.llm.common import table
 from tremora.session import scratch_path
 
@@ -141,3 +141,8 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op13_spelling")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variants(table(spark, sf_dir, "documents"))
+
+
+@query("op11_alignment")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.aligned(table(spark, sf_dir, "documents"), tokenizer_path(), pieces_path()).documents()
