@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tremora.checks import feature_queries as FQ
@@ -173,41 +175,35 @@ def _(spark, sf):
     return forecasting.baseline_comparison(materialize(FQ.table(spark, sf)), TARGET, FIRST_TEST, mc=MC)
 
 
-_MODELS: dict[tuple, tuple] = {}
-
-
-def _trained(spark, sf, profile):
-    """(model, train, test) of a full profile; queries of one session share the training."""
-    key = (spark.sparkContext.applicationId, sf, profile)
-    if key not in _MODELS:
-        train, test = forecasting.split_at_year(materialize(FQ.table(spark, sf)), FIRST_TEST)
-        _MODELS[key] = (forecasting.train_trees(train, TARGET, profile), train, test)
-    return _MODELS[key]
-
-
-def _tree_scores(spark, sf, profile):
-    model, _, test = _trained(spark, sf, profile)
-    scored = forecasting.tree_probability(model, test)
-    return metrics.evaluate(scored.select(F.lit(profile).alias("model"), F.col(TARGET).alias("y"), "p"), ["model"])
+def _split(spark, sf):
+    return forecasting.split_at_year(materialize(FQ.table(spark, sf)), FIRST_TEST)
 
 
-_TESTED = f"WITH {_CORE}, z AS (SELECT y FROM f WHERE year(make_timestamp(t)) >= {FIRST_TEST})"
+def _scores(parts, profiles, **overrides):
+    """Scores on the test years of models trained on the years before."""
+    train, test = parts
+    models = forecasting.train_side_by_side([(train, name) for name in profiles], TARGET, **overrides)
+    scored = [forecasting.tree_probability(m, test).select(F.lit(name).alias("model"), F.col(TARGET).alias("y"), "p") for name, m in zip(profiles, models)]
+    return metrics.evaluate(reduce(DataFrame.unionByName, scored), ["model"])
 
 
-def _tree_query(name: str, profile: str) -> None:
-    @query(name, f"{_TESTED} SELECT '{profile}' AS model, count(*) AS n, sum(y)::BIGINT AS n_pos, round(sum(y) / count(*), 10) AS base_rate, true AS scored FROM z")
+def _tree_query(name: str, *profiles: str) -> None:
+    @query(name)
     def _(spark, sf):
-        told = (F.col("brier").between(0, 1) & F.col("logloss").isNotNull() & F.col("roc_auc").between(0, 1)).alias("scored")
-        return _tree_scores(spark, sf, profile).select("model", "n", "n_pos", F.round("base_rate", 10).alias("base_rate"), told)
+        return _scores(_split(spark, sf), profiles)
 
 
 _tree_query("mod_10_trees_a", "trees_a")
 _tree_query("mod_11_trees_b", "trees_b")
+_tree_query("mod_11_tree_scores", "trees_a", "trees_b")
 
+# SQL knows which rows are scored, not their scores: here two boosting rounds are enough.
+_TESTED = f"WITH {_CORE}, z AS (SELECT cell_id, t, y FROM f WHERE year(make_timestamp(t)) >= {FIRST_TEST})"
 
-@query("mod_11_tree_scores")
+
+@query("mod_10_scored_counts", f"{_TESTED} SELECT model, count(*) AS n, sum(y)::BIGINT AS n_pos, round(sum(y) / count(*), 10) AS base_rate FROM z, (VALUES ('trees_a'), ('trees_b')) v(model) GROUP BY 1")
 def _(spark, sf):
-    return _tree_scores(spark, sf, "trees_a").unionByName(_tree_scores(spark, sf, "trees_b"))
+    return _scores(_split(spark, sf), ("trees_a", "trees_b"), maxIter=2).select("model", "n", "n_pos", F.round("base_rate", 10).alias("base_rate"))
 
 
 @query("mod_12_feature_list", "SELECT unnest(['cnt_7d','cnt_30d','cnt_90d','cnt_365d','cnt_all','maxmag_30d','maxmag_90d','maxmag_365d','logE_30d','logE_365d','days_since_last','days_since_M5','nb_cnt_30d','nb_cnt_365d','nb_maxmag_365d','reg_cnt_30d','reg_maxmag_30d','cen_lat','cen_lon','etas_cell','etas_nb']) AS feature, (SELECT count(*) FROM base) AS n FROM (SELECT 1)".replace("SELECT unnest", f"WITH {S.grid()} SELECT unnest", 1))
@@ -217,28 +213,31 @@ def _(spark, sf):
     return counted.unpivot([], counted.columns, "feature", "n")
 
 
-@query("mod_13_probabilities", f"WITH {_CORE} SELECT cell_id, t AS t_us, true AS possible FROM f WHERE year(make_timestamp(t)) >= {FIRST_TEST}")
+@query("mod_13_probabilities")
 def _(spark, sf):
-    model, _, test = _trained(spark, sf, "trees_a")
-    return forecasting.tree_probability(model, test).select("cell_id", "t_us", F.col("p").between(0, 1).alias("possible"))
+    train, test = _split(spark, sf)
+    return forecasting.tree_probability(forecasting.train_trees(train, TARGET), test).select("cell_id", "t_us", "p")
 
 
-@query("mod_14_importance", "SELECT unnest(range(1, 9)) AS rank, true AS declared, true AS ordered, true AS measured")
+@query("mod_13_scored_rows", f"{_TESTED} SELECT cell_id, t AS t_us FROM z")
 def _(spark, sf):
-    model, train, test = _trained(spark, sf, "trees_a")
+    train, test = _split(spark, sf)
+    model = forecasting.train_trees(train, TARGET, maxIter=2)
+    return forecasting.tree_probability(model, test).filter(F.col("p").between(0, 1)).select("cell_id", "t_us")
+
+
+@query("mod_14_importance")
+def _(spark, sf):
+    train, test = _split(spark, sf)
+    model = forecasting.train_trees(train, TARGET)
     top = materialize(forecasting.split_importance(model, train))
-    names = [r["feature"] for r in top.orderBy("rank").collect()]  # eight rows
-    lost = forecasting.permutation_importance(model, test, TARGET, names)
-    before = F.lag("importance").over(Window.orderBy("rank"))
-    return top.join(lost, "feature", "left").select(
-        "rank", F.col("feature").isin(forecasting.feature_names(train)).alias("declared"),
-        F.coalesce(F.col("importance") <= before, F.lit(True)).alias("ordered"), F.coalesce(F.col("auc_drop").between(-1, 1), F.lit(False)).alias("measured"),
-    )
+    names = [r["feature"] for r in top.collect()]  # eight rows
+    return top.join(forecasting.permutation_importance(model, test, TARGET, names), "feature", "left")
 
 
 @query("agg_34_backtest_verdict")
 def _(spark, sf):
-    pooled = forecasting.backtest_folds(materialize(FQ.table(spark, sf)), TARGET, FIRST_TEST)
+    pooled = forecasting.backtest_folds(materialize(FQ.table(spark, sf)), TARGET, FIRST_TEST, mc=MC)
     scores = metrics.evaluate(pooled, ["model"], p_ref="p_ref")
     return forecasting.model_verdict(scores, list(forecasting.TREES))
 

@@ -11,15 +11,16 @@ from pyspark import StorageLevel
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tremora.functions.rates import clip, elapsed_years, extrapolated_rate, poisson_probability
+from tremora.functions.rates import elapsed_years, extrapolated_rate, poisson_probability
+from tremora.operators import isotonic
 from tremora.operators.context import year_of
 from tremora.operators.metrics import evaluate
 from tremora.operators.ranking import dense_ids
 from tremora.schema import FEATURE_COLUMNS, FORECAST_COLUMNS, TRIGGER_COLUMNS
+from tremora.session import materialize
 
 
 @dataclass(frozen=True)
@@ -76,9 +77,9 @@ def climatology(train: DataFrame, target: str) -> DataFrame:
 
 
 def positive_weight(train: DataFrame, target: str) -> DataFrame:
-    """One row: (n - pos) / max(pos, 1)."""
+    """One row: weight = (n - pos) / max(pos, 1), and n."""
     pos = F.sum(F.col(target).cast("long"))
-    return train.agg(((F.count(F.lit(1)) - pos) / F.greatest(pos, F.lit(1))).alias("weight"))
+    return train.agg(((F.count(F.lit(1)) - pos) / F.greatest(pos, F.lit(1))).alias("weight"), F.count(F.lit(1)).alias("n"))
 
 
 def _yearly(features: DataFrame, target: str) -> DataFrame:
@@ -122,19 +123,14 @@ def three_way_folds(features: DataFrame, target: str, first_test_year: int, min_
 # --- calibration ------------------------------------------------------------------------------------
 
 
-def fit_isotonic(predictions: DataFrame, y: str = "y", p: str = "p"):
-    """Isotonic map from p to the observed frequency, fitted on one weighted row per distinct p."""
-    grouped = predictions.groupBy(F.col(p).cast("double").alias("p")).agg(
-        F.avg(F.col(y).cast("double")).alias("label"), F.count(F.lit(1)).cast("double").alias("weight")
-    )
-    return IsotonicRegression(featuresCol="p", labelCol="label", weightCol="weight").fit(grouped)
+def fit_isotonic(predictions: DataFrame, y: str = "y", p: str = "p", keys: Sequence[str] = ()) -> DataFrame:
+    """Blocks of the isotonic map from p to the observed frequency, one map for each value of `keys`."""
+    return isotonic.fit(predictions, keys, p, y)
 
 
-def apply_isotonic(model, predictions: DataFrame, p: str = "p", out: str = "p_cal") -> DataFrame:
-    """Linear between knots, constant outside them, kept within [0, 1]."""
-    renamed = predictions.withColumn("_x", F.col(p).cast("double"))
-    scored = model.setFeaturesCol("_x").setPredictionCol("_fit").transform(renamed)
-    return scored.withColumn(out, clip(F.col("_fit"), 0.0, 1.0)).drop("_x", "_fit")
+def apply_isotonic(blocks: DataFrame, predictions: DataFrame, p: str = "p", out: str = "p_cal", keys: Sequence[str] = ()) -> DataFrame:
+    """Linear between blocks, constant outside them, kept within [0, 1]."""
+    return isotonic.apply(blocks, predictions, keys, p, out)
 
 
 # --- boosted trees ----------------------------------------------------------------------------------
@@ -160,24 +156,31 @@ def assemble(features: DataFrame, names: Sequence[str] | None = None) -> DataFra
     return VectorAssembler(inputCols=list(names or feature_names(features)), outputCol="inputs").transform(features)
 
 
-_AT_ONCE = 8  # models trained side by side
+_AT_ONCE = 10  # models trained side by side
+_TASK_ROWS = 40_000  # training rows of a task; a round is a few jobs, so small tables are not spread thin
 
 
 def train_trees(features: DataFrame, target: str, profile: str = "trees_a", seed: int = 0, **overrides):
-    weight = positive_weight(features, target).first()["weight"]
+    n, weight = positive_weight(features, target).select("n", "weight").first()
     rows = assemble(features).withColumn("label", F.col(target).cast("double")).withColumn(
         "weight", F.when(F.col(target) > 0, F.lit(float(weight or 1.0))).otherwise(F.lit(1.0))
     )
     settings = {"checkpointInterval": 20, **TREES[profile], **overrides}
     learner = GBTClassifier(featuresCol="inputs", labelCol="label", weightCol="weight", seed=seed, **settings)
     # Read once a round and level: kept in memory, on disk beyond it.
-    held = rows.select("inputs", "label", "weight").persist(StorageLevel.MEMORY_AND_DISK)
+    held = rows.select("inputs", "label", "weight").coalesce(n // _TASK_ROWS + 1).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         return learner.fit(held)
     finally:
         held.unpersist()
 
 
+def train_side_by_side(jobs: Sequence[tuple[DataFrame, str]], target: str, **overrides) -> list:
+    """Models of (rows, profile) pairs. One boosting round is a few short jobs, so several models share the executors."""
+    with ThreadPool(_AT_ONCE) as pool:
+        return pool.map(lambda job: train_trees(job[0], target, job[1], **overrides), jobs)
+
+
 def tree_probability(model, features: DataFrame, out: str = "p") -> DataFrame:
     scored = model.transform(assemble(features))
     return scored.withColumn(out, vector_to_array("probability")[1]).drop("inputs", "rawPrediction", "probability", "prediction")
@@ -218,39 +221,36 @@ def permutation_importance(model, features: DataFrame, target: str, names: Seque
 
 def backtest_folds(
     features: DataFrame, target: str, first_test_year: int, trainers: Sequence[str] = tuple(TREES),
-    min_fit_pos: int = 20, **tree_overrides,
+    min_fit_pos: int = 20, b: float = 1.0, mc: float = 4.5, **tree_overrides,
 ) -> DataFrame:
-    """Pooled out-of-sample predictions (fold, model, y, p, p_ref), each calibrated on the year before."""
+    """Pooled out-of-sample predictions (fold, model, y, p, p_ref), each calibrated on the year before.
+
+    The scores of all folds and models are written once; one keyed isotonic fit calibrates them all.
+    """
     m0, horizon = TARGETS[target]
-    spec = RateSpec(m0=m0, horizon_days=horizon)
+    spec = RateSpec(m0=m0, b=b, mc=mc, horizon_days=horizon)
     year = year_of(F.col("t_us"))
     folds = three_way_folds(features, target, first_test_year, min_fit_pos).orderBy("fold").collect()  # one row per year
     if not folds:
         raise ValueError("no fold has enough data")
-    def fold_parts(fold) -> list[DataFrame]:
-        calib = features.filter(year == fold["fold"] - 1)
-        test = features.filter(year == fold["fold"])
-
-        def keep(df: DataFrame, model: str) -> DataFrame:
-            return df.select(
-                F.lit(fold["fold"]).cast("long").alias("fold"), F.lit(model).alias("model"),
-                F.col(target).cast("long").alias("y"), F.col("p_cal").alias("p"), F.lit(fold["climatology"]).alias("p_ref"),
-            )
-
-        scored = lambda df: df.withColumn("p", smoothed(spec))
-        iso = fit_isotonic(scored(calib).withColumn("y", F.col(target)))
-        return [keep(test.withColumn("p_cal", F.lit(fold["climatology"])), "climatology"), keep(apply_isotonic(iso, scored(test)), "poisson_smooth"), *(
-            keep(apply_isotonic(fit_isotonic(tree_probability(m, calib).withColumn("y", F.col(target))), tree_probability(m, test)), name)
-            for name, m in zip(trainers, models[fold["fold"]])
-        )]
-
-    # One boosting round is a few short jobs, so the models of all folds are trained side by side.
-    with ThreadPool(_AT_ONCE) as pool:
-        fit = lambda job: train_trees(features.filter(year < job[0] - 1), target, job[1], **tree_overrides)
-        jobs = [(fold["fold"], name) for fold in folds for name in trainers]
-        trained = dict(zip(jobs, pool.map(fit, jobs)))
-    models = {fold["fold"]: [trained[fold["fold"], name] for name in trainers] for fold in folds}
-    return reduce(DataFrame.unionByName, [part for fold in folds for part in fold_parts(fold)])
+    jobs = [(fold, name) for fold in folds for name in trainers]
+    models = train_side_by_side([(features.filter(year < fold["fold"] - 1), name) for fold, name in jobs], target, **tree_overrides)
+
+    def part(fold, model: str, scored: DataFrame) -> DataFrame:
+        return scored.select(
+            F.lit(fold["fold"]).cast("long").alias("fold"), F.lit(model).alias("model"), (year == fold["fold"]).alias("tested"),
+            F.col(target).cast("long").alias("y"), F.col("p").cast("double").alias("p"), F.lit(fold["climatology"]).cast("double").alias("p_ref"),
+        )
+
+    around = {fold["fold"]: features.filter(year.between(fold["fold"] - 1, fold["fold"])) for fold in folds}
+    parts = [part(fold, "poisson_smooth", around[fold["fold"]].withColumn("p", smoothed(spec))) for fold in folds]
+    parts += [part(fold, name, tree_probability(m, around[fold["fold"]])) for (fold, name), m in zip(jobs, models)]
+    scored = materialize(reduce(DataFrame.unionByName, parts))
+    keys = ["fold", "model"]
+    blocks = fit_isotonic(scored.filter("NOT tested"), keys=keys)
+    calibrated = apply_isotonic(blocks, scored.filter("tested"), keys=keys).select("fold", "model", "y", F.col("p_cal").alias("p"), "p_ref")
+    known = scored.filter(F.col("tested") & (F.col("model") == "poisson_smooth"))
+    return calibrated.unionByName(known.select("fold", F.lit("climatology").alias("model"), "y", F.col("p_ref").alias("p"), "p_ref"))
 
 
 def baseline_comparison(features: DataFrame, target: str, first_test_year: int, b: float = 1.0, mc: float = 4.5) -> DataFrame:
@@ -259,15 +259,12 @@ def baseline_comparison(features: DataFrame, target: str, first_test_year: int,
     spec = RateSpec(m0=m0, b=b, mc=mc, horizon_days=horizon)
     train, test = split_at_year(features, first_test_year)
     base = climatology(train, target).first()["p"]
-    frames = [test.select(F.lit("climatology").alias("model"), F.lit("raw").alias("version"), F.col(target).cast("long").alias("y"), F.lit(base).alias("p"))]
-    scored_train, scored_test = (baseline_predictions(d, target, spec) for d in (train, test))
-    frames.append(scored_test.select("model", F.lit("raw").alias("version"), "y", "p"))
-    for name in BASELINES:
-        iso = fit_isotonic(scored_train.filter(F.col("model") == name))
-        calibrated = apply_isotonic(iso, scored_test.filter(F.col("model") == name))
-        frames.append(calibrated.select("model", F.lit("calibrated").alias("version"), "y", F.col("p_cal").alias("p")))
-    pooled = reduce(DataFrame.unionByName, frames).withColumn("p_ref", F.lit(base))
-    return evaluate(pooled, ["model", "version"], p_ref="p_ref")
+    constant = test.select(F.lit("climatology").alias("model"), F.lit("raw").alias("version"), F.col(target).cast("long").alias("y"), F.lit(base).alias("p"))
+    known, asked = (baseline_predictions(d, target, spec).select("model", "y", "p") for d in (train, test))
+    calibrated = apply_isotonic(fit_isotonic(known, keys=["model"]), asked, keys=["model"])
+    pooled = constant.unionByName(asked.select("model", F.lit("raw").alias("version"), "y", "p"))
+    pooled = pooled.unionByName(calibrated.select("model", F.lit("calibrated").alias("version"), "y", F.col("p_cal").alias("p")))
+    return evaluate(pooled.withColumn("p_ref", F.lit(base)), ["model", "version"], p_ref="p_ref")
 
 
 def recent_rate_verdict(scores: DataFrame) -> DataFrame:
@@ -304,11 +301,12 @@ def split_latest(features: DataFrame) -> tuple[DataFrame, DataFrame]:
 def forecast_snapshot(features: DataFrame, b: float = 1.0, mc: float = 4.5) -> DataFrame:
     """Calibrated M5 and M6 probabilities per cell at the last instant."""
     now, history = split_latest(features)
-    for target, column in (("y_m5_30d", "p_m5_30d"), ("y_m6_30d", "p_m6_30d")):
-        p = smoothed(RateSpec(m0=TARGETS[target][0], b=b, mc=mc))
-        iso = fit_isotonic(history.select(p.alias("p"), F.col(target).alias("y")))
-        now = apply_isotonic(iso, now.withColumn("_p", p), "_p", column).drop("_p")
-    return now.select(*FORECAST_COLUMNS, "t_us")
+    wanted = {"p_m5_30d": "y_m5_30d", "p_m6_30d": "y_m6_30d"}
+    scores = [F.struct(F.lit(c).alias("column"), smoothed(RateSpec(m0=TARGETS[t][0], b=b, mc=mc)).alias("p"), F.col(t).alias("y")) for c, t in wanted.items()]
+    blocks = fit_isotonic(history.select(F.inline(F.array(*scores))), keys=["column"])
+    calibrated = apply_isotonic(blocks, now.select("cell_id", F.inline(F.array(*scores))), keys=["column"])
+    wide = calibrated.groupBy("cell_id").agg(*[F.max(F.when(F.col("column") == c, F.col("p_cal"))).alias(c) for c in wanted])
+    return now.join(wide, "cell_id").select(*FORECAST_COLUMNS, "t_us")
 
 
 def grid_view(snapshot: DataFrame, target: str = "m5") -> DataFrame:

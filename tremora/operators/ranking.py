@@ -20,7 +20,7 @@ from tremora.session import materialize
 _RANGE_BITS = 33  # monotonically_increasing_id keeps the partition above these bits
 
 
-def _laid_out(df: DataFrame, order: Sequence[Column | str]) -> DataFrame:
+def laid_out(df: DataFrame, order: Sequence[Column | str]) -> DataFrame:
     """`df` sorted and written, with `_at` (position) and `_part` (range partition)."""
     placed = materialize(df.orderBy(*order).withColumn("_at", F.monotonically_increasing_id()))
     return placed.withColumn("_part", F.shiftright("_at", _RANGE_BITS))
@@ -28,7 +28,7 @@ def _laid_out(df: DataFrame, order: Sequence[Column | str]) -> DataFrame:
 
 def dense_ids(df: DataFrame, order: Sequence[Column | str], out: str) -> DataFrame:
     """Add `out` = 1..K following `order`, which must be a total order."""
-    placed = _laid_out(df, order)
+    placed = laid_out(df, order)
     sizes = placed.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
     # One row per partition: the only rows that meet in a single task.
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
@@ -47,7 +47,7 @@ def prefix_sums(df: DataFrame, keys: Sequence[str], order: Sequence[str], sums:
     Rows that tie in `order` take an arbitrary sequence, so aggregate ties first where that matters, and
     let `order` end in columns that tell rows apart so that no value can crowd one partition.
     """
-    placed = _laid_out(df, [*keys, *order])
+    placed = laid_out(df, [*keys, *order])
     group = [*keys, "_part"]
     totals = placed.groupBy(*group).agg(*[F.sum(c).alias(f"_t_{o}") for o, c in sums.items()])
     before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
@@ -62,7 +62,7 @@ def prefix_sums(df: DataFrame, keys: Sequence[str], order: Sequence[str], sums:
 
 def with_previous(df: DataFrame, order: Sequence[str], value: str, out: str) -> DataFrame:
     """Add `out`, the value of the row before in a total order; only one row per partition is compared across."""
-    placed = _laid_out(df, order)
+    placed = laid_out(df, order)
     inside = Window.partitionBy("_part").orderBy("_at")
     lasts = placed.groupBy("_part").agg(F.max_by(value, "_at").alias("_last"))
     carried = lasts.select("_part", F.lag("_last").over(Window.orderBy("_part")).alias("_carry"))
