@@ -1,15 +1,15 @@
 """Leakage-safe cell x instant feature table.
 
 Instants are regular, t_k = start + k*step, so the instants whose window holds an event are a short
-integer range. Each event is copied to those instants once and every window, target and as-of quantity
-is aggregated from the same copies by (i, j, k). Neighbourhoods are built from those aggregates, not
-from events. There is no range join, and a crowded cell shrinks to one row per instant in the map-side
-aggregation.
+integer range. Events are reduced to panes (cell, step) in a map-side aggregation; panes are combined into every window, target
+and as-of quantity by (i, j, k). Neighbourhoods are built from those aggregates, not from events. There is
+no range join, and a crowded cell shrinks to one row per step before anything is copied.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from itertools import groupby
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -83,45 +83,94 @@ def instants_of(spec: FeatureSpec, n: int) -> Column:
     return F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))
 
 
+@dataclass(frozen=True)
+class _Span:
+    """Events seen from an instant `steps` after the one they arrive at: those whose lag to the arrival is in [low, high) days."""
+
+    steps: int
+    low: int
+    high: int
+
+
+_ARRIVAL = 1 << 20  # not the offset of an instant that sees a pane
+
+
+def _spans(steps: range, step: int, nearest: int, farthest: int) -> list[_Span]:
+    """The part of each pane that an instant has at an age in [nearest, farthest) days; whole panes are (0, step)."""
+    cut = [_Span(o, max(0, nearest - o * step), min(step, farthest - o * step)) for o in steps]
+    return [c for c in cut if c.low < c.high]
+
+
 def _per_instant(placed: DataFrame, spec: FeatureSpec, n: int) -> DataFrame:
-    """Everything one cell contributes to each instant: (i, j, k, aggregates)."""
-    s, t = spec.step_us, F.col("t_us")
-    back_us = max(WINDOWS_DAYS) * DAY_US
-    if spec.triggering is not None:
-        back_us = max(back_us, spec.triggering_window_days * DAY_US)
-    ahead_us = max(spec.horizon_us, 7 * DAY_US)
-    since = t - F.lit(spec.start_us)
-    first = F.greatest(ceil_div(since - F.lit(ahead_us), s), F.lit(0))
-    last = F.least(ceil_div(since + F.lit(back_us), s) - 1, F.lit(n - 1))
-    arrival = F.greatest(ceil_div(since, s), F.lit(0))
-    reached = F.when(first <= last, F.sequence(first, last)).otherwise(F.array().cast("array<bigint>"))
-    noted = F.when(arrival < n, F.array(arrival)).otherwise(F.array().cast("array<bigint>"))
-    copies = placed.withColumn("_arrival", arrival).withColumn("k", F.explode(F.array_union(reached, noted)))
-    age = F.lit(spec.start_us) + F.col("k") * F.lit(s) - t
-    mag = F.col("mag")
-
-    def past(days: int) -> Column:
-        return (F.col("_age") >= 0) & (F.col("_age") < F.lit(days * DAY_US))
-
-    def ahead(us: int) -> Column:
-        return (F.col("_age") < 0) & (F.col("_age") >= F.lit(-us))
-
-    def hit(us: int, m: float) -> Column:
-        return F.max(F.when(ahead(us) & (mag >= m), 1).otherwise(0))
-
-    arrived = F.col("k") == F.col("_arrival")
-    kernel = F.lit(None).cast("double")
+    """Everything one cell contributes to each instant: (i, j, k, aggregates).
+
+    Events are reduced to panes first, one per cell and step: those that arrive at the same instant, i.e. are seen there for the
+    first time. All windows end on whole days, so a window is made of whole panes and of at most two panes cut at a whole
+    day, and each cut is a conditional aggregate beside that of the whole pane. A pane, not an event, is copied to the instants that see
+    it. The decay of an event depends on its exact lag; a pane holds its sum for each of these instants.
+    """
+    step, s = spec.step_days, spec.step_us
+    kernel_days = spec.triggering_window_days if spec.triggering is not None else 0
+    since = F.col("t_us") - F.lit(spec.start_us)
+    arrival = ceil_div(since, s)
+    lag, mag = arrival * F.lit(s) - since, F.col("mag")  # in [0, step)
+    held = placed.select("i", "j", "t_us", "mag", arrival.alias("a"), lag.alias("_lag"))
+
+    sums: dict[str, Column] = {}
+
+    def part(name: str, span: _Span, of) -> Column:
+        """The pane's aggregate `of` its events within `span`, once for all spans with the same cut."""
+        key = f"_{name}_{span.low}_{span.high}"
+        whole = (span.low, span.high) == (0, step)
+        # a window is (t - w, t], so an age counts up to, not including, its end; targets lie in (t, t + h]
+        inside = (F.col("_lag") >= F.lit(span.low * DAY_US)) & (F.col("_lag") < F.lit(span.high * DAY_US))
+        sums.setdefault(key, of(F.lit(True) if whole else inside))
+        return F.col(key)
+
+    def past(name: str, days: int, of) -> dict[int, Column]:
+        return {c.steps: part(name, c, of) for c in _spans(range(0, -(-days // step)), step, 0, days)}
+
+    def future(name: str, days: int, of) -> dict[int, Column]:
+        # an age of -h days is ahead, an age of 0 is not: the same half-open range, before the arrival
+        return {c.steps: part(name, c, of) for c in _spans(range(-(-(-days // step)) - 1, 0), step, -days, 0)}
+
+    def hit(m: float):
+        return lambda inside: F.max(F.when(inside & (mag >= m), 1).otherwise(0))
+
+    count, largest = (lambda inside: F.count_if(inside)), (lambda inside: F.max(F.when(inside, mag)))
+    released = lambda inside: F.sum(F.when(inside, energy(mag)))
+    columns: dict[str, dict[int, Column]] = {f"c{w}": past("c", w, count) for w in WINDOWS_DAYS}
+    columns |= {f"m{w}": past("m", w, largest) for w in (30, 90, 365)}
+    columns |= {f"e{w}": past("e", w, released) for w in (30, 365)}
+    columns |= {"y6": future("y6", spec.horizon_days, hit(6.0)), "y5": future("y5", spec.horizon_days, hit(5.0)), "y5w": future("y5", 7, hit(5.0))}
+    columns["trig"] = {}
     if spec.triggering is not None:
-        lag = F.col("_age").cast("double") / F.lit(float(DAY_US))
-        kernel = F.when(past(spec.triggering_window_days), spec.triggering.kernel(mag, F.greatest(lag, F.lit(0.0))))
-    return copies.withColumn("_age", age).groupBy("i", "j", "k").agg(
-        *[F.count_if(past(w)).alias(f"c{w}") for w in WINDOWS_DAYS],
-        *[F.max(F.when(past(w), mag)).alias(f"m{w}") for w in (30, 90, 365)],
-        *[F.sum(F.when(past(w), energy(mag))).alias(f"e{w}") for w in (30, 365)],
-        F.sum(kernel).alias("trig"),
-        hit(spec.horizon_us, 6.0).alias("y6"), hit(spec.horizon_us, 5.0).alias("y5"), hit(7 * DAY_US, 5.0).alias("y5w"),
-        F.count_if(arrived).alias("came"), F.max(F.when(arrived, t)).alias("last_t"),
-        F.max(F.when(arrived & (mag >= 5.0), t)).alias("last_t5"),
+        for span in _spans(range(0, -(-kernel_days // step)), step, 0, kernel_days):
+            age = (F.col("_lag") + F.lit(span.steps * s)).cast("double") / F.lit(float(DAY_US))
+            decay = spec.triggering.kernel(mag, age)
+            columns["trig"][span.steps] = part(f"trig{span.steps}", span, lambda inside, decay=decay: F.sum(F.when(inside, decay)))
+    first = [F.count(F.lit(1)).alias("_came"), F.max("t_us").alias("_last"), F.max(F.when(mag >= 5.0, F.col("t_us"))).alias("_last5")]
+    panes = held.groupBy("i", "j", "a").agg(*[c.alias(k) for k, c in sums.items()], *first)
+
+    offsets = sorted({o for by in columns.values() for o in by})
+    # What is older than the first instant is seen there for the first time, whatever its pane: one more copy for the arrival.
+    copies = panes.withColumn("o", F.explode(F.array(*[F.lit(o) for o in [*offsets, _ARRIVAL]])))
+    arrives = F.col("o") == _ARRIVAL
+    copies = copies.withColumn("k", F.when(arrives, F.greatest(F.col("a"), F.lit(0))).otherwise(F.col("a") + F.col("o"))).filter(F.col("k").between(0, n - 1))
+
+    def seen_from(by: dict[int, Column]) -> Column:
+        """The pane's value for the instant of this copy; NULL for instants that do not see it."""
+        value = F.lit(None)
+        for _, steps in groupby(sorted(by.items()), key=lambda item: str(item[1])):
+            run = [o for o, _ in steps]
+            value = F.when(F.col("o").between(run[0], run[-1]), by[run[0]]).otherwise(value)
+        return value
+
+    total = lambda c: F.max if c[0] in "my" else F.sum
+    return copies.groupBy("i", "j", "k").agg(
+        *[total(c)(seen_from(by) if by else F.lit(None).cast("double")).alias(c) for c, by in columns.items()],
+        F.sum(F.when(arrives, F.col("_came"))).alias("came"), F.max(F.when(arrives, F.col("_last"))).alias("last_t"),
+        F.max(F.when(arrives, F.col("_last5"))).alias("last_t5"),
     )
 
 
@@ -130,28 +179,25 @@ _NEAR = ("nb_c30", "nb_c365", "nb_m365", "nb_trig")
 _STRIP = 32  # lattice rows per strip
 
 
-def _with_neighbours(cell: DataFrame) -> DataFrame:
-    """Rows (i, j, k) with a cell's own aggregates and those of the 3 x 3 cells around it.
+def _neighbourhoods(cell: DataFrame) -> DataFrame:
+    """(i, j, k) with the sums of the 3 x 3 cells around each, for every cell with activity around it.
 
     Rows are laid out by instant and strip of lattice rows, strip borders being copied to both sides
-    (about one row in sixteen). A strip then knows all its neighbourhoods, so the ninefold spread is
-    aggregated where it is produced. Cells are addressed by (i, j), so a neighbourhood cannot wrap around
+    (about one row in sixteen). A strip then knows all its neighbourhoods, so the ninefold spread, of the four columns
+    that neighbours need, is aggregated where it is produced. Cells are addressed by (i, j), so a neighbourhood cannot wrap around
     the lattice edge.
     """
     strip = lambda i: F.floor(i / F.lit(_STRIP)).cast("long")
     i = F.col("i")
     homes = F.array_distinct(F.array(strip(i - 1), strip(i), strip(i + 1)))
-    laid_out = cell.withColumn("strip", F.explode(homes)).repartition("k", "strip")
+    passed_on = [F.col(c).alias(f"nb_{c}") for c in ("c30", "c365", "m365", "trig")]
+    active = cell.filter("c365 > 0 OR trig IS NOT NULL").select("i", "j", "k", *passed_on)
+    laid_out = active.withColumn("strip", F.explode(homes)).repartition("k", "strip")
     steps = [F.struct(F.lit(a).alias("di"), F.lit(b).alias("dj")) for a in (-1, 0, 1) for b in (-1, 0, 1)]
     spread = laid_out.withColumn("o", F.explode(F.array(*steps))).filter(strip(i + F.col("o.di")) == F.col("strip"))
-    here = (F.col("o.di") == 0) & (F.col("o.dj") == 0)
-    moved = spread.select(
-        "k", "strip", (i + F.col("o.di")).alias("i"), (F.col("j") + F.col("o.dj")).alias("j"),
-        *[F.when(here, F.col(c)).alias(c) for c in _OWN],
-        F.col("c30").alias("nb_c30"), F.col("c365").alias("nb_c365"), F.col("m365").alias("nb_m365"), F.col("trig").alias("nb_trig"),
-    )
+    moved = spread.select("k", "strip", (i + F.col("o.di")).alias("i"), (F.col("j") + F.col("o.dj")).alias("j"), *_NEAR)
     totals = [F.sum("nb_c30").alias("nb_c30"), F.sum("nb_c365").alias("nb_c365"), F.max("nb_m365").alias("nb_m365"), F.sum("nb_trig").alias("nb_trig")]
-    return moved.groupBy("k", "strip", "i", "j").agg(*[F.max(c).alias(c) for c in _OWN], *totals).drop("strip")
+    return moved.groupBy("k", "strip", "i", "j").agg(*totals).drop("strip")
 
 
 def feature_table(events: DataFrame, spec: FeatureSpec = FeatureSpec()) -> DataFrame:
@@ -160,14 +206,14 @@ def feature_table(events: DataFrame, spec: FeatureSpec = FeatureSpec()) -> DataF
     cell = _per_instant(placed, spec, n)
 
     region = cell.groupBy("k").agg(F.sum("c30").alias("reg_cnt_30d"), F.max("m30").alias("reg_maxmag_30d"))
-    merged = _with_neighbours(cell)
+    near = _neighbourhoods(cell)
 
     seen = placed if spec.active_until_us is None else placed.filter(F.col("t_us") <= spec.active_until_us)
     cells = active_cells(seen, spec.min_active_events).select("i", "j")
     scaffold = cells.select("i", "j", F.explode(instants_of(spec, n)).alias("k"), F.lit(True).alias("wanted"))
     # Partitioned by cell once: serves both the aggregation by (i, j, k) and the running columns. A cell
-    # holds at most two rows per instant here.
-    together = merged.unionByName(scaffold, allowMissingColumns=True).repartition("i", "j")
+    # holds at most three rows per instant here.
+    together = cell.unionByName(near, allowMissingColumns=True).unionByName(scaffold, allowMissingColumns=True).repartition("i", "j")
     dense = together.groupBy("i", "j", "k").agg(F.max("wanted").alias("wanted"), *[F.max(c).alias(c) for c in (*_OWN, *_NEAR)])
     so_far = Window.partitionBy("i", "j").orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
     running = dense.select(
