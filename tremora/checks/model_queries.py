@@ -32,6 +32,7 @@ _GR = "pow(10.0, -1.0)"
 _LT = f"1 - exp(-(cnt_all / {_YEARS} * {_GR}) * 30.0 / 365.25)"
 _1Y = f"1 - exp(-(cnt_365d * {_GR}) * 30.0 / 365.25)"
 _SM = f"1 - exp(-(0.5 * cnt_365d * {_GR} + 0.5 * nb365 / 9.0 * {_GR}) * 30.0 / 365.25)"
+_SM6 = _SM.replace(_GR, "pow(10.0, -2.0)")
 _SCORED = f"""{_CORE}, scored AS (SELECT 'poisson_lt' AS model, year, y, {_LT} AS p FROM f UNION ALL SELECT 'poisson_1y', year, y, {_1Y} FROM f UNION ALL SELECT 'poisson_smooth', year, y, {_SM} FROM f)"""
 # Probabilities are compared on ten decimals, so that equal rates tie in both engines.
 _PRED = f"{_SCORED}, pred AS (SELECT model, y, greatest(1e-7, least(round(p, 10), 1 - 1e-7)) AS p, 0.01::DOUBLE AS p_ref FROM scored)"

@@ -8,7 +8,7 @@ from tremora.checks import model_queries as MQ
 from tremora.checks import sql as S
 from tremora.checks.registry import query, rounded
 from tremora.functions.geo import Lattice
-from tremora.operators import regions
+from tremora.operators import hierarchy, regions
 from tremora.session import materialize
 from tremora.sources.shapes import vertices as parse_vertices
 
@@ -63,12 +63,12 @@ def _(spark, sf):
     return hits.groupBy("point_id").agg(F.min("region_id").alias("region_id"))
 
 
-@query("join_11_nearest_region", f"WITH {_INSIDE}, near AS (SELECT point_id, min({_DIST}) AS d FROM pts, edge WHERE point_id NOT IN (SELECT point_id FROM hit) GROUP BY 1) SELECT point_id, round(d, 6) AS distance FROM near")
+@query("join_11_nearest_region", f"WITH {_INSIDE}, near AS (SELECT point_id, region_id, min({_DIST}) AS d FROM pts, edge WHERE point_id NOT IN (SELECT point_id FROM hit) GROUP BY ALL), best AS (SELECT point_id, min(d) AS d FROM near GROUP BY 1) SELECT point_id, round(best.d, 6) AS distance, min(region_id) AS region_id FROM near JOIN best USING (point_id) WHERE near.d <= best.d + 1e-9 GROUP BY ALL")
 def _(spark, sf):
     edges = regions.edges_of(vertex_table(spark, sf))
     points = materialize(_points(spark, sf))
     outside = points.join(regions.containing_regions(points, edges), "point_id", "left_anti")
-    return rounded(regions.nearest_regions(outside, edges, tile=0.2).select("point_id", "distance"))
+    return rounded(regions.nearest_regions(outside, edges, tile=0.2).select("point_id", "region_id", "distance"))
 
 
 _LEVELS = f"{_vertex_sql()}, crossed AS (SELECT *, x1 * y2 - x2 * y1 AS k FROM edge), ring AS (SELECT region_id, ring_id, is_hole, sum(k) / 2 AS a, sum((x1 + x2) * k) / 6 AS mx, sum((y1 + y2) * k) / 6 AS my FROM crossed GROUP BY ALL), shp AS (SELECT region_id, sum(a * d) AS a, sum(mx * d) AS mx, sum(my * d) AS my FROM (SELECT *, sign(a) * CASE WHEN is_hole THEN -1 ELSE 1 END AS d FROM ring) GROUP BY 1), shape AS (SELECT region_id, mx / a AS cen_lon, my / a AS cen_lat, a * 111.32 * 111.32 * cos(radians(my / a)) AS area_km2 FROM shp)"
@@ -79,19 +79,56 @@ def _(spark, sf):
     return rounded(regions.shapes(regions.edges_of(vertex_table(spark, sf))), 6, area_km2=4)
 
 
-@query("join_13_hierarchy", f"WITH {_LEVELS} SELECT DISTINCT region_id, parent FROM vert")
+# Regions hold nations, nations four units each: the quarters of the nation's tile.
+_QUARTERS = [(0.0, 0.0), (0.5, 0.0), (0.5, 0.5), (0.0, 0.5)]
+
+
+def unit_vertices(spark, sf):
+    """Vertices of the units, named region/nation/unit."""
+    nation = spark.read.parquet(f"{sf}/nation.parquet").join(spark.read.parquet(f"{sf}/region.parquet"), F.col("n_regionkey") == F.col("r_regionkey"))
+    c, r = (F.col("n_nationkey") % 5).cast("double"), F.floor(F.col("n_nationkey") / 5).cast("double")
+    rows = [
+        F.struct(F.lit(f"unit_{k}").alias("unit"), F.lit(seq).cast("long").alias("seq"), _lon(c + F.lit(u + a / 2), r + F.lit(v + b / 2)).alias("lon"), _lat(c + F.lit(u + a / 2), r + F.lit(v + b / 2)).alias("lat"))
+        for k, (u, v) in enumerate(_QUARTERS) for seq, (a, b) in enumerate(_CORNERS)
+    ]
+    placed = nation.select("r_name", "n_name", F.inline(F.array(*rows)))
+    return placed.select(F.concat_ws("/", "r_name", "n_name", "unit").alias("region_id"), F.lit(0).cast("long").alias("ring_id"), F.lit(False).alias("is_hole"), "seq", "lon", "lat")
+
+
+def _unit_sql() -> str:
+    """uvert, leaf, node: units, their numbers in path order, and the intervals of all nodes"""
+    parts = [
+        f"SELECT r_name || '/' || n_name || '/unit_{k}' AS region_id, {seq}::BIGINT AS seq, -81.5::DOUBLE + 2.7::DOUBLE * (c + {u + a / 2}::DOUBLE) + 0.3::DOUBLE * (r + {v + b / 2}::DOUBLE) AS lon, -18.5::DOUBLE + 3.8::DOUBLE * (r + {v + b / 2}::DOUBLE) + 0.2::DOUBLE * (c + {u + a / 2}::DOUBLE) AS lat FROM nat"
+        for k, (u, v) in enumerate(_QUARTERS) for seq, (a, b) in enumerate(_CORNERS)
+    ]
+    return f"""nat AS (SELECT r_name, n_name, (n_nationkey % 5)::DOUBLE AS c, (n_nationkey // 5)::DOUBLE AS r FROM nation JOIN region ON n_regionkey = r_regionkey),
+    uvert AS ({' UNION ALL '.join(parts)}),
+    leaf AS (SELECT region_id, row_number() OVER (ORDER BY region_id) AS position, string_split(region_id, '/') AS w FROM (SELECT DISTINCT region_id FROM uvert)),
+    prefix AS (SELECT '' AS node, NULL AS name, NULL AS parent, 0::BIGINT AS level, position FROM leaf UNION ALL SELECT w[1], w[1], '', 1, position FROM leaf
+        UNION ALL SELECT w[1] || '/' || w[2], w[2], w[1], 2, position FROM leaf UNION ALL SELECT region_id, w[3], w[1] || '/' || w[2], 3, position FROM leaf),
+    node AS (SELECT node, name, parent, level, min(position) AS low, max(position) AS high FROM prefix GROUP BY ALL)"""
+
+
+@query("join_13_hierarchy", f"WITH {_unit_sql()} SELECT * FROM node")
+def _(spark, sf):
+    units = unit_vertices(spark, sf).select("region_id").distinct()
+    return hierarchy.nested_intervals(hierarchy.numbered(units))
+
+
+@query("join_13_region_parents", f"WITH {_LEVELS} SELECT DISTINCT region_id, parent FROM vert")
 def _(spark, sf):
     return vertex_table(spark, sf).select("region_id", "parent").distinct()
 
 
-_RATES = f"{MQ._LATEST}, cells AS (SELECT cell_id, -18.5::DOUBLE + (cell_id // 54 + 0.5) * 0.25 AS cen_lat, -81.5::DOUBLE + (cell_id % 54 + 0.5) * 0.25 AS cen_lon, -ln(1 - greatest(1e-9, least(p, 0.999))) / (30 / 365.25) AS rate_m5 FROM snap)"
+_BOTH = f"{MQ._CORE}, snap AS (SELECT cell_id, {MQ._SM} AS p, {MQ._SM6} AS p6 FROM f WHERE t = (SELECT max(t) FROM f))"
+_RATES = f"{_BOTH}, cells AS (SELECT cell_id, -18.5::DOUBLE + (cell_id // 54 + 0.5) * 0.25 AS cen_lat, -81.5::DOUBLE + (cell_id % 54 + 0.5) * 0.25 AS cen_lon, -ln(1 - greatest(1e-9, least(p, 0.999))) / (30 / 365.25) AS rate_m5, -ln(1 - greatest(1e-12, least(p6, 0.999))) / (30 / 365.25) AS rate_m6 FROM snap)"
 
 
 def _cells(spark, sf):
     return regions.cell_rates(MQ._raw_snapshot(spark, sf), 30.0, 0.25)
 
 
-@query("join_12_nearest_cell", f"WITH {_RATES}, {_LEVELS}, dens AS (SELECT *, rate_m5 / (pow(0.25 * 111.32, 2) * cos(radians(cen_lat))) AS density FROM cells), near AS (SELECT s.region_id, arg_min(density, (sqrt(pow(s.cen_lon - d.cen_lon, 2) + pow(s.cen_lat - d.cen_lat, 2)), cell_id)) AS density FROM shape s JOIN dens d ON sqrt(pow(s.cen_lon - d.cen_lon, 2) + pow(s.cen_lat - d.cen_lat, 2)) < 0.2 GROUP BY 1) SELECT region_id AS point_id, round(coalesce(density, 0), 10) AS density_m5 FROM shape LEFT JOIN near USING (region_id)")
+@query("join_12_nearest_cell", f"WITH {_RATES}, {_LEVELS}, dens AS (SELECT *, rate_m5 / (pow(0.25 * 111.32, 2) * cos(radians(cen_lat))) AS density FROM cells), near AS (SELECT s.region_id, arg_min(density, (round(sqrt(pow(s.cen_lon - d.cen_lon, 2) + pow(s.cen_lat - d.cen_lat, 2)), 9), cell_id)) AS density FROM shape s JOIN dens d ON sqrt(pow(s.cen_lon - d.cen_lon, 2) + pow(s.cen_lat - d.cen_lat, 2)) < 0.2 GROUP BY 1) SELECT region_id AS point_id, round(coalesce(density, 0), 10) AS density_m5 FROM shape LEFT JOIN near USING (region_id)")
 def _(spark, sf):
     places = regions.shapes(regions.edges_of(vertex_table(spark, sf))).select(F.col("region_id").alias("point_id"), F.col("cen_lon").alias("lon"), F.col("cen_lat").alias("lat"))
     return rounded(regions.nearest_cell_density(places, _cells(spark, sf), Lattice(0.25), cutoff=0.2).select("point_id", "density_m5"), 10)
@@ -107,17 +144,17 @@ def _superposed(spark, sf):
     return regions.superpose(rated, ["parent", "region_id"])
 
 
-_UNITS = f"{_RATES}, {_ASSIGNED.replace(S.grid() + ', ', '')}, rated AS (SELECT c.*, a.region_id, t.parent FROM cells c JOIN assigned a ON a.point_id = c.cell_id JOIN tile t USING (region_id)), units AS (SELECT parent, region_id, (2 - grouping(parent) - grouping(region_id))::BIGINT AS level, count(*) AS n, sum(rate_m5) AS rate_m5 FROM rated GROUP BY ROLLUP (parent, region_id))"
+_UNITS = f"{_RATES}, {_ASSIGNED.replace(S.grid() + ', ', '')}, rated AS (SELECT c.*, a.region_id, t.parent FROM cells c JOIN assigned a ON a.point_id = c.cell_id JOIN tile t USING (region_id)), units AS (SELECT parent, region_id, (2 - grouping(parent) - grouping(region_id))::BIGINT AS level, count(*) AS n, sum(rate_m5) AS rate_m5, sum(rate_m6) AS rate_m6 FROM rated GROUP BY ROLLUP (parent, region_id))"
 
 
-@query("agg_27_superposed_rates", f"WITH {_UNITS} SELECT parent, region_id, level, n, round(rate_m5, 6) AS rate_m5 FROM units")
+@query("agg_27_superposed_rates", f"WITH {_UNITS} SELECT parent, region_id, level, n, round(rate_m5, 6) AS rate_m5, round(rate_m6, 8) AS rate_m6 FROM units")
 def _(spark, sf):
-    return rounded(_superposed(spark, sf).select("parent", "region_id", "level", "n", "rate_m5"))
+    return rounded(_superposed(spark, sf).select("parent", "region_id", "level", "n", "rate_m5", "rate_m6"), 6, rate_m6=8)
 
 
-@query("agg_27_horizon_probabilities", f"WITH {_UNITS} SELECT parent, region_id, level, days::BIGINT AS days, round(1 - exp(-rate_m5 * days / 365.25), 6) AS p_m5, round(CASE WHEN rate_m5 > 0 THEN 1 / rate_m5 END, 6) AS recur_m5 FROM units, (SELECT unnest([7, 30, 90, 365]) AS days)")
+@query("agg_27_horizon_probabilities", f"WITH {_UNITS} SELECT parent, region_id, level, days::BIGINT AS days, round(1 - exp(-rate_m5 * days / 365.25), 6) AS p_m5, round(CASE WHEN rate_m5 > 0 THEN 1 / rate_m5 END, 6) AS recur_m5, round(1 - exp(-rate_m6 * days / 365.25), 6) AS p_m6, round(CASE WHEN rate_m6 > 0 THEN 1 / rate_m6 END, 5) AS recur_m6 FROM units, (SELECT unnest([7, 30, 90, 365]) AS days)")
 def _(spark, sf):
-    return rounded(regions.horizon_probabilities(_superposed(spark, sf), ["parent", "region_id", "level"]).select("parent", "region_id", "level", "days", "p_m5", "recur_m5"))
+    return rounded(regions.horizon_probabilities(_superposed(spark, sf), ["parent", "region_id", "level"]).select("parent", "region_id", "level", "days", "p_m5", "recur_m5", "p_m6", "recur_m6"), 6, recur_m6=5)
 
 
 @query("top_05_region_ranking", f"WITH {_UNITS}, pr AS (SELECT parent, region_id, level, round(1 - exp(-rate_m5 * 30 / 365.25), 8) AS p_m5 FROM units) SELECT *, row_number() OVER (PARTITION BY level ORDER BY p_m5 DESC, coalesce(region_id, parent)) AS rank FROM pr")
@@ -136,6 +173,33 @@ def _(spark, sf):
     return rounded(d.select("d.parent", "d.region_id", "d.level", F.col("d.horizons")[1]["p_m5"].alias("p30"), F.col("d.horizons")[3]["p_m5"].alias("p365")), 5)
 
 
+_UNIT_RATES = f"""{_RATES}, {_unit_sql()}, uedge AS (SELECT region_id, lon AS x1, lat AS y1, coalesce(lead(lon) OVER w, first(lon) OVER w) AS x2, coalesce(lead(lat) OVER w, first(lat) OVER w) AS y2 FROM uvert WINDOW w AS (PARTITION BY region_id ORDER BY seq)),
+    uk AS (SELECT *, x1 * y2 - x2 * y1 AS k FROM uedge), ush AS (SELECT region_id, sum(k) / 2 AS a, sum((x1 + x2) * k) / 6 / (sum(k) / 2) AS cx, sum((y1 + y2) * k) / 6 / (sum(k) / 2) AS cy FROM uk GROUP BY 1),
+    dens AS (SELECT *, pow(0.25 * 111.32, 2) * cos(radians(cen_lat)) AS cell_area FROM cells),
+    unear AS (SELECT s.region_id, arg_min(rate_m5 / cell_area, (round(sqrt(pow(cx - cen_lon, 2) + pow(cy - cen_lat, 2)), 9), cell_id)) AS d5, arg_min(rate_m6 / cell_area, (round(sqrt(pow(cx - cen_lon, 2) + pow(cy - cen_lat, 2)), 9), cell_id)) AS d6 FROM ush s JOIN dens ON sqrt(pow(cx - cen_lon, 2) + pow(cy - cen_lat, 2)) < 0.2 GROUP BY 1),
+    unit AS (SELECT region_id, abs(a) * 111.32 * 111.32 * cos(radians(cy)) AS area, coalesce(d5, 0) AS d5, coalesce(d6, 0) AS d6 FROM ush LEFT JOIN unear USING (region_id)),
+    rolled AS (SELECT node, name, parent, level, count(*) AS n, sum(d5 * area) AS rate_m5, sum(d6 * area) AS rate_m6 FROM prefix JOIN leaf USING (position) JOIN unit USING (region_id) GROUP BY ALL)"""
+
+
+def _unit_sums(spark, sf):
+    rates = hierarchy.unit_rates(unit_vertices(spark, sf), _cells(spark, sf), Lattice(0.25), cutoff=0.2)
+    return hierarchy.subtree_sums(rates, ["rate_m5", "rate_m6"])
+
+
+@query("agg_27_hierarchy_rates", f"WITH {_UNIT_RATES} SELECT node, name, parent, level, n, round(rate_m5, 6) AS rate_m5, round(rate_m6, 8) AS rate_m6 FROM rolled")
+def _(spark, sf):
+    return rounded(_unit_sums(spark, sf).drop("low", "high"), 6, rate_m6=8)
+
+
+@query("agg_27_hierarchy_probabilities", f"WITH {_UNIT_RATES} SELECT node, level, days::BIGINT AS days, round(1 - exp(-rate_m5 * days / 365.25), 6) AS p_m5, round(1 - exp(-rate_m6 * days / 365.25), 6) AS p_m6, round(CASE WHEN rate_m5 > 1e-9 THEN 1 / rate_m5 END, 4) AS recur_m5, round(CASE WHEN rate_m6 > 1e-9 THEN 1 / rate_m6 END, 2) AS recur_m6 FROM rolled, (SELECT unnest([7, 30, 90, 365]) AS days)")
+def _(spark, sf):
+    # a difference of running sums may leave the last bit of a rate that is zero
+    clean = _unit_sums(spark, sf)
+    for m in ("m5", "m6"):
+        clean = clean.withColumn(f"rate_{m}", F.when(F.col(f"rate_{m}") > 1e-9, F.col(f"rate_{m}")).otherwise(0.0))
+    return rounded(regions.horizon_probabilities(clean, ["node", "level"]), 6, recur_m5=4, recur_m6=2)
+
+
 @query("src_13_geojson", f"WITH {_vertex_sql()}, named AS (SELECT upper(parent[1]) || lower(parent[2:]) AS department, 'Nation_' || regexp_extract(region_id, '[0-9]+$') AS province, * FROM vert) SELECT department || '/' || province AS region_id, department, province, ring_id, is_hole, seq, round(lon, 9) AS lon, round(lat, 9) AS lat FROM named WHERE strpos(parent, ' ') = 0 UNION ALL SELECT 'Middle East/' || province, 'Middle East', province, ring_id, is_hole, seq, round(lon, 9), round(lat, 9) FROM named WHERE strpos(parent, ' ') > 0")
 def _(spark, sf):
     # One collection document per region; each nation's rings are four points each.

@@ -1,7 +1,7 @@
 """Polygons as vertex tables: area, point-in-polygon, nearest region and forecast roll-ups.
 
 Vertices are (region_id, ring_id, is_hole, seq, lon, lat) plus parents; rings need not be closed.
-Points meet edges through an equi-join on square tiles, never through a nested loop.
+Points meet edges through equi-joins on square tiles, never through a nested loop.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from tremora.fixed import HORIZONS_DAYS, KM_PER_DEGREE, Box
 from tremora.functions.geo import Lattice, cell_area_km2, in_box
 from tremora.functions.rates import poisson_probability, yearly_rate
+from tremora.operators.tiles import tile_index, tile_of
 from tremora.session import materialize
 
 
@@ -47,29 +48,9 @@ def shapes(edges: DataFrame) -> DataFrame:
     )
 
 
-def _tile(x: Column, size: float) -> Column:
-    return F.floor(x / F.lit(size)).cast("long")
-
-
 def containing_regions(points: DataFrame, edges: DataFrame, tile: float = 1.0) -> DataFrame:
-    """(point_id, region_id) for every region that contains the point (even-odd rule, holes respected).
-
-    An edge is filed under the latitude strips it crosses and the longitude tiles of its region, so a
-    point finds every edge its eastward ray can cross under its own tile.
-    """
-    extent = edges.groupBy("region_id").agg(
-        F.min(F.least("x1", "x2")).alias("west"), F.max(F.greatest("x1", "x2")).alias("east")
-    )
-    filed = (
-        edges.filter("y1 <> y2").join(extent, "region_id")
-        .withColumn("ty", F.explode(F.sequence(_tile(F.least("y1", "y2"), tile), _tile(F.greatest("y1", "y2"), tile))))
-        .withColumn("tx", F.explode(F.sequence(_tile(F.col("west"), tile), _tile(F.col("east"), tile))))
-    )
-    located = points.select("point_id", "lon", "lat", _tile(F.col("lat"), tile).alias("ty"), _tile(F.col("lon"), tile).alias("tx"))
-    straddles = (F.col("y1") > F.col("lat")) != (F.col("y2") > F.col("lat"))
-    crossing = F.col("x1") + (F.col("lat") - F.col("y1")) * (F.col("x2") - F.col("x1")) / (F.col("y2") - F.col("y1"))
-    hits = located.join(filed, ["tx", "ty"]).filter(straddles & (F.col("lon") < crossing))
-    return hits.groupBy("point_id", "region_id").agg(F.count(F.lit(1)).alias("n")).filter("n % 2 = 1").select("point_id", "region_id")
+    """(point_id, region_id) for every region that contains the point (even-odd rule, holes respected)."""
+    return tile_index(edges, tile).regions_of(points)
 
 
 def _segment_distance() -> Column:
@@ -84,16 +65,18 @@ def nearest_regions(points: DataFrame, edges: DataFrame, tile: float = 1.0) -> D
     """(point_id, region_id, distance): region with the nearest boundary in planar degrees, lowest id on ties.
 
     Search squares grow fourfold until the best distance lies within the searched reach, so the answer is
-    exact however far a point is, and near points never look far.
+    exact however far a point is, and near points never look far. Raises ValueError without edges.
     """
+    if edges.isEmpty():
+        raise ValueError("no edges to be near to")
     answers, open_points, reach = None, points.select("point_id", "lon", "lat"), tile
     while True:
         filed = edges.select("region_id", "x1", "y1", "x2", "y2")
         for axis, (a, b) in {"tx": ("x1", "x2"), "ty": ("y1", "y2")}.items():
-            filed = filed.withColumn(axis, F.explode(F.sequence(_tile(F.least(a, b), reach), _tile(F.greatest(a, b), reach))))
+            filed = filed.withColumn(axis, F.explode(F.sequence(tile_of(F.least(a, b), reach), tile_of(F.greatest(a, b), reach))))
         near = F.array(*[F.struct(F.lit(p).alias("p"), F.lit(q).alias("q")) for p in (-1, 0, 1) for q in (-1, 0, 1)])
         asked = open_points.withColumn("o", F.explode(near)).select(
-            "point_id", "lon", "lat", (_tile(F.col("lon"), reach) + F.col("o.p")).alias("tx"), (_tile(F.col("lat"), reach) + F.col("o.q")).alias("ty")
+            "point_id", "lon", "lat", (tile_of(F.col("lon"), reach) + F.col("o.p")).alias("tx"), (tile_of(F.col("lat"), reach) + F.col("o.q")).alias("ty")
         )
         best = asked.join(filed, ["tx", "ty"]).groupBy("point_id").agg(F.min(F.struct(_segment_distance().alias("d"), "region_id")).alias("b"))
         looked = materialize(open_points.join(best, "point_id", "left").select("*", F.coalesce(F.col("b.d") <= reach, F.lit(False)).alias("sure")))
@@ -155,7 +138,8 @@ def nearest_cell_density(places: DataFrame, cells: DataFrame, lattice: Lattice,
     addressed = cells.withColumn("i", lattice.row_of(F.col("cen_lat"))).withColumn("j", lattice.column_of(F.col("cen_lon")))
     dx, dy = F.col("lon") - F.col("cen_lon"), F.col("lat") - F.col("cen_lat")
     found = asked.join(addressed, ["i", "j"]).withColumn("d", F.sqrt(dx * dx + dy * dy)).filter(F.col("d") < cutoff)
-    best = found.groupBy("point_id").agg(F.min(F.struct("d", "cell_id", "density_m5", "density_m6")).alias("b"))
+    # centres equally far but for rounding tie, and the lowest id is taken
+    best = found.groupBy("point_id").agg(F.min(F.struct(F.round("d", 9).alias("d"), "cell_id", "density_m5", "density_m6")).alias("b"))
     return places.join(best, "point_id", "left").select(
         *places.columns, F.coalesce("b.density_m5", F.lit(0.0)).alias("density_m5"), F.coalesce("b.density_m6", F.lit(0.0)).alias("density_m6")
     )
