@@ -254,6 +254,15 @@ def _(spark, sf):
     return rounded(snapshot.select("cell_id", "cnt_30d", "cnt_365d", "p_m5_30d"))
 
 
+_CALIBRATED_M6 = _CALIBRATED.replace(_SM, _SM6).replace("p_m5_30d", "p_m6_30d").replace("AND e.mag >= 5.0", "AND e.mag >= 6.0")
+
+
+@query("mod_15_calibrated_m6", _CALIBRATED_M6)
+def _(spark, sf):
+    snapshot = forecasting.forecast_snapshot(materialize(FQ.table(spark, sf)), mc=MC)
+    return rounded(snapshot.select("cell_id", "cnt_30d", "cnt_365d", "p_m6_30d"))
+
+
 @query("mod_15_forecast_snapshot")
 def _(spark, sf):
     return forecasting.forecast_snapshot(materialize(FQ.table(spark, sf)), mc=MC).drop("t_us")
@@ -345,6 +354,27 @@ def _(spark, sf):
     return rounded(epoch.epoch_test(*_epoch_inputs(spark, sf)), 6, p=8)
 
 
+_CASES = f"""{S.cat(True)}, far AS (SELECT -16.25::DOUBLE AS latitude, -72.0::DOUBLE AS longitude), span AS (SELECT min(t_us) AS lo, max(t_us) AS hi FROM cat),
+    strong AS (SELECT canonical_id, t_us, preferred_mw, {S.haversine('cat', 'far')} AS km FROM cat, far WHERE cat.latitude BETWEEN -56.0 AND -17.0 AND cat.longitude BETWEEN -76.0 AND -66.0),
+    trig AS (SELECT canonical_id, t_us, threshold, setting FROM strong, (VALUES (6.0::DOUBLE), (6.5::DOUBLE)) v(threshold), (VALUES ('whole'), ('near'), ('remote')) w(setting) WHERE preferred_mw >= threshold AND (setting <> 'remote' OR km >= 600.0)),
+    aim AS (SELECT 'whole' AS goal, t_us FROM cat WHERE country = 'Peru' AND preferred_mw >= 4.5 UNION ALL SELECT 'near', t_us FROM cat WHERE latitude BETWEEN -18.5 AND -14.0 AND longitude BETWEEN -76.0 AND -68.0 AND preferred_mw >= 4.5),
+    targ AS (SELECT goal, t_us, row_number() OVER (PARTITION BY goal ORDER BY t_us) AS upto FROM aim),
+    draws AS (SELECT setting, threshold, CASE setting WHEN 'whole' THEN 'whole' ELSE 'near' END AS goal, d.draw, w.days, CASE WHEN d.draw = 0 THEN t_us ELSE lo + floor({_mix('d.draw', 'trig.canonical_id', 'w.days')} * (hi - lo - w.days * {DAY_US})::DOUBLE)::BIGINT END AS s, w.days * {DAY_US} AS width
+        FROM trig, span, (SELECT unnest(range(0, 3001)) AS draw) d, {_WINDOWS} w),
+    lows AS (SELECT draws.*, coalesce(targ.upto, 0) AS a FROM draws ASOF LEFT JOIN targ ON draws.goal = targ.goal AND draws.s >= targ.t_us),
+    highs AS (SELECT setting, threshold, draw, days, a, coalesce(targ.upto, 0) AS b FROM (SELECT *, s + width AS e FROM lows) x ASOF LEFT JOIN targ ON x.goal = targ.goal AND x.e >= targ.t_us),
+    sums AS (SELECT setting, threshold, days, draw, sum(b - a)::BIGINT AS n FROM highs GROUP BY ALL), seen AS (SELECT setting, threshold, days, n AS observed FROM sums WHERE draw = 0),
+    st AS (SELECT setting, threshold, days, observed, avg(n) AS expected, stddev_pop(n) AS sd, count(*) FILTER (n >= observed) AS big FROM sums JOIN seen USING (setting, threshold, days) WHERE draw > 0 GROUP BY ALL),
+    tot AS (SELECT setting, threshold, count(*) AS n_triggers FROM trig GROUP BY ALL HAVING count(*) >= 3)"""
+
+
+@query("agg_16_distance_controlled", f"WITH {_CASES} SELECT setting, threshold, days, observed, round(expected, 6) AS expected, round(observed / nullif(expected, 0), 6) AS rate_ratio, round((observed - expected) / (sd + 1e-9), 6) AS beta, round((1.0 + big) / 3001.0, 8) AS p, n_triggers FROM st JOIN tot USING (setting, threshold)")
+def _(spark, sf):
+    wide = catalog(spark, sf, True)
+    first, last = wide.agg(F.min("t_us"), F.max("t_us")).first()
+    return rounded(epoch.distance_controlled(wide, (6.0, 6.5), 4.5, first, last), 6, p=8)
+
+
 _LAGS = f"(SELECT unnest(range(-30, 31)) AS lag)"
 
 

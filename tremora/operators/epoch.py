@@ -7,7 +7,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tremora.fixed import DAY_US, EPOCH_CURVE_DRAWS, EPOCH_DRAWS, EPOCH_WINDOWS_DAYS
+from tremora.fixed import (
+    COUNTRY_BOXES, DAY_US, EPOCH_CURVE_DRAWS, EPOCH_DRAWS, EPOCH_WINDOWS_DAYS, REMOTE_KM, SOUTH_CENTROID, SOUTH_TARGET_BOX, Box,
+)
+from tremora.functions.geo import haversine_km, in_box
 from tremora.operators.ranking import prefix_sums
 
 _DIGITS = 13  # hexadecimal digits of a draw: 52 bits
@@ -53,44 +56,73 @@ def _windows(days: Sequence[int]) -> Column:
     return F.array(*[F.lit(d).cast("long") for d in days])
 
 
-def observed_counts(triggers: DataFrame, targets: DataFrame, days: Sequence[int] = EPOCH_WINDOWS_DAYS) -> DataFrame:
-    spread = triggers.select("t_us", F.explode(_windows(days)).alias("days")).withColumn("width", F.col("days") * F.lit(DAY_US))
-    return followers(spread, targets, ["days"], "t_us", "width").withColumnRenamed("n", "observed")
+def observed_counts(triggers: DataFrame, targets: DataFrame, days: Sequence[int] = EPOCH_WINDOWS_DAYS, keys: Sequence[str] = ()) -> DataFrame:
+    spread = triggers.select(*keys, "t_us", F.explode(_windows(days)).alias("days")).withColumn("width", F.col("days") * F.lit(DAY_US))
+    return followers(spread, targets, [*keys, "days"], "t_us", "width").withColumnRenamed("n", "observed")
 
 
 def null_counts(
     triggers: DataFrame, targets: DataFrame, first_us: int, last_us: int,
-    days: Sequence[int] = EPOCH_WINDOWS_DAYS, draws: int = EPOCH_DRAWS,
+    days: Sequence[int] = EPOCH_WINDOWS_DAYS, draws: int = EPOCH_DRAWS, keys: Sequence[str] = (),
 ) -> DataFrame:
-    """(days, draw, n): counts after as many uniform times in [first, last - window] as there are triggers."""
+    """(keys, days, draw, n): counts after as many uniform times in [first, last - window] as there are triggers."""
     random = (
-        triggers.select("canonical_id", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(draws).cast("long"))).alias("draw"))
-        .select("canonical_id", "draw", F.explode(_windows(days)).alias("days"))
+        triggers.select(*keys, "canonical_id", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(draws).cast("long"))).alias("draw"))
+        .select(*keys, "canonical_id", "draw", F.explode(_windows(days)).alias("days"))
         .withColumn("width", F.col("days") * F.lit(DAY_US))
     )
     room = (F.lit(last_us - first_us) - F.col("width")).cast("double")
     u = uniform_draw(F.col("draw"), F.col("canonical_id"), F.col("days"))
     placed = random.withColumn("start", F.lit(first_us) + F.floor(u * room).cast("long"))
-    return followers(placed, targets, ["days", "draw"], "start", "width")
+    return followers(placed, targets, [*keys, "days", "draw"], "start", "width")
 
 
 def epoch_test(
     triggers: DataFrame, targets: DataFrame, first_us: int, last_us: int,
-    days: Sequence[int] = EPOCH_WINDOWS_DAYS, draws: int = EPOCH_DRAWS,
+    days: Sequence[int] = EPOCH_WINDOWS_DAYS, draws: int = EPOCH_DRAWS, keys: Sequence[str] = (),
 ) -> DataFrame:
-    """Per window: observed, expected, rate ratio, beta and one-sided p. Fewer than three triggers give no rows."""
-    observed = observed_counts(triggers, targets, days)
-    null = null_counts(triggers, targets, first_us, last_us, days, draws)
-    stats = null.join(observed, "days").groupBy("days", "observed").agg(
+    """Per window: observed, expected, rate ratio, beta and one-sided p. Fewer than three triggers give no rows.
+
+    `keys` are columns of `triggers` that tell several tests apart; all run in the same pass.
+    """
+    cell = [*keys, "days"]
+    observed = observed_counts(triggers, targets, days, keys)
+    null = null_counts(triggers, targets, first_us, last_us, days, draws, keys)
+    stats = null.join(observed, cell).groupBy(*cell, "observed").agg(
         F.avg("n").alias("expected"), F.stddev_pop("n").alias("sd"), F.count_if(F.col("n") >= F.col("observed")).alias("as_large")
     )
     rated = stats.select(
-        "days", "observed", "expected", F.try_divide(F.col("observed").cast("double"), F.col("expected")).alias("rate_ratio"),
+        *cell, "observed", "expected", F.try_divide(F.col("observed").cast("double"), F.col("expected")).alias("rate_ratio"),
         ((F.col("observed") - F.col("expected")) / (F.col("sd") + F.lit(1e-9))).alias("beta"),
         ((F.lit(1.0) + F.col("as_large")) / F.lit(1.0 + draws)).alias("p"),
     )
-    n_triggers = triggers.agg(F.count(F.lit(1))).scalar()
-    return rated.withColumn("n_triggers", n_triggers).filter("n_triggers >= 3")
+    sizes = triggers.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_triggers")).filter("n_triggers >= 3")
+    return rated.join(sizes, list(keys)) if keys else rated.crossJoin(F.broadcast(sizes))
+
+
+def distance_controlled(
+    events: DataFrame, thresholds: Sequence[float], min_target: float, first_us: int, last_us: int,
+    source: str = "Chile", focus: str = "Peru", near: Box = SOUTH_TARGET_BOX, centre: tuple[float, float] = SOUTH_CENTROID,
+    remote_km: float = REMOTE_KM, draws: int = EPOCH_DRAWS,
+) -> DataFrame:
+    """The experiment under three settings and several trigger thresholds: (setting, threshold, days, ...).
+
+    `whole`: targets anywhere in the focus country; `near`: targets in a box close to the triggers; `remote`: the same targets, but only
+    triggers at least `remote_km` from its centre, so that aftershocks of near ones are no evidence.
+    """
+    km = haversine_km(F.col("latitude"), F.col("longitude"), F.lit(centre[0]), F.lit(centre[1]))
+    # triggers come from the source's box, which overlaps its neighbours', not from rows tagged with its name
+    box = COUNTRY_BOXES[source]
+    strong = events.filter(in_box(F.col("latitude"), F.col("longitude"), box)).withColumn("_km", km)
+    levels = F.filter(F.array(*[F.lit(float(t)) for t in thresholds]), lambda t: F.col("preferred_mw") >= t)
+    triggers = strong.select("canonical_id", "t_us", "_km", F.explode(levels).alias("threshold"))
+    large = events.filter(F.col("preferred_mw") >= min_target)
+    tested = lambda kinds, targets: epoch_test(
+        triggers.select("canonical_id", "t_us", "threshold", F.explode(kinds).alias("setting")), targets, first_us, last_us, draws=draws, keys=["setting", "threshold"]
+    )
+    whole = tested(F.array(F.lit("whole")), large.filter(F.col("country") == focus))
+    settings = F.when(F.col("_km") >= remote_km, F.array(F.lit("near"), F.lit("remote"))).otherwise(F.array(F.lit("near")))
+    return whole.unionByName(tested(settings, large.filter(in_box(F.col("latitude"), F.col("longitude"), near))))
 
 
 def epoch_curve(

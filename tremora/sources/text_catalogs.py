@@ -128,7 +128,7 @@ def moment_magnitude(line4: Column, line5: Column) -> Column:
     """Mw from the exponent (first token) and the scalar moment (eleventh token), NULL unless positive."""
     token = lambda l, k: F.try_element_at(F.split(F.trim(l), r"\s+"), F.lit(k + 1))
     exponent = F.when(token(line4, 0).rlike(r"^[+-]?\d+$"), token(line4, 0)).try_cast("int")
-    mantissa = token(line5, 10).try_cast("double")
+    mantissa = _number(token(line5, 10))
     positive = F.when(mantissa > 0, mantissa)
     return F.bround(F.lit(2.0 / 3.0) * (F.log10(positive) + exponent - F.lit(16.1)), 2)
 
@@ -145,9 +145,9 @@ def five_line_observations(numbered: DataFrame) -> DataFrame:
     return to_observations(rows.filter(F.size(first) >= 6).select(
         F.lit("gcmt").alias("source"), name.alias("source_event_id"),
         F.try_to_timestamp(F.concat_ws(" ", F.translate(token(1), "/", "-"), token(2))).alias("origin_time"),
-        token(3).try_cast("double").alias("latitude"), token(4).try_cast("double").alias("longitude"),
-        token(5).try_cast("double").alias("depth_km"), moment_magnitude(F.col("l4"), F.col("l5")).alias("magnitude"),
-        F.lit("Mw").alias("magnitude_type"), F.lit("GCMT").alias("author"), F.lit("GCMT").alias("catalog"), token(5).try_cast("double").alias("_depth"),
+        _number(token(3)).alias("latitude"), _number(token(4)).alias("longitude"),
+        _number(token(5)).alias("depth_km"), moment_magnitude(F.col("l4"), F.col("l5")).alias("magnitude"),
+        F.lit("Mw").alias("magnitude_type"), F.lit("GCMT").alias("author"), F.lit("GCMT").alias("catalog"), _number(token(5)).alias("_depth"),
     ).filter("latitude IS NOT NULL AND longitude IS NOT NULL AND _depth IS NOT NULL AND magnitude IS NOT NULL").drop("_depth"))
 
 
