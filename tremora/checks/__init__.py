@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("catalog_queries", "statistics_queries", "feature_queries", "model_queries", "region_queries", "io_queries")
+MODULES = ("catalog_queries", "statistics_queries", "feature_queries", "model_queries", "region_queries", "io_queries", "plan_queries")
 
 
 def load_all() -> None:
