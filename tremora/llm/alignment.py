@@ -153,12 +153,13 @@ _CHUNKS = pa.schema([
 ])
 _CHUNKS_DDL = "chunk long, doc_ids array<bigint>, n_a array<bigint>, n_b array<bigint>, n_groups array<bigint>, digests array<string>, regular binary, n_regular array<bigint>, irregular binary, pairs array<bigint>, pair_counts array<bigint>, ones array<bigint>, one_counts array<bigint>"
 _PAIR = 1 << 32
+_CHUNK_BYTES = 1 << 21
 
 
 def _chunked(a: str, b: str):
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, chunk = aligner(a, b), TaskContext.get().partitionId() << 32
-        for batches, texts in portions(stream):
+        for batches, texts in portions(stream, _CHUNK_BYTES):
             found = own.align(texts)
             regular = (found.many_a == 1) & (found.many_b == 1) & (own.same[found.last_a] == found.last_b)
             irregular = ~regular
@@ -265,7 +266,7 @@ def groups(docs: DataFrame, a: str, b: str) -> DataFrame:
 
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = aligner(a, b)
-        for batches, texts in portions(stream):
+        for batches, texts in portions(stream, _CHUNK_BYTES):
             ids = [i for batch in batches for i in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(own.align(texts).groups, pa.string())], names=["doc_id", "groups"])
 

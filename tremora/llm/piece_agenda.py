@@ -317,7 +317,7 @@ def pieces(path: str) -> Pieces:
 _PORTION = 1 << 22
 
 
-def portions(stream: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[pa.RecordBatch], list[str]]]:
+def portions(stream: Iterator[pa.RecordBatch], most: int = _PORTION) -> Iterator[tuple[list[pa.RecordBatch], list[str]]]:
     """Record batches, cut where their texts (last column, UTF-8) reach a few megabytes."""
     held, texts, size = [], [], 0
     for batch in stream:
@@ -325,7 +325,7 @@ def portions(stream: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[pa.RecordB
         for k, value in enumerate(batch.column(batch.num_columns - 1)):
             texts.append((value.as_py() or b"").decode("utf-8", "replace"))
             size += len(texts[-1])
-            if size >= _PORTION:
+            if size >= most:
                 held.append(batch.slice(start, k + 1 - start))
                 start = k + 1
                 yield held, texts
