@@ -277,41 +277,67 @@ def items():
     return out + [(50, None), (51, ""), (52, "the")]
 
 
+def plain_bm25(parsed):
+    """(item number, {term: share of the unit's own score}) of each unit, from the formula alone."""
+    units = [(k, it.words[a : a + 64]) for k, it in enumerate(parsed) for a in range(0, len(it.words), 64)]
+    units = [(k, u) for k, u in units if len(u) >= 5 or len(parsed[k].words) <= 64]
+    mean = sum(len(u) for _, u in units) / len(units)
+    out = []
+    for k, u in units:
+        weight = {}
+        for t in set(u):
+            df = sum(t in v for _, v in units)
+            tf = u.count(t)
+            weight[t] = np.log(1 + (len(units) - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(u) / mean))
+        out.append((k, {t: w / sum(weight.values()) for t, w in weight.items()}))
+    return out
+
+
 def test_leaks_against_all_scores(spark, docs, rows, none):
     bench = items()
     planted = [(500 + k, "Lead in words here. " + t.upper() + " and more w1 w2", "en", "s0", 9, 1, "", "", 1) for k, t in bench[:12]]
-    planted += [(600, " ".join(bench[3][1].split()[:-8]) + " other end", "en", "s0", 9, 1, "", "", 1)]
     all_rows = rows + planted
     table = spark.createDataFrame(bench, "item_id long, text string")
     parsed = [decontaminate.parse_item(i, None if t is None else t.encode()) for i, t in bench]
-    index = decontaminate.Index(parsed, 0.6)
-    wanted = []
+    units, wanted = plain_bm25(parsed), []
     for r in all_rows:
         w, best = decontaminate.normal_words((r[1] or "").encode()), {}
         for a in range(decontaminate.passages(len(w))):
-            terms = {index.term[t] for t in w[a * decontaminate.HALF : a * decontaminate.HALF + decontaminate.PASSAGE] if t in index.term}
-            scores = collections.Counter()
-            for t in terms:
-                for unit, x in index.postings[t]:
-                    scores[unit] += x
-            for unit, x in scores.items():
-                item = parsed[index.unit_item[unit]]
-                at, reach = a * decontaminate.HALF, len(item.words)
-                q, s, whole = decontaminate.overlaps(item, w[max(0, at - reach) : at + decontaminate.PASSAGE + reach])
-                if x >= 0.6 - 1e-6 and max(q, whole) >= 0.8:
+            held = set(w[a * 64 : a * 64 + 128])
+            for number, weights in units:
+                x = sum(v for t, v in weights.items() if t in held)
+                item = parsed[number]
+                if x < 0.6 - 1e-6:
+                    continue
+                at, reach = a * 64, len(item.words)
+                q, s, whole = decontaminate.overlaps(item, w[max(0, at - reach) : at + 128 + reach])
+                if whole >= 0.8 or (q >= 0.8 and s >= 0.5):
                     old = best.get(item.item_id, (0, 0, 0))
                     best[item.item_id] = tuple(map(max, old, (x, q, s)))
-        wanted += [(r[0], i, *(round(v, 6) for v in x)) for i, x in best.items()]
-    found = decontaminate.find_leaks(spark.createDataFrame(all_rows, COLUMNS), table)
-    same(found, wanted)
+        wanted += [(r[0], i, *(round(float(v), 4) for v in x)) for i, x in best.items()]
+
+    def found(**more):
+        got = decontaminate.find_leaks(spark.createDataFrame(all_rows, COLUMNS), table, **more)
+        return got.select("doc_id", "item_id", *[F.round(c, 4) for c in got.columns[2:]])
+
+    same(found(), wanted)
+    same(found(max_items=7), wanted)  # scores do not depend on the shards
     assert {r[0] for r in planted} <= {w[0] for w in wanted}
     bad = {w[0] for w in wanted}
-    clean = decontaminate.without_leaks(spark.createDataFrame(all_rows, COLUMNS), table)
-    assert sorted((r["doc_id"] for r in clean.collect()), key=str) == sorted((r[0] for r in all_rows if r[0] not in bad), key=str)
-    same(decontaminate.find_leaks(spark.createDataFrame(all_rows, COLUMNS), table, max_items=7).select("doc_id", "item_id"), [w[:2] for w in wanted])
+    for more in ({}, {"max_items": 7}):
+        clean = decontaminate.without_leaks(spark.createDataFrame(all_rows, COLUMNS), table, **more)
+        assert sorted((r["doc_id"] for r in clean.collect()), key=str) == sorted((r[0] for r in all_rows if r[0] not in bad), key=str)
     assert decontaminate.find_leaks(none, table).isEmpty() and decontaminate.find_leaks(docs, table.limit(0)).isEmpty()
 
 
+def test_a_question_without_its_answer_is_no_leak(spark):
+    question, answer = "which river runs through the old town of the far north. ", "the slow green river runs there under nine bridges."
+    table = spark.createDataFrame([(1, question + answer)], "item_id long, text string")
+    texts = [(1, "so " + question + "nobody knows"), (2, "so " + question + answer), (3, "so " + answer)]
+    found = decontaminate.find_leaks(spark.createDataFrame(texts, "doc_id long, text string"), table, threshold=0.4).collect()
+    assert [(r.doc_id, r.answer_overlap) for r in found] == [(2, 1.0)]
+
+
 def test_quotas_and_flow():
     sizes = [("b", 100), ("a", 300), (None, 150), ("c", 0)]
     # order a, b, c, null; weights 3, 1, 2, 3; 825 tokens: c stops at 0, then null at 300, and a and b share 525 as 3 to 1

@@ -3,7 +3,7 @@
 The index holds units of at most PASSAGE // 2 words (longer items are cut), so that every unit that occurs in a document lies
 whole in one of its passages (PASSAGE words, half overlapping). A unit's score is BM25 divided by the score of the unit
 against itself: 1 means that the passage has all its words. All units that reach the threshold are retrieved; those whose
-item then shares enough five-word shingles with the text around the passage are leaks.
+item then shares enough five-word shingles of question and answer with the text around the passage are leaks.
 
 The index is built from the benchmark in shards of a bounded number of items and travels with the tasks; the documents are read
 once per shard and never shuffled.
@@ -23,13 +23,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tremora.llm.common import identified, small_batches
+from tremora.llm.common import identified, small_batches, stored
 
 PASSAGE = 128
 HALF = PASSAGE // 2
 SHINGLE = 5
 K1, B = 1.2, 0.75
 BLOCK = 4
+ANSWERED = 0.5  # share of the answer's shingles that a leak of question and answer has
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 _DROPPED = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 _SENTENCE = re.compile(rb"(?<=[.!?])[\x20\x09-\x0D]+")
@@ -63,17 +64,35 @@ def parse_item(item_id: int, text: bytes | None) -> Item:
     return Item(item_id, words, shingles(asked), shingles(normal_words(sentences[-1])))
 
 
+def units_of(words: list[bytes]) -> list[list[bytes]]:
+    """Stretches of at most HALF words; a rest too short for a shingle counts only if it is all of the item."""
+    cut = [words[a : a + HALF] for a in range(0, len(words), HALF)]
+    return [u for u in cut if len(u) >= SHINGLE or len(words) <= HALF]
+
+
+@dataclass
+class Statistics:
+    """Of all units of the benchmark, whatever the shard: their number, mean length, and how many hold each term."""
+
+    n: int
+    mean: float
+    frequency: dict[bytes, int]
+
+    @classmethod
+    def of(cls, units: list[list[bytes]]) -> Statistics:
+        return cls(len(units), sum(map(len, units)) / max(1, len(units)), Counter(t for u in units for t in set(u)))
+
+
 class Index:
     """Postings by term in unit order, with the largest weight of each list and of each block of BLOCK units."""
 
-    def __init__(self, items: list[Item], threshold: float):
-        self.items, self.threshold = items, threshold
-        units = [(k, it.words[a : a + HALF]) for k, it in enumerate(items) for a in range(0, len(it.words), HALF)]
-        units = [(k, u) for k, u in units if len(u) >= SHINGLE or len(items[k].words) <= HALF]
+    def __init__(self, items: list[Item], threshold: float, statistics: Statistics | None = None):
+        self.items, self.threshold, self.shards = items, threshold, 1
+        units = [(k, u) for k, it in enumerate(items) for u in units_of(it.words)]
         self.unit_item = [k for k, _ in units]
-        n, mean = len(units), sum(len(u) for _, u in units) / max(1, len(units))
-        frequency = Counter(t for _, u in units for t in set(u))
-        self.term = {t: k for k, t in enumerate(sorted(frequency))}
+        stats = statistics or Statistics.of([u for _, u in units])
+        n, mean, frequency = stats.n, stats.mean, stats.frequency
+        self.term = {t: k for k, t in enumerate(sorted({t for _, u in units for t in u}))}
         self.postings: list[list[tuple[int, float]]] = [[] for _ in self.term]
         for j, (_, u) in enumerate(units):
             weight = {t: math.log(1 + (n - frequency[t] + 0.5) / (frequency[t] + 0.5)) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(u) / mean)) for t, tf in Counter(u).items()}
@@ -87,7 +106,7 @@ class Index:
             for j, w in p:
                 by[j // BLOCK] = max(by[j // BLOCK], w)
             self.blocks.append(dict(by))
-        self.n_blocks = n // BLOCK + 1
+        self.n_blocks = len(units) // BLOCK + 1
         lengths = np.array([len(b) for b in self.blocks], dtype=np.int64)
         self.from_ = np.concatenate(([0], np.cumsum(lengths)))
         self.block_no = np.array([b for x in self.blocks for b in x], dtype=np.int64)
@@ -178,6 +197,11 @@ def overlaps(item: Item, words: list[bytes]) -> tuple[float, float, float]:
     return share(item.question), share(item.answer), share(shingles(item.words))
 
 
+def verified(asked: float, answered: float, whole: float, overlap: float) -> bool:
+    """Question and answer are both there: most shingles of the question and half of the answer's, or most of the whole item."""
+    return whole >= overlap or (asked >= overlap and answered >= ANSWERED)
+
+
 def leaks(index: Index, texts: list[bytes | None], overlap: float) -> Iterator[tuple[int, int, float, float, float]]:
     """(text number, item id, best score, question overlap, answer overlap) of all leaks."""
     get, words, size = index.term.get, [normal_words(t) for t in texts], [0]
@@ -199,20 +223,45 @@ def leaks(index: Index, texts: list[bytes | None], overlap: float) -> Iterator[t
             item = index.unit_item[unit]
             reach = len(index.items[item].words)
             asked, answered, whole = overlaps(index.items[item], words[k][max(0, a - reach) : a + PASSAGE + reach])
-            if max(asked, whole) >= overlap and index.items[item].words:
+            if verified(asked, answered, whole, overlap) and index.items[item].words:
                 now = best.setdefault((k, item), [score, asked, answered])
                 best[k, item] = [max(x, y) for x, y in zip(now, (score, asked, answered))]
     for (k, item), (score, asked, answered) in best.items():
         yield k, index.items[item].item_id, score, asked, answered
 
 
+def _unit_terms(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(shard, term) of each unit and distinct term; a unit's length comes with a null term."""
+    for batch in stream:
+        rows = []
+        for shard, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for unit in units_of(normal_words(text)):
+                rows += [(shard, t, 0) for t in set(unit)] + [(shard, None, len(unit))]
+        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int32(), pa.binary(), pa.int64()))], names=["shard", "term", "length"])
+
+
 def indexes(benchmark: DataFrame, threshold: float, max_items: int) -> Iterator[Index]:
-    """One index per shard of about `max_items` items; a shard is what the driver and each task hold at a time."""
+    """One index per shard of about `max_items` items; a shard is what the driver and each task hold at a time.
+
+    Weights come from all items: counted here where there is one shard, by Spark where there are more, of which a shard gets its own terms.
+    """
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").cast("binary").alias("text")).distinct()
     shards = -(-items.count() // max_items)
+    dealt = items.withColumn("shard", F.pmod(F.xxhash64("item_id", "text"), F.lit(max(shards, 1))).cast("int"))
+    if shards > 1:
+        dealt = stored(dealt, "items")
+        terms = stored(dealt.select("shard", "text").mapInArrow(_unit_terms, "shard int, term binary, length long"), "terms")
+        n, mean = terms.filter("term IS NULL").agg(F.count(F.lit(1)), F.avg("length")).first()
+        counted = stored(terms.filter("term IS NOT NULL").groupBy("term").agg(F.count(F.lit(1)).alias("n"), F.collect_set("shard").alias("shards")), "frequencies")
     for k in range(shards):
-        rows = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(shards)) == k).orderBy("item_id", "text").collect()
-        yield Index([parse_item(r["item_id"], None if r["text"] is None else bytes(r["text"])) for r in rows], threshold)
+        rows = dealt.filter(F.col("shard") == k).orderBy("item_id", "text").collect()
+        parsed, stats = [parse_item(r["item_id"], None if r["text"] is None else bytes(r["text"])) for r in rows], None
+        if shards > 1:
+            held = counted.filter(F.array_contains("shards", k)).select("term", "n").collect()
+            stats = Statistics(n, mean or 0.0, {bytes(t): c for t, c in held})
+        index = Index(parsed, threshold, stats)
+        index.shards = shards
+        yield index
 
 
 _FOUND = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("score", pa.float64()), ("question_overlap", pa.float64()), ("answer_overlap", pa.float64())])
@@ -241,7 +290,9 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.6, ov
 
     out = docs.sparkSession.createDataFrame([], _FOUND_DDL)
     for index in indexes(benchmark, threshold, max_items):
-        out = out.unionByName(identified(docs).mapInArrow(scan(index), _FOUND_DDL))
+        found = identified(docs).mapInArrow(scan(index), _FOUND_DDL)
+        # of several shards, the results of one are written before the next index is made
+        out = out.unionByName(found if index.shards == 1 else stored(found, "leaks"))
     return out
 
 
@@ -262,4 +313,6 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.6,
 
     for index in indexes(benchmark, threshold, max_items):
         out = out.mapInArrow(clean(index), docs.schema)
+        if index.shards > 1:
+            out = small_batches(stored(out, "clean"))
     return out
