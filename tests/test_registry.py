@@ -17,7 +17,8 @@ needs_tables = pytest.mark.skipif(not os.path.isdir(SF), reason="driver tables a
 SAMPLE = (
     "norm_09_mw_digiacomo", "flt_09_remote_events", "join_01_close_pairs", "agg_01_canonical_events", "agg_06_completeness_fit", "agg_15_periodicity",
     "mod_16_feature_table", "agg_21_roc_auc", "agg_24_reliability", "mod_05_isotonic", "join_08_followers", "agg_31_log_likelihood", "agg_27_superposed_rates",
-    "src_04_split_files", "src_10_balanced_windows", "src_12_last_per_id",
+    "src_04_split_files", "src_10_balanced_windows", "src_12_last_per_id", "join_10_point_in_polygon", "join_13_hierarchy", "agg_27_hierarchy_rates",
+    "mod_15_calibrated_m6", "plan_catalog_build",
 )
 
 
@@ -26,7 +27,7 @@ def test_names_are_consistent():
     assert len(queries) > 150 and set(oracles) <= set(queries)
     own = [name for name in queries if name != "pipeline" and not name.startswith("op")]  # those come and go with their subpackage
     families = {name.rsplit("_", 1)[0].split("_")[0] for name in own}
-    assert families == {"src", "snk", "norm", "flt", "join", "agg", "win", "top", "set", "math", "str", "date", "arr", "json", "cond", "mod"}
+    assert families == {"src", "snk", "norm", "flt", "join", "agg", "win", "top", "set", "math", "str", "date", "arr", "json", "cond", "mod", "plan"}
 
 
 @needs_tables

@@ -243,7 +243,7 @@ def _(spark, sf):
     return forecasting.model_verdict(scores, list(forecasting.TREES))
 
 
-_CALIBRATED = f"""WITH {_CORE}, smooth AS (SELECT cell_id, t, y, cnt_365d, cnt_30d, {_SM} AS p FROM f), last AS (SELECT max(t) AS t FROM f), h AS (SELECT y, p FROM smooth WHERE t < (SELECT t FROM last)), {_isotonic_sql('h', 'y')},
+_CALIBRATED = f"""WITH {_CORE}, smooth AS (SELECT cell_id, t, y, cnt_365d, cnt_30d, round({_SM}, 12) AS p FROM f), last AS (SELECT max(t) AS t FROM f), h AS (SELECT y, p FROM smooth WHERE t < (SELECT t FROM last)), {_isotonic_sql('h', 'y')},
     now AS (SELECT * FROM smooth WHERE t = (SELECT t FROM last)), lower AS (SELECT now.*, k.p AS p0, k.v AS v0 FROM now ASOF LEFT JOIN knots k ON now.p >= k.p), both_ AS (SELECT lower.*, k.p AS p1, k.v AS v1 FROM lower ASOF LEFT JOIN knots k ON lower.p <= k.p)
     SELECT cell_id, cnt_30d, cnt_365d, round(CASE WHEN p0 IS NULL THEN v1 WHEN p1 IS NULL THEN v0 WHEN p0 = p1 THEN v0 ELSE v0 + (v1 - v0) * (p - p0) / (p1 - p0) END, 6) AS p_m5_30d FROM both_"""
 

@@ -302,7 +302,8 @@ def forecast_snapshot(features: DataFrame, b: float = 1.0, mc: float = 4.5) -> D
     """Calibrated M5 and M6 probabilities per cell at the last instant."""
     now, history = split_latest(features)
     wanted = {"p_m5_30d": "y_m5_30d", "p_m6_30d": "y_m6_30d"}
-    scores = [F.struct(F.lit(c).alias("column"), smoothed(RateSpec(m0=TARGETS[t][0], b=b, mc=mc)).alias("p"), F.col(t).alias("y")) for c, t in wanted.items()]
+    # equal rates that differ in the last bits, because their counts were added in another order, are one point
+    scores = [F.struct(F.lit(c).alias("column"), F.round(smoothed(RateSpec(m0=TARGETS[t][0], b=b, mc=mc)), 12).alias("p"), F.col(t).alias("y")) for c, t in wanted.items()]
     blocks = fit_isotonic(history.select(F.inline(F.array(*scores))), keys=["column"])
     calibrated = apply_isotonic(blocks, now.select("cell_id", F.inline(F.array(*scores))), keys=["column"])
     wide = calibrated.groupBy("cell_id").agg(*[F.max(F.when(F.col("column") == c, F.col("p_cal"))).alias(c) for c in wanted])
