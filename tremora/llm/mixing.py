@@ -181,15 +181,20 @@ def mixed(docs: DataFrame, seed: int = 11, share: float = 1.5, most: int = 2) ->
 
 
 def take(docs: DataFrame, seed: int = 11, share: float = 1.5, most: int = 2) -> DataFrame:
-    """The rows of `docs` in the mix, each as often as the mix takes it."""
-    plan = mixed(docs, seed, share, most).groupBy("doc_id", "digest", "source").agg(F.sum("times").alias("_uses"), F.count(F.lit(1)).alias("_equal")).filter("_uses > 0")
-    plan = plan.withColumnsRenamed({"doc_id": "_id", "digest": "_digest", "source": "_source"})
-    digest = F.sha2(F.coalesce(docs["text"].cast("string"), F.lit("")), 256)
-    same = docs["doc_id"].cast("long").eqNullSafe(plan["_id"]) & (digest == plan["_digest"]) & docs["source"].cast("string").eqNullSafe(plan["_source"])
-    joined = docs.join(plan, same).withColumn("_passes", F.floor(F.col("_uses") / F.col("_equal"))).withColumn("_rest", F.col("_uses") % F.col("_equal"))
+    """The rows of `docs` in the mix, each as often as the mix takes it.
+
+    Null and wordless texts are not taken; an empty table gives an empty one; other columns, whatever their names, ride along.
+    """
+    plan = mixed(docs, seed, share, most).groupBy("doc_id", "digest", "source").agg(F.sum("times").alias("uses"), F.count(F.lit(1)).alias("equal")).filter("uses > 0")
+    # the whole row is one column, so that no name of `docs` can clash
+    rows = docs.select(
+        F.struct("*").alias("all"), docs["doc_id"].cast("long").alias("own_id"), docs["source"].cast("string").alias("own_source"),
+        F.sha2(F.coalesce(docs["text"].cast("string"), F.lit("")), 256).alias("own_digest"),
+    )
+    same = F.col("own_id").eqNullSafe(F.col("doc_id")) & (F.col("own_digest") == F.col("digest")) & F.col("own_source").eqNullSafe(F.col("source"))
+    joined = rows.join(plan, same).withColumn("passes", F.floor(F.col("uses") / F.col("equal"))).withColumn("rest", F.col("uses") % F.col("equal"))
     # equal rows of which only some are taken, or taken once more
-    inside = Window.partitionBy("_id", "_digest", "_source").orderBy(F.xxhash64(*(F.col(f"`{c}`") for c in docs.columns)))
-    uneven = joined.filter("_rest > 0").withColumn("_times", F.col("_passes") + (F.row_number().over(inside) <= F.col("_rest")).cast("long"))
-    timed = joined.filter("_rest = 0").withColumn("_times", F.col("_passes")).unionByName(uneven).filter("_times > 0")
-    repeated = timed.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times").cast("int"))))
-    return repeated.select(*(F.col(f"`{c}`") for c in docs.columns))
+    inside = Window.partitionBy("doc_id", "digest", "source").orderBy(F.xxhash64("all"))
+    uneven = joined.filter("rest > 0").withColumn("times", F.col("passes") + (F.row_number().over(inside) <= F.col("rest")).cast("long"))
+    timed = joined.filter("rest = 0").withColumn("times", F.col("passes")).unionByName(uneven).filter("times > 0")
+    return timed.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("times").cast("int")))).select("all.*")
