@@ -173,6 +173,24 @@ def test_one_of_each_near_copy(spark, docs, none):
     assert near_copies.similarity(rows[0][1].encode(), rows[1][1].encode()) > 0.8
 
 
+def test_unlike_texts_under_one_id_stay(spark):
+    one, two = " ".join(f"a{k}" for k in range(80)), " ".join(f"b{k}" for k in range(80))
+    rows = [(1, one, 1), (1, two, 2), (1, two, 3), (2, two.replace("b40", "c"), 4), (3, one, 5), (1, None, 6), (1, "", 7)]
+    kept = near_copies.one_of_each(spark.createDataFrame(rows, "doc_id long, text string, digest long")).collect()
+    assert sorted((r["doc_id"], r["text"] or "") for r in kept) == [(1, ""), (1, one), (1, two)]
+
+
+def test_stages_keep_columns_of_any_name(spark):
+    names = ["_uses", "_rest", "_times", "_copy", "_kept", "_text", "_all", "all", "digest", "uses", "rest", "own_id", "fp", "row", "first"]
+    rows = [(k, f"some words of text number {k} " + " ".join(f"w{k}x{j}" for j in range(40)), "a", *(f"{n}{k}" for n in names)) for k in range(20)]
+    df = spark.createDataFrame(rows, ", ".join(["doc_id long", "text string", "source string", *(f"`{n}` string" for n in names)]))
+    for found in (mixing.take(df), near_copies.one_of_each(df)):
+        assert found.columns == df.columns
+        got = {tuple(r) for r in found.collect()}
+        assert got and got <= set(rows)
+    assert near_copies.one_of_each(df).count() == 20
+
+
 @pytest.mark.parametrize("tile", [256, 9])
 def test_near_copies_of_a_text_in_the_middle(spark, monkeypatch, tile):
     monkeypatch.setattr(near_copies, "_TILE", tile)

@@ -46,8 +46,13 @@ def band_keys(hashes: np.ndarray) -> list[int]:
     return key.view(np.int64).tolist()
 
 
+def _digest(docs: DataFrame) -> Column:
+    """Ids may repeat, so a row is known by its id and the digest of its text; a null text counts as an empty one."""
+    return F.sha2(F.coalesce(docs["text"].cast("string"), F.lit("")), 256)
+
+
 def _prints(docs: DataFrame) -> DataFrame:
-    schema = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64()), ("bands", pa.list_(pa.int64())), ("shingles", pa.int64()), ("bytes", pa.int64())])
+    schema = pa.schema([("doc_id", pa.int64()), ("digest", pa.string()), ("fp", pa.int64()), ("bands", pa.list_(pa.int64())), ("shingles", pa.int64()), ("bytes", pa.int64())])
 
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in stream:
@@ -60,10 +65,10 @@ def _prints(docs: DataFrame) -> DataFrame:
                 bands.append(band_keys(hashes))
                 shingles.append(len(np.unique(hashes)))
                 sizes.append(len(text))
-            columns = (pa.array(c, f.type) for c, f in zip((fps, bands, shingles, sizes), list(schema)[1:]))
-            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], schema=schema)
+            columns = (pa.array(c, f.type) for c, f in zip((fps, bands, shingles, sizes), list(schema)[2:]))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *columns], schema=schema)
 
-    return identified(docs).mapInArrow(run, "doc_id long, fp long, bands array<bigint>, shingles long, bytes long")
+    return identified(docs, _digest(docs).alias("digest")).mapInArrow(run, "doc_id long, digest string, fp long, bands array<bigint>, shingles long, bytes long")
 
 
 def similarity(a: bytes | None, b: bytes | None) -> float:
@@ -127,7 +132,7 @@ def _members(firsts: DataFrame) -> DataFrame:
 def end_pairs(firsts: DataFrame) -> DataFrame:
     """(a, b): each member of a band's bucket with the bucket's first and last one."""
     members = _members(firsts)
-    ends = members.groupBy("band", "key").agg(F.min_by("fp", "first").alias("lo"), F.max_by("fp", "first").alias("hi")).filter("lo <> hi")
+    ends = members.groupBy("band", "key").agg(F.min_by("fp", F.struct("first", "fp")).alias("lo"), F.max_by("fp", F.struct("first", "fp")).alias("hi")).filter("lo <> hi")
     pairs = members.join(ends, ["band", "key"]).select(F.explode(F.array("lo", "hi")).alias("a"), F.col("fp").alias("b")).filter("a <> b")
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
@@ -181,24 +186,29 @@ def tiles(firsts: DataFrame, roots: DataFrame) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The rows of `docs` with the smallest id of each group; of rows with that id one stays.
+    """One row of `docs` from each group: the one with the smallest id, of rows with that id the one with the smallest digest.
 
-    Wordless and null texts form one group. Rows without an id can't be told apart later and stay as they are.
+    Unlike texts under one id are in groups of their own; of equal texts under one id one row stays. Wordless and null texts form one group.
+    Rows without an id can't be told apart later and stay as they are. Texts of any length are hashed in blocks and compared in tiles
+    of bounded size; an empty table gives an empty one; other columns, whatever their names, ride along.
     """
     prints = stored(_prints(docs), "near-prints")
-    of_first = [F.min_by(c, "doc_id").alias(c) for c in ("bands", "shingles", "bytes")]
-    firsts = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("first"), *of_first), "near-classes")
+    row = F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "digest"))
+    of_first = [F.min_by(c, row).alias(c) for c in ("bands", "shingles", "bytes")]
+    firsts = stored(prints.groupBy("fp").agg(F.min(row).alias("_row"), *of_first).select("fp", F.col("_row.doc_id").alias("first"), F.col("_row.digest").alias("digest"), "bands", "shingles", "bytes"), "near-classes")
     pairs = stored(end_pairs(firsts), "near-pairs")
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct().join(firsts, "fp").select("fp", F.col("first").alias("doc_id"))
-    texts = stored(identified(docs).join(ids, "doc_id").groupBy("fp").agg(F.min("text").alias("text")), "near-texts")
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct().join(firsts, "fp").select("fp", F.col("first").alias("doc_id"), "digest")
+    texts = stored(identified(docs, _digest(docs).alias("digest")).join(ids, ["doc_id", "digest"]).groupBy("fp").agg(F.min("text").alias("text")), "near-texts")
     edges = stored(simhash.links(firsts.select("fp")).unionByName(verified(pairs, texts)), "near-links")
     joined = connected_components(edges, "a", "b").withColumnsRenamed({"node": "fp", "component": "root"})
-    roots = stored(firsts.select("fp", "first").join(joined, "fp", "left").withColumn("root", F.coalesce("root", "fp")), "near-roots")
+    roots = stored(firsts.select("fp", "first", "digest").join(joined, "fp", "left").withColumn("root", F.coalesce("root", "fp")), "near-roots")
     met = tiles(firsts, roots.select("fp", "root")).join(texts, "fp")
     more = stored(met.groupBy("band", "key", "level", "t", "u").applyInArrow(_tile, "a long, b long"), "near-more")
-    least = roots.groupBy("root").agg(F.min("first").alias("first"))
+    least = roots.filter("first IS NOT NULL").groupBy("root").agg(F.min(F.struct("first", "digest")).alias("row"))
     last = connected_components(more, "a", "b").withColumnsRenamed({"node": "root", "component": "_last"})
-    groups = least.join(last, "root", "left").groupBy(F.coalesce("_last", "root").alias("_last")).agg(F.min("first").alias("_kept"))
-    kept = groups.select("_kept").filter("_kept IS NOT NULL").distinct()
-    chosen = docs.join(kept, docs["doc_id"].cast("long") == kept["_kept"], "left_semi").dropDuplicates(["doc_id"])
-    return chosen.unionByName(docs.filter("doc_id IS NULL"))
+    groups = least.join(last, "root", "left").groupBy(F.coalesce("_last", "root").alias("_last")).agg(F.min("row").alias("row"))
+    kept = groups.select(F.col("row.first").alias("_kept"), F.col("row.digest").alias("_text"))
+    # the whole row is one column, so that no name of `docs` can clash
+    rows = docs.select(F.struct("*").alias("_all"), docs["doc_id"].cast("long").alias("_kept"), _digest(docs).alias("_text"))
+    chosen = rows.join(kept, ["_kept", "_text"], "left_semi").dropDuplicates(["_kept", "_text"]).select("_all.*")
+    return chosen.unionByName(docs.filter(docs["doc_id"].cast("long").isNull()))
