@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tremora.functions.geo import haversine_km
 from tremora.operators.canonical import canonical_events, preferred_members
 from tremora.operators.components import connected_components
-from tremora.operators.linkage import LinkRule, associate, close_pairs
+from tremora.operators.linkage import LinkRule, associate, close_pairs, pair_sides
 
 T0 = 1_500_000_000_000_000
 SCHEMA = "source string, source_event_id string, t_us long, latitude double, longitude double, depth_km double, magnitude double, magnitude_type string, mw double, mw_method string, country string"
@@ -134,6 +134,22 @@ def test_crowded_cells_are_subdivided_exactly(spark):
         assert groups(associate(frame(spark, rows), direct_pairs=direct)) == expected
 
 
+@pytest.mark.parametrize("small", [0, 200_000])
+def test_crowded_buckets_are_cut_into_sections(spark, monkeypatch, small):
+    """Over a third of all rows lie in one bucket, others around it; no section pair gets more than its share."""
+    monkeypatch.setattr("tremora.operators.linkage._SMALL", small)
+    rng = random.Random(8)
+    rows = random_rows(4, 250, 3.0, 900)
+    rows += [row("s", f"h{k:04d}", T0 + rng.randrange(30_000_000), -12 + rng.uniform(-0.3, 0.3), -77 + rng.uniform(-0.3, 0.3)) for k in range(350)]
+    pairs, _ = brute(rows, LinkRule())
+    df = frame(spark, rows)
+    got = close_pairs(df, crowd=40).select("a_source_event_id", "b_source_event_id").collect()
+    assert {frozenset(r) for r in got} == pairs and len(got) == len(pairs)
+    whole = [side.groupBy(*keys).count().agg(F.max("count")).first()[0] for *sides, keys in [pair_sides(df, LinkRule(), 10**6)] for side in sides]
+    cut = [side.groupBy(*keys).count().agg(F.max("count")).first()[0] for *sides, keys in [pair_sides(df, LinkRule(), 40)] for side in sides]
+    assert min(whole) > 150 and max(cut) < 80
+
+
 def test_components_of_path_star_and_isolated(spark):
     edges = [(k, k + 1) for k in range(0, 300)] + [(1000, 1001 + k) for k in range(50)]
     found = connected_components(spark.createDataFrame(edges, "a long, b long"), "a", "b").toPandas()

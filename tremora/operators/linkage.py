@@ -5,7 +5,7 @@ distance is at most `distance_km` (optionally also depth and Mw within a toleran
 known). Groups are the connected components of that relation.
 
 `close_pairs` lists the pairs themselves: a bucketed equi-join, the earlier side copied to the buckets
-its window reaches. `associate` only needs the groups, so it does not list pairs: observations first
+its window reaches, crowded buckets cut into sections on both sides. `associate` only needs the groups, so it does not list pairs: observations first
 collapse into space-time cells so small that all members are linked by construction; cells are then
 compared through their bounding boxes, and only cells whose boxes leave the answer open are opened.
 """
@@ -29,6 +29,7 @@ _SPACE = ("x", "y", "z")
 _SLACK_KM = 1e-6  # boxes closer to the limit than this are decided by the exact distance
 _DIRECT_PAIRS = 100_000  # point comparisons allowed for one pair of cells before it is subdivided
 _MAX_DEPTH = 24
+_SMALL = 200_000  # rows of five numbers that may be broadcast
 
 
 @dataclass(frozen=True)
@@ -68,8 +69,20 @@ def _reach(low: Column, high: Column, margin: float, cell: float, cells_per_buck
     return F.sequence(bucket(low - F.lit(margin)), bucket(high + F.lit(margin)))
 
 
-def close_pairs(obs: DataFrame, rule: LinkRule = LinkRule(), order: tuple[str, ...] = ("source", "source_event_id")) -> DataFrame:
-    """Linked pairs as a_* and b_* columns, a before b in (t_us, *order)."""
+def _dealt(rows: DataFrame, parts: DataFrame, small: bool, keys: list[str], columns: list[str], own: str, other: str) -> DataFrame:
+    """`rows` with the sections (s_a, s_b) in which each one is compared: its own section with every one of the other side."""
+    parts = F.broadcast(parts) if small else parts
+    count = lambda side: F.coalesce(F.col(f"n_{side}"), F.lit(1))
+    section = F.pmod(F.xxhash64(*columns), count(own)).alias(f"s_{own}")
+    return rows.join(parts, keys, "left").select(*rows.columns, section, F.explode(F.sequence(F.lit(0).cast("long"), count(other) - 1)).alias(f"s_{other}"))
+
+
+def pair_sides(obs: DataFrame, rule: LinkRule, crowd: int) -> tuple[DataFrame, DataFrame, list[str]]:
+    """(earlier side with a_ columns, later side with b_ columns, keys): rows that may be linked have the same keys in exactly one place.
+
+    A bucket that more than `crowd` rows lie in is cut into sections of about `crowd` rows on both sides, and each section of one
+    meets each of the other under keys of its own. Rows equal in every column stay in one section.
+    """
     span, side = max(1, 8 * rule.dt_us), 4 * rule.chord + 1e-9
     x, y, z = cartesian_km(F.col("latitude"), F.col("longitude"))
     placed = obs.withColumn("x", x).withColumn("y", y).withColumn("z", z)
@@ -84,10 +97,31 @@ def close_pairs(obs: DataFrame, rule: LinkRule = LinkRule(), order: tuple[str, .
     )
     for c in _SPACE:
         early = early.withColumn(f"k{c}", F.explode(_reach(F.col(c), F.col(c), rule.chord + _SLACK_KM, side, 1)))
+    early = early.drop(*_SPACE)
+    keys = ["kt", *(f"k{c}" for c in _SPACE)]
+    crowded = materialize(late.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > crowd))
+    held = crowded.count()
+    if not held:
+        return early, late, keys
+    # rows of a crowded bucket are also the earlier side of the buckets after and around it
+    spread = crowded.select(*keys, F.col("n").alias("own"), "n").withColumn("_t", F.explode(F.sequence(F.col("kt"), F.col("kt") + 1)))
+    for c in _SPACE:
+        spread = spread.withColumn(f"_{c}", F.explode(F.sequence(F.col(f"k{c}") - 1, F.col(f"k{c}") + 1)))
+    itself = (F.col("_t") == F.col("kt")) & (F.col("_x") == F.col("kx")) & (F.col("_y") == F.col("ky")) & (F.col("_z") == F.col("kz"))
+    spread = spread.select(*[F.col(f"_{k[1:]}").alias(k) for k in keys], "n", F.when(itself, F.col("n")).otherwise(0).alias("own"))
+    sections = lambda n: F.greatest(F.ceil(n / F.lit(crowd)), F.lit(1)).cast("long")
+    parts = spread.groupBy(*keys).agg(sections(F.sum("n")).alias("n_a"), sections(F.sum("own")).alias("n_b"))
+    small = held * 54 <= _SMALL  # each crowded bucket reaches at most 54
+    early = _dealt(early, parts, small, keys, [f"a_{c}" for c in obs.columns], "a", "b")
+    late = _dealt(late, parts, small, keys, [f"b_{c}" for c in obs.columns], "b", "a")
+    return early, late, [*keys, "s_a", "s_b"]
+
+
+def close_pairs(obs: DataFrame, rule: LinkRule = LinkRule(), order: tuple[str, ...] = ("source", "source_event_id"), crowd: int = 4096) -> DataFrame:
+    """Linked pairs as a_* and b_* columns, a before b in (t_us, *order). Buckets of over `crowd` rows are compared in sections."""
+    early, late, keys = pair_sides(obs, rule, crowd)
     rank = lambda s: F.struct(*[F.col(f"{s}_{c}") for c in ("t_us", *order)])
-    buckets = ["kt", "kx", "ky", "kz"]
-    joined = early.drop(*_SPACE).join(late, buckets)
-    return joined.filter((rank("a") < rank("b")) & _exactly_close(rule, "a_", "b_")).drop(*buckets)
+    return early.join(late, keys).filter((rank("a") < rank("b")) & _exactly_close(rule, "a_", "b_")).drop(*keys)
 
 
 # --- association without listing pairs -------------------------------------------------------------
