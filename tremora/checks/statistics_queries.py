@@ -154,10 +154,10 @@ def _(spark, sf):
     return rounded(context.chi_square(context.monthly_counts(_felt(spark, sf))))
 
 
-@query("agg_14_chi_square_p")
+# the power series of the lower tail at 11 / 2
+@query("agg_14_chi_square_p", f"WITH {_MONTHLY}, e AS (SELECT n, (SELECT sum(n) FROM monthly) * ({_DAYS})[month]::DOUBLE / 365.25 AS expected FROM monthly), c AS (SELECT sum(pow(n - expected, 2) / expected) AS chi2 FROM e) SELECT round(chi2, 6) AS chi2, 11::BIGINT AS df, round(greatest(1 - sum(exp((5.5 + k) * ln(chi2 / 2) - chi2 / 2 - lgamma(6.5 + k))), 0), 6) + 0 AS p FROM c, range(0, 20000) r(k) GROUP BY chi2")
 def _(spark, sf):
-    monthly = context.monthly_counts(_felt(spark, sf))
-    return context.chi_square(monthly).withColumn("p", F.lit(context.chi_square_p(monthly)))
+    return rounded(context.chi_square_p(context.monthly_counts(_felt(spark, sf))))
 
 
 _ANGLES = "SELECT count(*) AS n, sum(cos(2 * pi() * dayofyear(make_timestamp(t_us)) / 365.25)) AS c, sum(sin(2 * pi() * dayofyear(make_timestamp(t_us)) / 365.25)) AS s FROM cat WHERE country = 'Peru' AND preferred_mw >= {m}"

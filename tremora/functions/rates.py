@@ -88,3 +88,22 @@ def branching_ratio(k: Column, alpha: Column, c: Column, p: Column, b: float) ->
     finite = (p > 1) & (alpha < beta)
     sizes = beta / F.when(finite, beta - alpha)
     return k * sizes * F.pow(c, F.lit(1.0) - p) / F.when(finite, p - 1)
+
+
+def gamma_tail(shape: float, x: Column) -> Column:
+    """Upper tail of the gamma law of `shape` > 0 beyond x (1 for x <= 0, NULL for NULL): the regularised incomplete gamma function.
+
+    Up to shape + 1 by the power series of the lower tail, beyond by the continued fraction of the upper one. Both are evaluated from
+    the far end inwards, so that a fixed number of terms, which grows with the root of the shape, leaves out less than a double resolves.
+    """
+    terms = 60 + math.ceil(12 * math.sqrt(shape))
+    x, steps = x.cast("double"), F.sequence(F.lit(terms), F.lit(1), F.lit(-1))
+    density = F.exp(F.lit(shape) * F.ln(x) - x - F.lit(math.lgamma(shape)))
+    series = F.aggregate(steps, F.lit(1.0), lambda inner, k: F.lit(1.0) + inner * x / (k + F.lit(shape)))
+    fraction = F.aggregate(steps, x + F.lit(2 * terms + 1 - shape), lambda inner, k: x + (2 * k - 1) - F.lit(shape) - k * (k - F.lit(shape)) / inner)
+    return F.when(x <= 0, F.lit(1.0)).when(x < shape + 1, F.lit(1.0) - density * series / F.lit(shape)).otherwise(density / fraction)
+
+
+def chi_square_tail(statistic: Column, df: int) -> Column:
+    """P-value of a chi-square statistic with `df` degrees of freedom."""
+    return gamma_tail(df / 2, statistic / F.lit(2.0))

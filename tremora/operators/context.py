@@ -4,12 +4,11 @@ from __future__ import annotations
 
 import math
 
-from pyspark.mllib.linalg import Vectors
-from pyspark.mllib.stat import Statistics
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tremora.fixed import MONTH_LENGTHS, MONTH_NAMES, NEIGHBOUR_ORDER, YEAR_DAYS
+from tremora.functions.rates import chi_square_tail
 from tremora.operators.ranking import with_previous
 
 
@@ -72,13 +71,9 @@ def chi_square(monthly: DataFrame) -> DataFrame:
     return monthly.agg(stat.alias("chi2")).select("chi2", F.lit(len(MONTH_LENGTHS) - 1).cast("long").alias("df"))
 
 
-def chi_square_p(monthly: DataFrame) -> float | None:
-    """Upper-tail p-value; the twelve counts are all that reaches the driver."""
-    counts = [float(r["n"]) for r in monthly.orderBy("month").select("n").collect()]
-    if sum(counts) == 0:
-        return None
-    expected = [sum(counts) * d / sum(MONTH_LENGTHS) for d in MONTH_LENGTHS]
-    return float(Statistics.chiSqTest(Vectors.dense(counts), Vectors.dense(expected)).pValue)
+def chi_square_p(monthly: DataFrame) -> DataFrame:
+    """One row (chi2, df, p): the statistic with its upper-tail p-value, NULL without events."""
+    return chi_square(monthly).withColumn("p", chi_square_tail(F.col("chi2"), len(MONTH_LENGTHS) - 1))
 
 
 def periodicity(events: DataFrame, min_events: int = 0) -> DataFrame:

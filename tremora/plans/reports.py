@@ -56,7 +56,7 @@ def context_document(events: DataFrame, recent_us: int, since_us: int = 946_684_
     document = counts.select(
         F.struct(
             "counts_m5", "top_month", "n_m5", context.chi_square(monthly).select(F.round("chi2", 2)).scalar().alias("chi2"),
-            F.lit(context.chi_square_p(monthly)).alias("p_chi2"), context.periodicity(m5).select("p").scalar().alias("schuster_p_m5"),
+            context.chi_square_p(monthly).select("p").scalar().alias("p_chi2"), context.periodicity(m5).select("p").scalar().alias("schuster_p_m5"),
             p6.alias("schuster_p_m6"), F.coalesce(p6 < 0.05, F.lit(False)).alias("significant"),
             _list_of(big, "order", "big").scalar().getField("month").alias("big_months"),
         ).alias("seasonality"),
