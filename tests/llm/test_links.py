@@ -1,5 +1,6 @@
 """URL filter and quotation linking."""
 
+import random
 from urllib.parse import urlsplit
 
 from tremora.llm import quotations, url_filter
@@ -69,13 +70,87 @@ def test_quotations(spark):
     by = {(r["conv_id"], r["turn"]): r for r in found}
     parent = {k: (r["parent_conv"], r["parent_turn"]) for k, r in by.items()}
     assert parent[1, 2] == (1, 1) and parent[4, 0] == (1, 2) and parent[7, 1] == (7, 0)
-    assert parent[5, 0] == (None, None) and parent[6, 0] == (None, None) and parent[0, 3] == (None, None)
-    assert by[4, 0]["thread_id"] == 1 and by[4, 0]["position"] == 4 and by[7, 0]["thread_id"] == 7
+    assert parent[5, 0] == (None, None) and parent[6, 0] == (None, None)
+    # said only in a larger conversation, which quotes no other one and so is told first
+    assert parent[0, 3] == (1, 1) and by[0, 3]["thread_id"] == by[1, 0]["thread_id"] == 0
+    assert by[4, 0]["thread_id"] == 0 and by[1, 0]["position"] == 1 and by[0, 3]["position"] == 4 and by[4, 0]["position"] == 5 and by[7, 0]["thread_id"] == 7
     assert by[1, 2]["text"] == "Are you sure about that?" and by[1, 2]["deepest"] == 2 and by[1, 2]["n_quotes"] == 2
-    assert by[8, 1]["deepest"] == 3000 and by[8, 1]["text"] == ""
+    # quotes without a known origin stay
+    assert by[5, 0]["text"] == "> never said by anyone here\nText." and by[6, 0]["text"] == "> Text only"
+    assert by[8, 1]["deepest"] == 3000 and by[8, 1]["text"] == ("> " * 3000 + "deep quotes go far")
     assert sorted(r["position"] for r in found if r["conv_id"] == 8) == [1, 2, 3]
     where = {(r["conv_id"], r["turn"]): (r["thread_id"], r["position"]) for r in found}
     for k, p in parent.items():
         if p[1] is not None:
             assert where[p][0] == where[k][0] and where[p][1] < where[k][1]
     assert quotations.linked(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).isEmpty()
+
+
+def test_quotes_of_parts_and_of_other_conversations(spark):
+    rows = [
+        (5, 0, "user", "> the harbour closes at nine in winter\nIs that so?"), (9, 0, "user", "We checked. The harbour closes at nine in winter. Nobody minds."),
+        (2, 0, "user", "One two three four five six\nseven eight nine ten\neleven twelve thirteen"), (2, 1, "assistant", "On Monday Ann wrote:\n> four five six seven\n> eight nine ten eleven\nGood."),
+        (3, 0, "user", "Not yet."), (3, 1, "assistant", "> not yet\nWhen then?"), (4, 0, "user", "Not yet."), (6, 0, "user", "> not yet\nElsewhere."),
+        (7, 0, "user", "Rain is likely on Sunday."), (7, 1, "user", "Ann wrote\n> rain is likely on sunday\n> but I made this up\nHm."), (7, 2, "user", "On Monday Ann wrote:\n> no one ever said this line\nOdd."),
+    ]
+    by = {(r["conv_id"], r["turn"]): r for r in quotations.linked(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    parent = {k: (r["parent_conv"], r["parent_turn"]) for k, r in by.items()}
+    assert parent[5, 0] == (9, 0) and by[5, 0]["text"] == "Is that so?" and by[9, 0]["position"] < by[5, 0]["position"]
+    assert parent[2, 1] == (2, 0) and by[2, 1]["text"] == "Good."
+    assert parent[3, 1] == (3, 0) and by[3, 1]["text"] == "When then?" and parent[6, 0] == (None, None) and by[6, 0]["text"] == "> not yet\nElsewhere."
+    assert parent[7, 1] == (7, 0) and by[7, 1]["text"] == "Ann wrote\n> but I made this up\nHm."
+    assert by[7, 2]["text"] == "On Monday Ann wrote:\n> no one ever said this line\nOdd."
+
+
+def test_quotations_against_brute_force(spark):
+    """Whole messages, lines, and runs of words cut and wrapped anywhere, quoted within and across conversations in both directions."""
+    rng = random.Random(3)
+    vocabulary = [f"w{k}" for k in range(25)]
+    said = {(c, t): [[rng.choice(vocabulary) for _ in range(rng.randint(1, 9))] for _ in range(rng.randint(1, 4))] for c in range(60) for t in range(rng.randint(1, 5))}
+    rows = []
+    for (c, t), lines in said.items():
+        text = "\n".join(" ".join(x) for x in lines)
+        for _ in range(rng.choice([0, 0, 0, 1, 2])):
+            words = [w for x in said[rng.choice([k for k in said if k[0] == c] if rng.random() < 0.6 else list(said))] for w in x]
+            start = rng.randrange(len(words))
+            part = words[start : start + rng.randint(1, 12)] + (["unsaid"] if rng.random() < 0.2 else [])
+            wrap, marks = rng.randint(1, 6), "> " * rng.randint(1, 3)
+            block = "\n".join(marks + " ".join(part[k : k + wrap]).upper() + "." * (k % 2) for k in range(0, len(part), wrap))
+            text = rng.choice([f"{block}\n{text}", f"{text}\n{block}"])
+        rows.append((c, t, rng.choice(["user", "assistant"]), text))
+    own = {(c, t): quotations.words_of(quotations.split_quotes(text)[0]) for c, t, _, text in rows}
+    holds = lambda k, p: any(own[k][i : i + len(p)] == p for i in range(len(own[k]) - len(p) + 1))
+    quoted = {}  # (block, line, level, words)
+    for c, t, _, text in rows:
+        lines, levels = quotations.read_lines(text)
+        for b, level in enumerate(levels):
+            parts = [(at, quotations.words_of(rest)) for at, (block, _, rest) in enumerate(lines) if block == b and rest is not None]
+            whole = [(-1, [w for _, words in parts for w in words])]
+            quoted.setdefault((c, t), []).extend((b, at, level, words) for at, words in whole + (parts if len(parts) > 1 else []) if words)
+    where = {tuple(p): sorted(k for k in own if holds(k, p)) for q in quoted.values() for *_, p in q}
+    here = lambda k, p: next((x for x in where[tuple(p)] if x[0] == k[0] and x[1] < k[1]), None)
+    crossing = {k[0] for k, q in quoted.items() for *_, p in q if len(p) >= 3 and not here(k, p) and any(x[0] != k[0] for x in where[tuple(p)])}
+    want = {}
+    for k, q in quoted.items():
+        best, blocks, numbers = None, set(), set()
+        for b, at, level, p in q:
+            below = [x for x in where[tuple(p)] if x[0] < k[0]]
+            roots = [x for x in where[tuple(p)] if x[0] > k[0] and x[0] not in crossing]
+            origin = here(k, p) or (len(p) >= 3 and next(iter(below or roots), None)) or None
+            if origin:
+                best = min(best or (level, -len(p), origin), (level, -len(p), origin))
+                (blocks if at < 0 else numbers).add(b if at < 0 else at)
+        want[k] = (best[2] if best else (None, None), blocks, numbers)
+    frame = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    found = quotations.linked(frame.repartition(3)).collect()
+    place = {(r["conv_id"], r["turn"]): (r["thread_id"], r["position"]) for r in found}
+    texts = {(c, t): text for c, t, _, text in rows}
+    linked = 0
+    for r in found:
+        k = (r["conv_id"], r["turn"])
+        origin, blocks, numbers = want.get(k, ((None, None), set(), set()))
+        assert (r["parent_conv"], r["parent_turn"]) == origin and r["text"] == quotations.without(texts[k], blocks, numbers)
+        if origin[0] is not None:
+            linked += 1
+            assert place[origin][0] == place[k][0] and place[origin][1] < place[k][1]
+    assert linked > 20 and len({p for p in place.values()}) == len(rows)
