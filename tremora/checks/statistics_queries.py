@@ -9,6 +9,9 @@ from tremora.checks.registry import query, rounded
 from tremora.fixed import MACRO_BOXES
 from tremora.operators import context, frequency, normalize, regions
 from tremora.plans.driver_tables import catalog
+from tremora.plans.reports import context_document
+from tremora.session import scratch_path
+from tremora.sinks import tables as sinks
 
 _Y2008 = 1_199_145_600_000_000
 
@@ -170,6 +173,35 @@ def _(spark, sf):
     return rounded(m5.unionByName(m6))
 
 
+_NEIGHBOUR = "country STRING, n_m5 BIGINT, n_m6 BIGINT, n_m7 BIGINT, recent_m5 BIGINT, max_mw DOUBLE, max_date STRING"
+_CONTEXT = f"""seasonality STRUCT<months: ARRAY<STRING>, counts_m5: ARRAY<BIGINT>, n_m5: BIGINT, n_m6: BIGINT, top_month: STRING, chi2: DOUBLE, p_chi2: DOUBLE, schuster_p_m5: DOUBLE, schuster_p_m6: DOUBLE, significant: BOOLEAN, big_months: ARRAY<STRING>>,
+    neighbours STRUCT<since_year: BIGINT, recent_year: BIGINT, by_country: ARRAY<STRUCT<{_NEIGHBOUR.replace(" STRING", ": STRING").replace(" BIGINT", ": BIGINT").replace(" DOUBLE", ": DOUBLE")}>>>"""
+
+
+@query("snk_07_context_fields", f"""WITH {S.cat(True)}, {S.months()},
+    felt AS (SELECT *, month(make_timestamp(t_us)) AS mon, 2 * pi() * dayofyear(make_timestamp(t_us)) / 365.25 AS angle FROM cat WHERE country = 'Peru' AND t_us >= 946684800000000 AND preferred_mw >= 5.0),
+    monthly AS (SELECT m.month, count(f.canonical_id) AS n FROM months m LEFT JOIN felt f ON f.mon = m.month GROUP BY 1),
+    expected AS (SELECT month, n, (SELECT sum(n) FROM monthly) * ({_DAYS})[month]::DOUBLE / 365.25 AS x FROM monthly),
+    year AS (SELECT string_agg(n::VARCHAR, ',' ORDER BY month) AS counts_m5, sum(n)::BIGINT AS felt_m5, ({_NAMES})[arg_max(month, (n, -month))] AS top_month, sum(pow(n - x, 2) / x) AS chi2 FROM expected),
+    tail AS (SELECT greatest(1 - sum(exp((5.5 + k) * ln(chi2 / 2) - chi2 / 2 - lgamma(6.5 + k))), 0) AS p_chi2 FROM year, range(0, 20000) r(k)),
+    s5 AS (SELECT exp(-(pow(sum(cos(angle)), 2) + pow(sum(sin(angle)), 2)) / count(*)) AS p5 FROM felt),
+    s6 AS (SELECT count(*) AS felt_m6, CASE WHEN count(*) > 5 THEN exp(-(pow(sum(cos(angle)), 2) + pow(sum(sin(angle)), 2)) / count(*)) END AS p6 FROM felt WHERE preferred_mw >= 6),
+    big AS (SELECT coalesce(string_agg(strftime(make_timestamp(t_us), '%b'), ',' ORDER BY preferred_mw DESC, t_us), '') AS big_months FROM (SELECT * FROM felt WHERE preferred_mw >= 7 ORDER BY preferred_mw DESC, t_us, canonical_id LIMIT 8)),
+    near AS (SELECT country, count(*) FILTER (preferred_mw >= 5) AS n_m5, count(*) FILTER (preferred_mw >= 6) AS n_m6, count(*) FILTER (preferred_mw >= 7) AS n_m7,
+        count(*) FILTER (preferred_mw >= 5 AND t_us >= {_Y2008}) AS recent_m5, round(max(preferred_mw), 1) AS max_mw, strftime(make_timestamp(-arg_max(-t_us, (preferred_mw, -t_us))), '%Y-%m-%d') AS max_date FROM cat WHERE country <> 'Other' GROUP BY 1)
+    SELECT near.*, (SELECT year(make_timestamp(min(t_us)))::BIGINT FROM cat) AS since_year, 2008::BIGINT AS recent_year, array_to_string({_NAMES}, ',') AS months, counts_m5, felt_m5, felt_m6, top_month, round(chi2, 2) AS chi2, round(p_chi2, 3) AS p_chi2, round(p5, 3) AS p5, round(p6, 3) AS p6, coalesce(p6 < 0.05, false) AS significant, big_months
+    FROM near, year, tail, s5, s6, big""")
+def _(spark, sf):
+    """Every field of the context document, read back from its JSON."""
+    path = scratch_path(spark, "context")
+    sinks.write_document(context_document(catalog(spark, sf, True), _Y2008), path)
+    read = spark.read.schema(_CONTEXT).json(path)
+    season = [F.array_join(f"seasonality.{c}", ",").alias(c) for c in ("months", "counts_m5", "big_months")]
+    named = {"n_m5": "felt_m5", "n_m6": "felt_m6", "top_month": "top_month", "chi2": "chi2", "p_chi2": "p_chi2", "schuster_p_m5": "p5", "schuster_p_m6": "p6", "significant": "significant"}
+    fields = read.select(*season, *[F.col(f"seasonality.{c}").alias(n) for c, n in named.items()], "neighbours.since_year", "neighbours.recent_year", F.inline("neighbours.by_country"))
+    return rounded(fields)
+
+
 @query("agg_30_depth_histogram", f"WITH {S.cat()}, d AS (SELECT least(floor(depth_km / 20), 33)::BIGINT AS slot FROM cat WHERE depth_km BETWEEN 0 AND 680) SELECT r.slot * 20 AS depth_from, count(d.slot) AS n FROM (SELECT unnest(range(0, 34)) AS slot) r LEFT JOIN d ON d.slot = r.slot GROUP BY 1")
 def _(spark, sf):
     return frequency.depth_histogram(catalog(spark, sf))

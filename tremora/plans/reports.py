@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tremora.fixed import MONTH_NAMES
 from tremora.operators import context, forecasting, frequency, regions
 
 
@@ -53,14 +54,17 @@ def context_document(events: DataFrame, recent_us: int, since_us: int = 946_684_
         (-F.col("preferred_mw")).alias("order"), "t_us", F.date_format(context.at(F.col("t_us")), "MMM").alias("month")
     )
     p6 = context.periodicity(m6, min_events=5).select("p").scalar()
+    since_year = events.agg(context.year_of(F.min("t_us")).alias("y")).scalar()
     document = counts.select(
         F.struct(
-            "counts_m5", "top_month", "n_m5", context.chi_square(monthly).select(F.round("chi2", 2)).scalar().alias("chi2"),
-            context.chi_square_p(monthly).select("p").scalar().alias("p_chi2"), context.periodicity(m5).select("p").scalar().alias("schuster_p_m5"),
-            p6.alias("schuster_p_m6"), F.coalesce(p6 < 0.05, F.lit(False)).alias("significant"),
-            _list_of(big, "order", "big").scalar().getField("month").alias("big_months"),
+            F.array(*[F.lit(m) for m in MONTH_NAMES]).alias("months"), "counts_m5", "n_m5", m6.agg(F.count(F.lit(1)).alias("n")).scalar().alias("n_m6"), "top_month",
+            context.chi_square(monthly).select(F.round("chi2", 2)).scalar().alias("chi2"), F.round(context.chi_square_p(monthly).select("p").scalar(), 3).alias("p_chi2"),
+            F.round(context.periodicity(m5).select("p").scalar(), 3).alias("schuster_p_m5"), F.round(p6, 3).alias("schuster_p_m6"),
+            F.coalesce(p6 < 0.05, F.lit(False)).alias("significant"), _list_of(big, "order", "big").scalar().getField("month").alias("big_months"),
         ).alias("seasonality"),
-        _list_of(context.neighbours(events, recent_us), "country", "c").scalar().alias("neighbours"),
+        F.struct(
+            since_year.alias("since_year"), context.year_of(F.lit(recent_us)).alias("recent_year"), _list_of(context.neighbours(events, recent_us), "country", "c").scalar().alias("by_country")
+        ).alias("neighbours"),
     )
     return document.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("value"))
 
